@@ -16,6 +16,7 @@ from sievework.functions.text import (
     long_from_digits,
     signed_digits,
     timestamp_from_trimmed,
+    utc_text,
 )
 from sievework.layout import DATES, FINDING_SCHEMA, OPTIONAL_TEXT, RAW_COLUMNS, REQUIRED_TEXT, SIZE, pascal
 
@@ -186,3 +187,88 @@ def compat_view(df: DataFrame) -> DataFrame:
         F.col("quarantine_date_utc").alias("quarantine_date"),
         F.col("originating_data_system").alias("data_system"),
     )
+
+
+# Columns of the all-text interchange layout, in order.
+TEXT_LAYOUT = [
+    "id",
+    "record_version_id",
+    "source_record_id",
+    "ingestion_job_id",
+    "inbound_file_name",
+    "user_name",
+    "load_date_utc",
+    "last_update_date_utc",
+    "finding_file_name",
+    "finding_file_format",
+    "finding_file_size_bytes",
+    "current_file_location",
+    "finding_type",
+    "source_system_platform",
+    "originating_data_system",
+    "originating_vendor_tool",
+    "status",
+    "status_text",
+    "error_category",
+    "error_reason",
+    "last_modified_date_utc",
+    "created_date_utc",
+    "last_accessed_date_utc",
+    "detection_date_utc",
+    "site_owner",
+    "file_owner",
+    "business_unit",
+    "division",
+    "department",
+    "region",
+    "country",
+    "policy_name",
+    "policy_id",
+    "finding_reason",
+    "risk_level",
+    "sensitivity_label",
+    "recommended_action",
+    "original_file_location",
+    "quarantine_date_utc",
+    "restored_date_utc",
+    "exception_date_utc",
+    "deleted_date_utc",
+    "restoration_ticket_identifier",
+    "restoration_requestor_email",
+    "restoration_comment",
+]
+_KEPT_EMPTY = {"record_version_id", "inbound_file_name", "error_reason", *REQUIRED_TEXT}
+
+
+def to_text_layout(findings: DataFrame) -> DataFrame:
+    """Findings as 45 text columns with ISO dates, for interchange."""
+    dates = {f.name for f in FINDING_SCHEMA if f.dataType.typeName() == "timestamp"}
+    return findings.select(
+        *[(utc_text(c) if c in dates else F.col(c).cast("string")).alias(c) for c in TEXT_LAYOUT]
+    )
+
+
+def from_text_layout(rows: DataFrame, now: Column) -> DataFrame:
+    """Typed findings from the text layout.
+
+    Dates that are no date become null (``now`` for the two load dates), a blank user becomes
+    ``System``, and the status text wins over the status.
+    """
+    dates = {f.name for f in FINDING_SCHEMA if f.dataType.typeName() == "timestamp"}
+    text = F.when(clean_text("status_text") == "", F.col("status")).otherwise(F.col("status_text"))
+    cols = {}
+    for c in TEXT_LAYOUT:
+        if c in dates:
+            value = F.col(c).try_cast("timestamp")
+            cols[c] = F.coalesce(value, now) if c in ("load_date_utc", "last_update_date_utc") else value
+        elif c in _KEPT_EMPTY:
+            cols[c] = F.coalesce(F.col(c), F.lit(""))
+        else:
+            cols[c] = F.nullif(clean_text(c), F.lit(""))
+    cols["id"] = F.col("id")
+    cols["record_version_id"] = F.coalesce(F.col("record_version_id").try_cast("int"), F.lit(1))
+    cols["finding_file_size_bytes"] = F.col("finding_file_size_bytes").try_cast("bigint")
+    cols["user_name"] = F.when(clean_text("user_name") == "", F.lit("System")).otherwise(F.col("user_name"))
+    cols["status"] = st.stored_status(text)
+    cols["status_text"] = F.when(clean_text(text) == "", st.stored_status(text)).otherwise(text)
+    return rows.select(*[value.alias(c) for c, value in cols.items()])
