@@ -5,6 +5,8 @@ A header is short, so the checks are array expressions on the file's own row: no
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,57 +19,69 @@ DUPLICATES = "Uploaded file contains duplicate headers: "
 MISSING = "Uploaded file is missing required columns: "
 
 
+# Spelling-neutral form of the known columns.
+KNOWN_KEYS = [re.sub("[ _-]", "", h).lower() for h in HEADERS]
+
+
 def normalized(header: Column | str) -> Column:
     """Spelling-neutral form of a header cell."""
     return squash(header)
 
 
-def _names(headers: Column | str) -> Column:
-    return F.filter(F.transform(F.coalesce(col(headers), F.array().cast("array<string>")), trim_all), lambda h: h != "")
+def with_header_keys(files: DataFrame, headers: str = "headers") -> DataFrame:
+    """Add the cells' keys, and names and keys of the cells that are not blank.
+
+    Later expressions look these arrays up many times, so they are columns of their own.
+    """
+    cells = F.coalesce(col(headers), F.array().cast("array<string>"))
+    named = files.withColumns(
+        {
+            "header_names": F.filter(F.transform(cells, trim_all), lambda h: h != ""),
+            "cell_keys": F.transform(cells, normalized),
+        }
+    )
+    return named.withColumn("header_keys", F.transform("header_names", normalized))
 
 
-def named_count(headers: Column | str) -> Column:
+def named_count() -> Column:
     """Number of header cells that are not blank."""
-    return F.size(_names(headers))
+    return F.size("header_names")
 
 
-def duplicate_headers(headers: Column | str) -> Column:
+def duplicate_headers() -> Column:
     """First spelling of every header that occurs more than once."""
-    names = _names(headers)
-    keys = F.transform(names, normalized)
+    keys = F.col("header_keys")
 
     def repeated(name: Column, at: Column) -> Column:
-        key = normalized(name)
+        key = F.get(keys, at)
         first = F.array_position(keys, key) == at + 1
-        return first & (F.size(F.filter(keys, lambda k: k == key)) > 1)
+        return first & (F.size(F.array_remove(keys, key)) < F.size(keys) - 1)
 
-    return F.filter(names, repeated)
+    return F.filter("header_names", repeated)
 
 
-def missing_headers(headers: Column | str) -> Column:
+def missing_headers() -> Column:
     """Required columns that are absent, in layout order."""
-    keys = F.transform(_names(headers), normalized)
-    required = F.array(*[F.lit(h) for h in REQUIRED_HEADERS])
-    return F.filter(required, lambda h: ~F.array_contains(keys, normalized(h)))
+    absent = [F.when(~F.array_contains("header_keys", k), F.lit(h)) for h, k in zip(REQUIRED_HEADERS, KNOWN_KEYS)]
+    return F.array_compact(F.array(*absent))
 
 
-def positions(headers: Column | str) -> Column:
+def positions() -> Column:
     """For every known column its 1-based place in the header; 0 where it is absent."""
-    keys = F.transform(F.coalesce(col(headers), F.array().cast("array<string>")), normalized)
-    known = F.array(*[F.lit(h) for h in HEADERS])
-    return F.transform(known, lambda h: F.array_position(keys, normalized(h)).cast("int"))
+    return F.array(*[F.array_position("cell_keys", k).cast("int") for k in KNOWN_KEYS])
 
 
-def header_error(headers: Column | str) -> Column:
+def header_error() -> Column:
     """Why a file is refused as a whole; null when its header is fine."""
-    repeated, missing = duplicate_headers(headers), missing_headers(headers)
+    repeated, missing = F.array_join(duplicate_headers(), ", "), F.array_join(missing_headers(), ", ")
     return (
-        F.when(named_count(headers) == 0, F.lit(NO_HEADER))
-        .when(F.size(repeated) > 0, F.concat(F.lit(DUPLICATES), F.array_join(repeated, ", ")))
-        .when(F.size(missing) > 0, F.concat(F.lit(MISSING), F.array_join(missing, ", ")))
+        F.when(named_count() == 0, F.lit(NO_HEADER))
+        .when(repeated != "", F.concat(F.lit(DUPLICATES), repeated))
+        .when(missing != "", F.concat(F.lit(MISSING), missing))
     )
 
 
 def check_headers(files: DataFrame, headers: str = "headers") -> DataFrame:
     """Add ``header_error`` and ``positions`` to a table of files."""
-    return files.withColumns({"header_error": header_error(headers), "positions": positions(headers)})
+    checked = with_header_keys(files, headers).withColumns({"header_error": header_error(), "positions": positions()})
+    return checked.drop("header_names", "cell_keys", "header_keys")

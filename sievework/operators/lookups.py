@@ -61,9 +61,9 @@ def status_history(
 
     Rows are compared inside (key, time bucket); the first row of a bucket is compared with
     the last row of the key's previous bucket, which comes from a per-bucket aggregate.  So
-    no task ever holds all rows of a busy key.  ``bucket`` defaults to the day.
+    no task ever holds all rows of a busy key.  ``bucket`` defaults to the hour.
     """
-    bucket = F.to_date(at) if bucket is None else bucket
+    bucket = F.date_trunc("hour", at) if bucket is None else bucket
     sliced = rows.withColumn("_bucket", bucket)
     last = sliced.groupBy(key, "_bucket").agg(F.max_by(status, F.struct(at, tie)).alias("_last"))
     carried = last.select(

@@ -51,7 +51,7 @@ def write_csv_reports(rig: DataFrame, path: str, styles: int = 3, rows: int = RO
         chosen = reports.where(F.col("_style") == style).repartition("report").sortWithinPartitions("report", "row_number")
         chosen.select("report", *cols[:5], *extra, *cols[5:]).write.partitionBy("report").option(
             "header", "true"
-        ).option("emptyValue", "").option("escape", '"').mode("append").csv(path)
+        ).option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").mode("append").csv(path)
 
 
 def report_of(path: Column | str = "file_path") -> Column:
