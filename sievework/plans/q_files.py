@@ -42,6 +42,8 @@ def _reports(rows: int) -> str:
     )
 
 
+# A sheet row without any text is not a used row.
+_USED = f"concat({', '.join(RAW_COLUMNS)}) <> ''"
 _RAW = ", ".join(f"coalesce({c}, '') AS {c}" for c in RAW_COLUMNS)
 
 
@@ -70,7 +72,7 @@ def row_number(spark, sf):
     return rows.select("job_id", "row_number", "current_file_location")
 
 
-@query(orc.over_rig(f"SELECT report AS job_id, record AS row_number, {_RAW} FROM reports", reports=_reports(BOOK_ROWS)))
+@query(orc.over_rig(f"SELECT report AS job_id, record AS row_number, {_RAW} FROM reports WHERE {_USED}", reports=_reports(BOOK_ROWS)))
 def xlsx_report_scan(spark, sf):
     books = materialise(workbook_bytes(qr.rig(spark, sf), BOOK_ROWS), "workbooks")
     manifest = intake_manifest(workbook_listing(books), qr.as_of(), job_id=report_of())
@@ -81,7 +83,7 @@ def xlsx_report_scan(spark, sf):
 @query(
     orc.over_rig(
         f"SELECT report AS job_id, record AS row_number, {_RAW} FROM reports WHERE job_id < 'JOB-3' "
-        f"UNION ALL SELECT report, record, {_RAW} FROM books WHERE job_id >= 'JOB-3'",
+        f"UNION ALL SELECT report, record, {_RAW} FROM books WHERE job_id >= 'JOB-3' AND {_USED}",
         reports=_reports(CSV_ROWS),
         books=_reports(BOOK_ROWS),
     )

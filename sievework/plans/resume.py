@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +25,17 @@ def _rows_after(rows: DataFrame, state: DataFrame) -> DataFrame:
     position = state.select("job_id", "last_processed_record_count")
     joined = rows.select("job_id", "sequence_number").join(position, "job_id")
     return joined.groupBy("job_id").agg(
-        F.count("*").alias("stored"), F.count_if("sequence_number > last_processed_record_count").alias("after")
+        F.count("*").alias("stored"), F.count_if(F.col("sequence_number") > F.col("last_processed_record_count")).alias("after")
     )
 
 
 def _readable(rows: Callable[[], DataFrame], state: DataFrame, empty: DataFrame) -> DataFrame:
     """Stored and remaining counts; a store that cannot be read counts as absent."""
+    counted = _rows_after(rows(), state)
     try:
-        return ws.materialise(_rows_after(rows(), state), "after")
+        return ws.materialise(counted, "after")
+    except AnalysisException:
+        raise
     except PySparkException:
         return empty
 

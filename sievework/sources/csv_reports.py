@@ -25,6 +25,8 @@ _GLOB = "*.[cC][sS][vV]"
 _CSV = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 # A quoted field that starts right after a separator and ends right before one.
 _QUOTED = r'(?<=^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)'
+# A quoted field that is still open at the end of the line.
+_OPEN = r'(?:^|,)"[^"]*+(?:""[^"]*+)*+$'
 _TOKEN = r'(?<=^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*)(?=,|$)'
 NO_CSV_HEADER = "CSV file does not contain a header row."
 
@@ -44,6 +46,26 @@ def _lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     return text.where(F.length("value") > 0).withColumn("line_id", F.monotonically_increasing_id())
 
 
+def _spanning_records(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """Records as raw text, line breaks in quoted fields included.
+
+    The reader is given one column, so it reports every longer record whole.
+    """
+    return (
+        spark.read.schema("_only STRING, _record STRING")
+        .options(**_CSV, columnNameOfCorruptRecord="_record", multiLine="true")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", _GLOB)
+        .csv(folder)
+        .select(
+            F.coalesce("_record", "_only", F.lit("")).alias("value"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.lit(0).cast("bigint").alias("block_start"),
+            F.monotonically_increasing_id().alias("line_id"),
+        )
+    )
+
+
 def header_tokens(line: Column) -> Column:
     """Cells of a header line."""
     plain = F.split(line, ",", -1)
@@ -56,14 +78,19 @@ def header_tokens(line: Column) -> Column:
     return F.when(line.contains('"'), quoted).otherwise(plain)
 
 
+def _residue(record: Column) -> Column:
+    """The record without its well-formed quoted fields."""
+    return F.when(record.contains('"'), F.regexp_replace(record, _QUOTED, "")).otherwise(record)
+
+
 def csv_headers(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """Header line of every non-empty file, and whether a record spans lines in it."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    """Header line of every non-empty file, and whether a quoted field spans lines in it."""
     first = F.min_by("value", F.struct("block_start", "line_id"))
+    left_open = F.col("value").contains('"') & _residue(F.col("value")).rlike(_OPEN)
     return (
         _lines(spark, folder)
         .groupBy("file_path")
-        .agg(first.alias("line"), F.bool_or(quotes % 2 == 1).alias("spans_lines"))
+        .agg(first.alias("line"), F.bool_or(left_open).alias("spans_lines"))
         .select(
             "file_path",
             header_tokens(F.regexp_replace("line", "^\\x{FEFF}", "")).alias("headers"),
@@ -89,7 +116,7 @@ def checked_headers(manifest: DataFrame, folder: str | list[str]) -> DataFrame:
 
 def _field_count(record: Column) -> Column:
     """Fields of a record, or -1 when a quote stands where none may."""
-    residue = F.when(record.contains('"'), F.regexp_replace(record, _QUOTED, "")).otherwise(record)
+    residue = _residue(record)
     commas = F.length(residue) - F.length(F.replace(residue, F.lit(","), F.lit("")))
     return F.when(residue.contains('"'), F.lit(-1)).otherwise(commas + 1)
 
@@ -118,12 +145,11 @@ def csv_records(spark: SparkSession, folder: str | list[str], files: DataFrame)
     )
     widest = good.agg(F.coalesce(F.max("needed"), F.lit(1)), F.coalesce(F.bool_or("spans_lines"), F.lit(False))).first()
     names = [f"c{i}" for i in range(widest[0])]
-    schema = ", ".join(f"{n} STRING" for n in names)
-
-    one_line = _lines(spark, folder).join(good.where("NOT spans_lines"), "file_path")
-    count = _field_count(F.col("value"))
-    record = F.from_csv("value", schema, _CSV)
-    split = one_line.withColumns({"_fields": record, "_count": count}).select(
+    lines = _lines(spark, folder).join(good.where("NOT spans_lines"), "file_path")
+    if widest[1]:
+        lines = lines.unionByName(_spanning_records(spark, folder).join(good.where("spans_lines"), "file_path"))
+    fields = F.from_csv("value", ", ".join(f"{n} STRING" for n in names), _CSV)
+    return lines.withColumns({"_fields": fields, "_count": _field_count(F.col("value"))}).select(
         "file_path",
         "block_start",
         "line_id",
@@ -132,34 +158,6 @@ def csv_records(spark: SparkSession, folder: str | list[str], files: DataFrame)
         *_by_position(F.array(*[F.col(f"_fields.{n}") for n in names])),
         (F.col("_count") < F.col("needed")).alias("malformed"),
     )
-    if not widest[1]:
-        return split
-    whole = (
-        spark.read.schema(schema + ", _bad STRING")
-        .options(**_CSV, columnNameOfCorruptRecord="_bad", multiLine="true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _GLOB)
-        .csv(folder)
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("file_path"),
-            F.lit(0).cast("bigint").alias("block_start"),
-            F.monotonically_increasing_id().alias("line_id"),
-        )
-        .join(good.where("spans_lines"), "file_path")
-    )
-    short = F.col("_bad").isNotNull() & (_field_count(F.rtrim(F.col("_bad"), F.lit("\r\n"))) < F.col("needed"))
-    return split.unionByName(
-        whole.select(
-            "file_path",
-            "block_start",
-            "line_id",
-            "job_id",
-            "source_file_name",
-            *_by_position(F.array(*names)),
-            short.alias("malformed"),
-        )
-    )
 
 
 def scan_csv_reports(

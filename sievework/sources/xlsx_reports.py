@@ -82,7 +82,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows: list[tuple] = []
             try:
                 for number, cells in sheet_rows(bytes(content)):
-                    rows.append((path, number, list(cells.items())))
+                    rows.append((path, number, cells))
                     if len(rows) == _BATCH:
                         yield pd.DataFrame(rows, columns=["file_path", "row_number", "cells"])
                         rows = []

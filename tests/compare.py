@@ -50,7 +50,8 @@ def difference(spark, con, name: str, sf: str, queries, oracles) -> str | None:
     a, b = rows_of(got_names, got), rows_of(want_names, want)
     if a == b:
         return None
-    only_a, only_b = [x for x in a[:20000] if x not in set(b)][:2], [x for x in b[:20000] if x not in set(a)][:2]
+    in_a, in_b = set(map(repr, a)), set(map(repr, b))
+    only_a, only_b = [x for x in a if repr(x) not in in_b][:2], [x for x in b if repr(x) not in in_a][:2]
     return f"{len(a)} vs {len(b)} rows; spark only {str(only_a)[:600]}; sql only {str(only_b)[:600]}"
 
 
