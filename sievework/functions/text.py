@@ -111,17 +111,19 @@ _OTHER_DATE = (
     r"^(?:\d{1,4}[/-]\d{1,2}[/-]\d{1,4}|\d{1,2}[ -][A-Za-z]{3}[ -]\d{4}|[A-Za-z]{3,9} \d{1,2}, \d{4})"
     r"(?: \d{1,2}:\d{2}(?::\d{2})?(?: [AaPp][Mm])?)?$"
 )
-_OTHER_PATTERNS = ["M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
+# Sections are tried in turn; a text fits at most one day and one time section.
+_OTHER_PATTERN = (
+    "[M/d/yyyy][M-d-yyyy][yyyy/M/d][d MMM yyyy][d-MMM-yyyy][MMM d, yyyy][MMMM d, yyyy]"
+    "[ h:mm[:ss] a][ H:mm[:ss]]"
+)
 
 
 def timestamp_from_trimmed(t: Column | str) -> Column:
     """Date from text without surrounding white space; see :func:`parse_timestamp`."""
     t = col(t)
-    others = [F.try_to_timestamp(t, F.lit(day + "[ H:mm[:ss]]")) for day in _OTHER_PATTERNS]
-    clock = F.try_to_timestamp(F.upper(t), F.lit("M/d/yyyy h:mm[:ss] a"))
     return F.when(
         t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}.*)?$"), t.try_cast("timestamp")
-    ).when(t.rlike(_OTHER_DATE), F.coalesce(*others, clock))
+    ).when(t.rlike(_OTHER_DATE), F.try_to_timestamp(t, F.lit(_OTHER_PATTERN)))
 
 
 def parse_timestamp(c: Column | str) -> Column:

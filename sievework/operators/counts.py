@@ -9,12 +9,24 @@ from sievework.functions.text import null_if_blank
 from sievework.layout import REJECTED_BATCH_SIZE
 
 
-def finding_type_counts(valid: DataFrame) -> DataFrame:
+# The big aggregates below keep only numbers in their buffers (counts, smallest record number)
+# and group by the texts themselves: such aggregates run hash-based, while a text in a buffer
+# would make Spark sort all rows first.  Texts are picked in a second, tiny aggregate.
+# Invalid and blank rows are told apart by a condition inside the aggregate; a filter would be
+# pushed below the typed projection and repeat its parsing.
+
+
+def finding_type_counts(checked: DataFrame) -> DataFrame:
     """Valid rows per finding type, any case, labelled with the first spelling seen."""
+    valid = F.col("is_valid")
+    spelled = checked.groupBy("job_id", F.when(valid, F.col("finding_type")).alias("_type")).agg(
+        F.count_if(valid).alias("_n"), F.min("row_number").alias("_at")
+    )
     return (
-        valid.groupBy("job_id", F.lower("finding_type").alias("type_key"))
-        .agg(F.min_by("finding_type", "row_number").alias("finding_type"), F.count("*").alias("row_count"))
-        .drop("type_key")
+        spelled.where("_n > 0")
+        .groupBy("job_id", F.lower("_type").alias("_key"))
+        .agg(F.min_by("_type", "_at").alias("finding_type"), F.sum("_n").alias("row_count"))
+        .drop("_key")
     )
 
 
@@ -27,29 +39,37 @@ def type_count_maps(counts: DataFrame) -> DataFrame:
 
 
 def record_counts(checked: DataFrame) -> DataFrame:
-    """Rows (not errors) per job that passed, failed, and together."""
+    """Rows (not errors) per job that passed, failed, and together; blank rows do not count."""
     return checked.groupBy("job_id").agg(
         F.count_if("is_valid").alias("success_count"),
-        F.count_if(~F.col("is_valid")).alias("reject_count"),
-        F.count("*").alias("total_records"),
+        F.count_if(_rejected()).alias("reject_count"),
+        F.count_if(~F.col("blank")).alias("total_records"),
     )
 
 
+def _rejected() -> Column:
+    return ~F.col("is_valid") & ~F.col("blank")
+
+
 def source_systems(checked: DataFrame) -> DataFrame:
     """Originating system per job: Unknown, the one there is, or Multiple.
 
     Smallest and largest lower-cased name tell one from many, so no distinct set is built.
     """
-    named = checked.where(~F.col("malformed")).withColumn("_name", null_if_blank("originating_data_system"))
-    return named.groupBy("job_id").agg(*_system_parts()).select("job_id", _system_label().alias("source_system"))
+    spelled = checked.groupBy("job_id", _system().alias("_system")).agg(F.min("row_number").alias("_at"))
+    return spelled.groupBy("job_id").agg(*_system_parts()).select("job_id", _system_label().alias("source_system"))
+
+
+def _system() -> Column:
+    return F.when(~F.col("malformed"), null_if_blank("originating_data_system"))
 
 
 def _system_parts() -> list[Column]:
-    order = F.when(F.col("_name").isNotNull(), F.col("row_number"))
+    named_at = F.when(F.col("_system").isNotNull(), F.col("_at"))
     return [
-        F.min(F.lower("_name")).alias("_low"),
-        F.max(F.lower("_name")).alias("_high"),
-        F.min_by("_name", order).alias("_first"),
+        F.min(F.lower("_system")).alias("_low"),
+        F.max(F.lower("_system")).alias("_high"),
+        F.min_by("_system", named_at).alias("_first"),
     ]
 
 
@@ -91,33 +111,37 @@ def response_class(status: Column, total: Column) -> Column:
 def job_totals(checked: DataFrame) -> DataFrame:
     """All per-job aggregates from one pass over the checked rows.
 
-    The first level groups by (job, finding type of valid rows): few groups, combined map-side,
-    so a hot job is already tiny when it is shuffled.
+    Rows are first grouped by job, finding type of valid rows, and system: few groups, combined
+    map-side, so a hot job is already tiny when it is shuffled.
     """
-    kind = F.when(F.col("is_valid"), F.lower("finding_type"))
-    name = F.when(~F.col("malformed"), null_if_blank("originating_data_system"))
-    first_system = F.when(name.isNotNull(), F.struct(F.col("row_number").alias("at"), name.alias("name")))
-    partial = (
-        checked.groupBy("job_id", kind.alias("_kind"))
-        .agg(
-            F.count_if("is_valid").alias("_ok"),
-            F.count_if(~F.col("is_valid")).alias("_bad"),
-            F.min_by("finding_type", "row_number").alias("_type"),
-            F.min(F.lower(name)).alias("_low"),
-            F.max(F.lower(name)).alias("_high"),
-            F.min(first_system).alias("_first_at"),
-            F.sum("coerced_null_fields").alias("_coerced"),
-        )
+    valid = F.col("is_valid")
+    spelled = checked.groupBy(
+        "job_id", F.when(valid, F.col("finding_type")).alias("_type"), _system().alias("_system")
+    ).agg(
+        F.count_if(valid).alias("_ok"),
+        F.count_if(_rejected()).alias("_bad"),
+        F.min("row_number").alias("_at"),
+        F.sum("coerced_null_fields").alias("_coerced"),
+    )
+    by_type = spelled.groupBy("job_id", F.lower("_type").alias("_kind")).agg(
+        F.min_by("_type", "_at").alias("_type"),
+        F.sum("_ok").alias("_ok"),
+        F.sum("_bad").alias("_bad"),
+        F.min(F.lower("_system")).alias("_low"),
+        F.max(F.lower("_system")).alias("_high"),
+        F.min(F.when(F.col("_system").isNotNull(), F.struct("_at", "_system"))).alias("_first_at"),
+        F.sum("_coerced").alias("_coerced"),
     )
+    # At most one entry per allowed finding type.
     entries = F.collect_list(F.when(F.col("_kind").isNotNull(), F.struct("_type", "_ok")))
     return (
-        partial.groupBy("job_id")
+        by_type.groupBy("job_id")
         .agg(
             F.sum("_ok").alias("success_count"),
             F.sum("_bad").alias("reject_count"),
             F.min("_low").alias("_low"),
             F.max("_high").alias("_high"),
-            F.min("_first_at").getField("name").alias("_first"),
+            F.min("_first_at").getField("_system").alias("_first"),
             F.map_from_entries(F.array_sort(entries)).alias("finding_type_counts"),
             F.sum("_coerced").alias("coerced_null_fields"),
         )

@@ -20,19 +20,25 @@ def _before(key: list[str], order: str, count: str) -> Column:
     return F.coalesce(F.sum(count).over(window), F.lit(0))
 
 
-def record_numbers(scanned: DataFrame) -> DataFrame:
-    """Number the records of every file from 1 (the header) in file order.
+def record_offsets(scanned: DataFrame) -> DataFrame:
+    """First line id and number of earlier records of every block of every file.
 
-    ``scanned`` is a *written* scan that carries ``file_path``, ``block_start`` and
-    ``line_id`` (increasing inside a block).  A file has few blocks, so the running sum is
-    tiny, and ranks inside a block are a subtraction, not a sort.
+    ``scanned`` is a *written* scan that carries ``file_path``, ``block_start`` and ``line_id``
+    (increasing inside a block).  A file has few blocks, so the running sum is tiny.
     """
     blocks = scanned.groupBy("file_path", "block_start").agg(
         F.count("*").alias("_n"), F.min("line_id").alias("_first")
     )
-    offsets = blocks.select(
+    return blocks.select(
         "file_path", "block_start", "_first", _before(["file_path"], "block_start", "_n").alias("_before")
     )
+
+
+def record_numbers(scanned: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Number the records of every file from 1 (the header) in file order.
+
+    Ranks inside a block are a subtraction, not a sort.
+    """
     return scanned.join(offsets, ["file_path", "block_start"]).withColumn(
         "row_number", F.col("_before") + F.col("line_id") - F.col("_first") + 1
     ).drop("_before", "_first")

@@ -25,7 +25,7 @@ from sievework.layout import (
     RISK_LEVELS,
     pascal,
 )
-from sievework.operators.typed import raw_row_json
+from sievework.operators.typed import blank_row, raw_row_json
 
 MAX_RULES = 63
 
@@ -202,12 +202,22 @@ def _hit(i: int) -> Column:
 
 
 def validate(df: DataFrame, as_of: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
-    """Add ``failed_rules`` and ``is_valid``.  Malformed rows are invalid but fail no rule."""
+    """Add ``failed_rules``, ``is_valid`` and ``blank``.
+
+    Malformed rows are invalid but fail no rule, and are never blank.  Blank rows are marked
+    here and skipped later: a filter at this point would be pushed below the typed projection
+    and parse everything twice.
+    """
     masked = df.withColumn(
         "failed_rules",
         F.when(F.col("malformed"), F.lit(0).cast("bigint")).otherwise(failed_mask(as_of, rules)),
     )
-    return masked.withColumn("is_valid", (F.col("failed_rules") == 0) & ~F.col("malformed"))
+    return masked.withColumns(
+        {
+            "is_valid": (F.col("failed_rules") == 0) & ~F.col("malformed"),
+            "blank": ~F.col("malformed") & blank_row(),
+        }
+    )
 
 
 def error_summary(rules: Sequence[Rule] = DEFAULT_RULES) -> Column:

@@ -35,8 +35,8 @@ from sievework.operators import resume as rs
 from sievework.operators import tables as tb
 from sievework.operators.rules import DEFAULT_RULES, Rule, rejected_detail, rejected_rows, valid_rows, validate
 from sievework.operators.summary import rejected_documents, summary_documents, write_documents
-from sievework.operators.typed import blank_row, typed_findings
-from sievework.sources.intake import intake_manifest, intake_metadata_json, list_files, started_jobs
+from sievework.operators.typed import drop_blank_rows, typed_findings
+from sievework.sources.intake import intake_manifest, intake_metadata_json, list_files, started_jobs, workbook_listing
 from sievework.sources.reports import scan_reports
 
 
@@ -135,7 +135,7 @@ def checked_shape(now: Column, rules: list[Rule]) -> Callable[[DataFrame], DataF
     def shape(rows: DataFrame) -> DataFrame:
         rows = rows if "row_number" in rows.columns else rows.withColumn("row_number", F.lit(0).cast("bigint"))
         typed = typed_findings(rows, now)
-        return validate(typed, now, rules).withColumn("blank", ~F.col("malformed") & blank_row())
+        return validate(typed, now, rules)
 
     return shape
 
@@ -155,13 +155,21 @@ def ingest_folder(
 
     ``write_batch_group`` stands in for the write of one batch group (a custom sink).
     """
-    ws.tune(spark)
     at = F.lit(now)
-    files = list_files(spark, folder)
-    manifest = ws.materialise(intake_manifest(files, at, options.max_upload_bytes, job_id), "manifest")
-    write_documents(intake_metadata_json(manifest), store.intake)
-    store.save_jobs(started_jobs(manifest))
-    return ingest_manifest(spark, manifest, folder, store, now, options, rules, write_batch_group, books)
+    with ws.scratch(spark):
+        files = list_files(spark, folder)
+        if books is not None:
+            files = files.unionByName(workbook_listing(books))
+        manifest = ws.materialise(intake_manifest(files, at, options.max_upload_bytes, job_id), "manifest")
+        total = manifest.where("accepted").agg(F.sum("file_size_bytes")).first()[0] or 0
+        ws.tune(spark, total * _GROWTH)
+        write_documents(intake_metadata_json(manifest), store.intake)
+        store.save_jobs(started_jobs(manifest))
+        return ingest_manifest(spark, manifest, folder, store, now, options, rules, write_batch_group, books)
+
+
+# Typed rows with ids and status are larger than the text they come from.
+_GROWTH = 3
 
 
 def ingest_manifest(
@@ -181,7 +189,7 @@ def ingest_manifest(
 
     def scan() -> int:
         rows, files = scan_reports(manifest, folder, books, checked_shape(at, rules))
-        state["checked"] = rows.where("NOT blank").drop("blank", "file_path").withColumn(
+        state["checked"] = drop_blank_rows(rows).drop("file_path").withColumn(
             "id", row_id("job_id", "row_number")
         )
         state["jobs"] = ws.materialise(_job_states(store, files, state["checked"], options, at), "states")
@@ -450,6 +458,7 @@ def finish(store: Store, state: DataFrame, at: Column) -> DataFrame:
         .withColumn("message", message)
         .withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))),
         "finished",
+        keep=True,
     )
     store.save_checkpoints(rs.checkpoint_rows(done, F.col("status"), at, F.col("failure_reason")), at)
     store.save_jobs(done)
@@ -460,7 +469,7 @@ def finish_failed(store: Store, state: DataFrame, reason: str, at: Column) -> Da
     """Failed job records and checkpoints; jobs with rows left stay resumable."""
     failed = rs.failed_state(state, F.lit(reason), at).withColumn("message", F.lit(f"Ingestion failed: {reason}"))
     failed = ws.materialise(
-        failed.withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))), "failed"
+        failed.withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))), "failed", keep=True
     )
     store.save_checkpoints(rs.checkpoint_rows(failed, F.lit("Failed"), at, F.lit(reason)), at)
     store.save_jobs(failed)

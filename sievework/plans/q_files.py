@@ -15,15 +15,16 @@ from sievework.operators import numbering as nb
 from sievework.operators import rules as ru
 from sievework.operators import summary as sm
 from sievework.operators import tables as tb
+from sievework.operators.typed import typed_findings
 from sievework.plans import ingest as ing
 from sievework.plans import oracle as orc
 from sievework.plans import q_rows as qr
 from sievework.plans import resume as rp
 from sievework.plans.registry import query
 from sievework.plans.rig import inbound_rows, table
-from sievework.plans.rig_files import report_of, workbook_bytes, workbook_listing, write_csv_reports
+from sievework.plans.rig_files import report_of, workbook_bytes, write_csv_reports
 from sievework.sources.csv_reports import scan_csv_reports
-from sievework.sources.intake import intake_manifest, list_files
+from sievework.sources.intake import intake_manifest, intake_metadata_json, list_files, workbook_listing
 from sievework.sources.json_store import json_arrays, read_json_store
 from sievework.sources.reports import scan_reports
 from sievework.sources.xlsx_reports import scan_xlsx_reports, sheet_cells
@@ -132,8 +133,6 @@ def _broken_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT job_id, row_number, 'CSV_ROW' AS field_name FROM ({_FAULTY}) t WHERE malformed")
 def malformed_rows(spark, sf):
-    from sievework.operators.typed import typed_findings
-
     typed = ru.validate(typed_findings(_broken_rows(spark, sf), qr.as_of()), qr.as_of())
     return ru.malformed_rejections(typed, qr.as_of()).select("job_id", "row_number", "field_name")
 
@@ -349,8 +348,6 @@ def summary_json(spark, sf):
 
 @query(orc.over_rig("SELECT DISTINCT job_id, job_id AS report_uid, 'Uploaded' AS status, 'csv' AS file_format, '2026/01/' || job_id || '/' AS folder FROM checked2", **_BY_REPORT))
 def intake_json(spark, sf):
-    from sievework.sources.intake import intake_metadata_json
-
     folder, out = _csv_folder(spark, sf), fresh_path(spark, "intake")
     sm.write_documents(intake_metadata_json(_manifest(spark, folder)), out)
     field = lambda name: F.get_json_object("document", f"$.{name}")
@@ -412,13 +409,11 @@ def drop_folder_ingest(spark, sf):
 
 @query(orc.over_rig("SELECT job_id, success_count, reject_count, total_records FROM totals"))
 def job_counters_stream(spark, sf):
-    from sievework.operators.typed import drop_blank_rows, typed_findings
-
     tune(spark)
     schema = table(spark, sf, "orders").schema
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     rows = inbound_rows(orders).withColumnRenamed("loaded_at", "load_date_utc")
-    checked = ru.validate(drop_blank_rows(typed_findings(rows, qr.as_of())), qr.as_of())
+    checked = ru.validate(typed_findings(rows, qr.as_of()), qr.as_of())
     path = fresh_path(spark, "counters")
     count_jobs(checked, path, fresh_path(spark, "stream")).awaitTermination()
     schema = "job_id STRING, success_count BIGINT, reject_count BIGINT, total_records BIGINT"

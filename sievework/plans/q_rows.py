@@ -35,13 +35,17 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
     return ty.typed_findings(rig(spark, sf), as_of())
 
 
-def checked(spark: SparkSession, sf: str) -> DataFrame:
-    return ru.validate(ty.drop_blank_rows(typed(spark, sf)), as_of())
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed rows with their failed rules, blank rows only marked: one pass for aggregates."""
+    return ru.validate(typed(spark, sf), as_of())
 
 
-def checked_table(spark: SparkSession, sf: str) -> DataFrame:
+def checked_table(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Checked rows, written once: what every consumer of a real ingest reads."""
-    return materialise(checked(spark, sf), "checked")
+    rows = marked(spark, sf)
+    if columns:
+        rows = rows.select(*columns, "blank")
+    return ty.drop_blank_rows(materialise(rows, "checked")).drop("blank")
 
 
 def rejected(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +58,7 @@ def numbered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
-    return ct.job_totals(checked(spark, sf))
+    return ct.job_totals(marked(spark, sf))
 
 
 def when_text(c: str):
@@ -342,13 +346,13 @@ def working_row(spark, sf):
 # --- blank rows, rules, rejects ------------------------------------------------------------
 @query(orc.over_rig("SELECT job_id, row_number FROM checked"))
 def drop_blank_rows(spark, sf):
-    return ty.drop_blank_rows(typed(spark, sf)).select("job_id", "row_number")
+    return checked_table(spark, sf, "job_id", "row_number")
 
 
 @query(orc.over_rig("SELECT job_id, is_valid, count(*) AS row_count, min(row_number) AS first_row, max(row_number) AS last_row FROM checked GROUP BY ALL"))
 def is_valid_split(spark, sf):
     return (
-        checked(spark, sf)
+        checked_table(spark, sf, "job_id", "row_number", "is_valid")
         .groupBy("job_id", "is_valid")
         .agg(
             F.count("*").alias("row_count"),
@@ -366,7 +370,8 @@ def validate(spark, sf):
     names = F.array_compact(
         F.array(*[F.when(F.col("failed_rules").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(r.id)) for i, r in enumerate(ru.DEFAULT_RULES)])
     )
-    return checked(spark, sf).select("job_id", "row_number", "is_valid", F.array_join(names, " ").alias("failed"))
+    rows = checked_table(spark, sf, "job_id", "row_number", "is_valid", "failed_rules")
+    return rows.select("job_id", "row_number", "is_valid", F.array_join(names, " ").alias("failed"))
 
 
 @query(orc.over_rig("SELECT job_id, rule_id, count(*) AS row_count FROM errors GROUP BY ALL"))
@@ -541,17 +546,17 @@ def category_dimension(spark, sf):
     )
 )
 def finding_type_counts(spark, sf):
-    return ct.finding_type_counts(ru.valid_rows(checked(spark, sf)))
+    return ct.finding_type_counts(marked(spark, sf))
 
 
 @query(orc.over_rig("SELECT job_id, success_count, reject_count, total_records FROM totals"))
 def record_counts(spark, sf):
-    return ct.record_counts(checked(spark, sf))
+    return ct.record_counts(marked(spark, sf))
 
 
 @query(orc.over_rig("SELECT job_id, source_system FROM totals"))
 def source_system(spark, sf):
-    return ct.source_systems(checked(spark, sf))
+    return ct.source_systems(marked(spark, sf))
 
 
 @query(orc.over_rig(f"SELECT job_id, {orc.STATUS_OF} AS status FROM totals"))
@@ -650,10 +655,10 @@ def progress_cadence(spark, sf):
     )
 )
 def batch_completeness(spark, sf):
-    rows = checked_table(spark, sf)
-    valid = ru.valid_rows(rows).select("job_id", "row_number")
+    rows = checked_table(spark, sf, "job_id", "row_number", "is_valid")
+    valid = rows.where("is_valid").select("job_id", "row_number")
     progress = nb.batch_progress(nb.sequence_numbers(valid, slice_rows=SLICE), BATCH)
-    expected = ct.record_counts(rows).select("job_id", "success_count")
+    expected = rows.groupBy("job_id").agg(F.count_if("is_valid").alias("success_count"))
     due = F.least(F.lit(BATCH), F.col("success_count") - (F.col("batch_number") - 1) * BATCH)
     return progress.join(expected, "job_id").select(
         "job_id", "batch_number", (F.col("batch_rows") == due).alias("complete")

@@ -386,10 +386,8 @@ def _range():
 
 
 def findings_table(spark: SparkSession, sf: str) -> DataFrame:
-    valid = ru.valid_rows(qr.checked(spark, sf))
-    return materialise(
-        valid.select("id", "job_id", "row_number", "source_record_id", "finding_type", "originating_data_system", "status_text", "load_date_utc"), "findings"
-    )
+    wanted = ["id", "job_id", "row_number", "source_record_id", "finding_type", "originating_data_system", "load_date_utc"]
+    return qr.checked_table(spark, sf, *wanted, "is_valid").where("is_valid").select(*wanted)
 
 
 _FOUND = "id, finding_type, originating_data_system, strftime(load_date_utc, '%Y-%m-%d %H:%M:%S') AS load_date_utc"

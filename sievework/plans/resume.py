@@ -80,11 +80,24 @@ def resume_jobs(
     write_batch_group: Callable[[DataFrame, str], None] | None = None,
 ) -> DataFrame:
     """Resume the wanted jobs (column ``job_id``); returns one result row per known job."""
+    with ws.scratch(store.spark):
+        return _resume(store, wanted, now, options, write_batch_group)
+
+
+def _resume(
+    store: ing.Store,
+    wanted: DataFrame,
+    now: datetime,
+    options: ing.Options,
+    write_batch_group: Callable[[DataFrame, str], None] | None,
+) -> DataFrame:
     spark, at = store.spark, F.lit(now)
     ws.tune(spark)
     clock = ing.Clock(store, now.isoformat())
     checkpoints = ws.materialise(tb.lookup_jobs(store.read_checkpoints(), wanted), "checkpoints")
-    refused = rs.not_eligible_result(checkpoints, at).select("job_id", "status", F.col("message"))
+    refused = ws.materialise(
+        rs.not_eligible_result(checkpoints, at).select("job_id", "status", "message"), "refused", keep=True
+    )
     state = rs.resume_state(checkpoints.where(rs.eligible_now()), options.size, options.max_retries, at)
     known = rs.resume_job_records(state, store.read_jobs())
     state = ws.materialise(choose_sources(store, known, options), "resume_states")
@@ -99,6 +112,7 @@ def resume_jobs(
             .withColumn("is_resume_eligible", F.lit(False))
             .withColumn("message", F.col("failure_reason")),
             "failed",
+            keep=True,
         )
         rows = rs.checkpoint_rows(failed, F.lit("Failed"), at, F.col("failure_reason"))
         store.save_checkpoints(rows.withColumn("is_resume_eligible", F.lit(False)), at)
@@ -150,6 +164,7 @@ def _write_remaining(
             }
         ).withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))),
         "finished",
+        keep=True,
     )
     store.save_checkpoints(rs.checkpoint_rows(finished, F.col("status"), at), at)
     store.save_jobs(rs.merged_job_records(store.read_jobs(), finished.select(*AUDIT_SCHEMA.names)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.layout import RAW_COLUMNS
+from sievework.workspace import spread
 
 AS_OF = "2026-01-01 00:00:00"
 _GAP = "WHEN o_orderkey % 53 = 0 THEN ''"
@@ -73,7 +74,7 @@ def inbound_rows(orders: DataFrame) -> DataFrame:
 
 
 def inbound_rig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inbound_rows(table(spark, sf_dir, "orders"))
+    return inbound_rows(spread(table(spark, sf_dir, "orders")))
 
 
 def rig_select_sql() -> str:

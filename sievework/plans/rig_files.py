@@ -99,14 +99,3 @@ def workbook_bytes(rig: DataFrame, rows: int = 2_000) -> DataFrame:
 
     reports = with_reports(rig, rows).select("report", "row_number", *names)
     return reports.groupBy("report").applyInPandas(build, "file_path STRING, content BINARY")
-
-
-def workbook_listing(books: DataFrame) -> DataFrame:
-    """The listing intake sees for in-memory workbooks."""
-    return books.select(
-        "file_path",
-        F.length("content").cast("bigint").alias("file_size_bytes"),
-        F.lit(None).cast("timestamp").alias("modified_at"),
-    )
-
-

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sievework.layout import RAW_COLUMNS
 from sievework.operators.headers import check_headers
-from sievework.operators.numbering import record_numbers
+from sievework.operators.numbering import record_numbers, record_offsets
 from sievework.workspace import materialise
 
 _GLOB = "*.[cC][sS][vV]"
@@ -175,5 +175,6 @@ def scan_csv_reports(
     files = materialise(checked_headers(manifest, folder), "headers")
     records = csv_records(spark, folder, files)
     written = materialise(shape(records) if shape else records, "records")
-    numbered = record_numbers(written.drop("row_number")).where("row_number > 1")
+    offsets = materialise(record_offsets(written), "offsets")
+    numbered = record_numbers(written.drop("row_number"), offsets).where("row_number > 1")
     return numbered.drop("block_start", "line_id"), files

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +28,34 @@ def work_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has used yet."""
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+_scratch: list[str] = []
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Collect the intermediate tables of a run in one folder and drop it at the end."""
+    folder = f"{work_root(spark)}/run-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        remove(spark, folder)
+
+
+def fresh_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A path nobody has used yet; inside a scratch run it goes with the run unless kept."""
+    folder = _scratch[-1] if _scratch and not keep else work_root(spark)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write a DataFrame once and go on from the written table.
 
     Besides cutting the lineage this gives Spark the true size of the result, so that its
     own broadcast threshold decides joins on facts.
     """
-    path = fresh_path(df.sparkSession, label)
+    path = fresh_path(df.sparkSession, label, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -67,12 +85,34 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Session settings the wide row expressions want.
+_BYTES_PER_PARTITION = 128 * 1024 * 1024
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Session settings the wide row expressions and large inputs want.
 
     HotSpot never compiles a method above 8000 bytes of bytecode.  With the stock limit a
     wide projection becomes one such method and runs interpreted; with this limit Spark
     evaluates it in many small compiled ones (measured: twice the rows per second).
+
+    The number of shuffle partitions starts from the size of the input, so that a partition
+    fits into a task; adaptive execution merges what turns out small.  It is only raised.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    wanted = -(-input_bytes // _BYTES_PER_PARTITION)
+    start = int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted > start:
+        spark.conf.set(_INITIAL, str(wanted))
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy row work at least one partition per core.
+
+    Only acts on inputs with fewer partitions than the cluster has cores (a single small
+    file); large inputs keep their scan partitions and are not shuffled.  Columns are pruned
+    below the exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
