@@ -24,17 +24,25 @@ def refusal(name: Column | str, size: Column | str, max_bytes: int = MAX_UPLOAD_
 
 
 def list_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """One row per file; contents are never read (only metadata columns are selected)."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .select(
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_size").alias("file_size_bytes"),
-            F.col("_metadata.file_modification_time").alias("modified_at"),
-        )
+    """One row per file; contents are never read (only metadata columns are selected).
+
+    A scan has no task for an empty file, so those come from the file index, which the driver
+    holds for any scan.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    listed = scan.select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_size").alias("file_size_bytes"),
+        F.col("_metadata.file_modification_time").alias("modified_at"),
+    )
+    known = spark.createDataFrame([(p,) for p in scan.inputFiles()], "file_path STRING")
+    # The two listings write the slashes after a scheme differently.
+    same = F.regexp_replace("file_path", "^([a-z0-9]+):/+", "$1:/").alias("same_path")
+    seen = listed.select(same)
+    empty = known.withColumn("same_path", same).join(seen, "same_path", "left_anti").select(
+        "file_path", F.lit(0).cast("bigint").alias("file_size_bytes"), F.lit(None).cast("timestamp").alias("modified_at")
     )
+    return listed.unionByName(empty)
 
 
 def workbook_listing(books: DataFrame) -> DataFrame:
