@@ -52,6 +52,7 @@ class Options:
     parquet_primary: bool = False
     staging_fallback: bool = True
     batch_groups: int = 1
+    progress_interval: int = 1
     rows_per_file: int = nb.SLICE_ROWS
     max_upload_bytes: int = MAX_UPLOAD_BYTES
 
@@ -424,6 +425,9 @@ def write_groups(
         )
         if options.checkpointing:
             store.save_checkpoints(rs.checkpoint_rows(state, F.lit("Started"), at), at)
+            if g % max(options.progress_interval, 1) == 0 and g < groups:
+                # After the last group the final job record follows at once.
+                store.save_jobs(state)
     return state
 
 
@@ -479,6 +483,7 @@ def finish_failed(store: Store, state: DataFrame, reason: str, at: Column) -> Da
 def write_summaries(store: Store, finished: DataFrame) -> None:
     """Summary document per job, and its rejected rows as list parts."""
     write_documents(summary_documents(finished), store.summaries)
+    tb.delete_job_rows(store.spark, store.rejected_parts, job_ids(finished))
     mine = store.read_rejected().join(finished.select("job_id"), "job_id", "left_semi")
     write_documents(rejected_documents(ct.rejected_lists(mine)), store.rejected_parts)
 

@@ -137,6 +137,20 @@ def malformed_rows(spark, sf):
     return ru.malformed_rejections(typed, qr.as_of()).select("job_id", "row_number", "field_name")
 
 
+# Of the readable records of the broken reports only those without any text fail rules.
+_EMPTY_RULES = ["V01", "V03", "V05", "V07", "V08", "V09", "V11", "V12"]
+
+
+@query(
+    f"SELECT job_id, row_number, NULL AS rule_id FROM ({_FAULTY}) t WHERE malformed UNION ALL "
+    f"SELECT job_id, row_number, rule_id FROM ({_FAULTY}) t CROSS JOIN (VALUES {', '.join(f'({chr(39)}{r}{chr(39)})' for r in _EMPTY_RULES)}) r(rule_id) WHERE o_orderkey % 7 = 5"
+)
+def rejected_union(spark, sf):
+    typed = ru.validate(typed_findings(_broken_rows(spark, sf), qr.as_of()), qr.as_of())
+    rows = ru.rejected_rows(materialise(typed, "checked"), qr.as_of())
+    return rows.select("job_id", "row_number", "rule_id")
+
+
 @query(
     f"SELECT job_id, row_number, malformed, CASE o_orderkey % 7 WHEN 0 THEN 'f.txt' WHEN 1 THEN 'f, \"x\".txt' WHEN 3 THEN 'long' WHEN 5 THEN '' END AS finding_file_name FROM ({_FAULTY}) t"
 )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.layout import AUDIT_SCHEMA, CHECKPOINT_SCHEMA
+from sievework.layout import AUDIT_SCHEMA, CHECKPOINT_SCHEMA, REJECTED_SCHEMA
 from sievework.operators import lookups as lk
 from sievework.operators import numbering as nb
 from sievework.operators import resume as rs
@@ -487,7 +487,7 @@ def finding_to_item(spark, sf):
     return items.select("job_id", it.get_text("item", "id").alias("id"), F.to_json("item").alias("item"))
 
 
-_AUDIT_SQL = {c: c for _, _, c in it.AUDIT_ITEM}
+_AUDIT_SQL = {c: c if c in AUDIT else "CAST(NULL AS VARCHAR)" for _, _, c in it.AUDIT_ITEM}
 _COUNTS = f"CASE WHEN n % 3 > 0 THEN '{{\"Obsolete\":' || n % 1000 || ',\"Error\":' || n % 6 || '}}' END"
 _AUDIT_SQL["finding_type_counts"] = _COUNTS
 _AUDIT_ITEM_SQL = f"SELECT job_id, {orc.json_sql(_typed_pairs([(n, k, _AUDIT_SQL[c]) for n, k, c in it.AUDIT_ITEM]))} AS item FROM (SELECT *, CAST(substr(job_id, 5) AS BIGINT) AS n FROM au) t"
@@ -498,8 +498,10 @@ def audit_to_item(spark, sf):
     return it.to_items(jobs(spark, sf), "audit").select("job_id", F.to_json("item").alias("item"))
 
 
+_STORED = {f.name for f in REJECTED_SCHEMA}
 _REJECTED_SQL = {
-    **{c: c for _, _, c in it.REJECTED_ITEM},
+    # Columns that only infrastructure errors fill stay out of the item.
+    **{c: c if c in _STORED else "CAST(NULL AS TIMESTAMP)" if k == "D" else "CAST(NULL AS VARCHAR)" for _, k, c in it.REJECTED_ITEM},
     "rejected_row_id": "sha256(id || '|' || rule_id)",
     "quarantine_date": "''",
     "status": "'Error'",

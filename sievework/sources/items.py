@@ -56,6 +56,7 @@ AUDIT_ITEM = [
     ("uid", "S", "report_uid"),
     ("inboundFileName", "S", "inbound_file_name"),
     ("inboundFileSizeBytes", "N", "file_size_bytes"),
+    ("inboundFileContentType", "S", "inbound_file_content_type"),
     ("fileFormat", "S", "file_format"),
     ("s3FolderPath", "S", "s3_folder_path"),
     ("s3FilePath", "S", "source_file_path"),
@@ -66,6 +67,9 @@ AUDIT_ITEM = [
     ("UploadedBy", "S", "uploaded_by"),
     ("userName", "S", "user_name"),
     ("startedBy", "S", "started_by"),
+    ("UploadedDisplayName", "S", "uploaded_display_name"),
+    ("UploadedEmailId", "S", "uploaded_email_id"),
+    ("inboundFileChecksum", "S", "inbound_file_checksum"),
     ("startTimestampUtc", "D", "start_timestamp_utc"),
     ("endTimestampUtc", "D", "end_timestamp_utc"),
     ("status", "S", "status"),
@@ -100,11 +104,21 @@ REJECTED_ITEM = [
     ("findingFileName", "S", "finding_file_name"),
     ("findingType", "S", "finding_type"),
     ("userName", "S", "user_name"),
+    ("currentFileLocation", "S", "current_file_location"),
+    ("dataSystem", "S", "source_system_platform"),
+    ("fileOwner", "S", "file_owner"),
+    ("siteOwner", "S", "site_owner"),
+    ("findingFileFormat", "S", "finding_file_format"),
+    ("originatingDataSystem", "S", "originating_data_system"),
+    ("originatingVendorTool", "S", "originating_vendor_tool"),
     ("quarantineDate", "S", "quarantine_date"),
     ("Status", "S", "status"),
+    ("findingFileSizeBytes", "N", "finding_file_size_bytes"),
     ("recordVersionId", "N", "record_version_id"),
     ("rowCreatedDateOn", "D", "error_date_utc"),
+    ("fileLastModifiedOn", "D", "last_modified_date_utc"),
     ("errorCategory", "S", "error_category"),
+    ("stackTrace", "S", "stack_trace"),
     ("rowNumber", "N", "row_number"),
     ("fieldName", "S", "field_name"),
     ("rejectedValue", "S", "rejected_value"),
@@ -170,6 +184,10 @@ NULLABLE_TEXT = {
         "failure_reason",
         "source_system",
         "checkpoint_message",
+        "inbound_file_content_type",
+        "uploaded_display_name",
+        "uploaded_email_id",
+        "inbound_file_checksum",
     },
     "rejected": {
         "source_record_id",
@@ -180,6 +198,12 @@ NULLABLE_TEXT = {
         "error_category",
         "rejected_value",
         "raw_row_json",
+        "current_file_location",
+        "source_system_platform",
+        "file_owner",
+        "site_owner",
+        "finding_file_format",
+        "stack_trace",
     },
     "checkpoint": {"source_system", "failure_reason", "working_file_path", "working_file_format"},
 }

@@ -7,8 +7,10 @@ workbook is bounded by the intake size limit and its rows leave in small batches
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,6 +23,8 @@ from sievework.operators.headers import check_headers
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _BATCH = 5000
+# Built-in number formats that show dates and times.
+_DATE_FORMATS = {"14", "15", "16", "17", "18", "19", "20", "21", "22", "45", "46", "47"}
 SHEET_SCHEMA = "file_path STRING, row_number BIGINT, cells MAP<INT, STRING>"
 NO_XLSX_HEADER = "Excel file does not contain a header row."
 
@@ -45,12 +49,38 @@ def _first_sheet(book: zipfile.ZipFile) -> str:
     return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
 
 
-def _cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
+def _date_styles(book: zipfile.ZipFile) -> set[str]:
+    """Indexes of the cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    styles = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {
+        f.get("numFmtId")
+        for f in styles.iter(f"{_MAIN}numFmt")
+        if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")), re.IGNORECASE)
+    }
+    formats = styles.findall(f"{_MAIN}cellXfs/{_MAIN}xf")
+    return {str(i) for i, f in enumerate(formats) if f.get("numFmtId") in own or f.get("numFmtId") in _DATE_FORMATS}
+
+
+def _date_text(serial: str) -> str:
+    try:
+        at = datetime(1899, 12, 30) + timedelta(seconds=round(float(serial) * 86400))
+    except (ValueError, OverflowError):
+        return serial
+    return at.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[str]) -> str:
     kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
     if kind == "inlineStr":
         return _texts(cell)
     text = value.text or "" if value is not None else ""
-    return shared[int(text)] if kind == "s" and text else text
+    if kind == "s" and text:
+        return shared[int(text)]
+    if kind == "b":
+        return "TRUE" if text == "1" else "FALSE"
+    return _date_text(text) if text and kind in (None, "n") and cell.get("s") in dates else text
 
 
 def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
@@ -59,7 +89,7 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [_texts(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        last = 0
+        last, dates = 0, _date_styles(book)
         with book.open(_first_sheet(book)) as sheet:
             for _, row in ElementTree.iterparse(sheet):
                 if row.tag != f"{_MAIN}row":
@@ -68,7 +98,7 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
                 cells, at = {}, 0
                 for cell in row.findall(f"{_MAIN}c"):
                     at = _column(cell.get("r")) if cell.get("r") else at + 1
-                    text = _cell_text(cell, shared)
+                    text = _cell_text(cell, shared, dates)
                     if text != "":
                         cells[at] = text
                 row.clear()

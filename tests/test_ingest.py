@@ -93,6 +93,7 @@ def test_ingesting_twice_is_ingesting_once(box):
     box.put(a=report(250))  # no rejects any more: the old ones must go
     box.ingest(ing.Options(batch_size=100), LATER)
     assert box.findings() == first and box.store.read_rejected().count() == 0
+    assert not glob.glob(f"{box.store.rejected_parts}/job_id=a/*.txt")
     assert box.store.read_jobs().count() == 2
     created = {r.job_id: (r.created_at_utc, r.last_checkpoint_utc) for r in box.store.read_checkpoints().collect()}
     assert created["a"][0] < created["a"][1]

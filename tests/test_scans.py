@@ -1,5 +1,8 @@
 """Report files in all their shapes."""
 
+import io
+import zipfile
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -134,3 +137,26 @@ def test_file_without_lines_has_no_header(spark, tmp_path):
     folder = put(tmp_path, {"x.csv": "\n"})
     files = checked_headers(manifest_of(spark, folder), folder).collect()
     assert [f.header_error for f in files] == ["CSV file does not contain a header row."]
+
+
+def test_dates_and_flags_in_workbooks():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO(workbook(pd.DataFrame(), ["x"]))
+    book = zipfile.ZipFile(out)
+    files = {n: book.read(n) for n in book.namelist()}
+    files["xl/styles.xml"] = (
+        f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy/mm"/><numFmt numFmtId="171" formatCode="0.00&quot;d&quot;"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    ).encode()
+    files["xl/sharedStrings.xml"] = f"<sst {ns}><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>".encode()
+    files["xl/worksheets/sheet1.xml"] = (
+        f'<worksheet {ns}><sheetData><row r="3"><c r="A3" s="1"><v>43957.5</v></c><c r="B3" s="2"><v>43957</v></c><c r="C3" s="3"><v>2.5</v></c>'
+        '<c r="D3" t="b"><v>1</v></c><c r="AA3" t="s"><v>0</v></c></row></sheetData></worksheet>'
+    ).encode()
+    again = io.BytesIO()
+    with zipfile.ZipFile(again, "w") as new:
+        for name, data in files.items():
+            new.writestr(name, data)
+    assert list(sheet_rows(again.getvalue())) == [
+        (3, {1: "2020-05-06 12:00:00", 2: "2020-05-06 00:00:00", 3: "2.5", 4: "TRUE", 27: "rich"})
+    ]
