@@ -42,7 +42,7 @@ from sievework.sources.reports import scan_reports
 
 @dataclass(frozen=True)
 class Options:
-    """Processing settings; the defaults are the reference capacity settings."""
+    """Processing settings."""
 
     batch_size: int = BATCH_SIZE
     checkpointing: bool = True
