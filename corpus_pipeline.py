@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import quality, simhash
+from sievework.llm import decontamination, packing, pii, quality, simhash
 from sievework.workspace import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,7 +26,30 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs.select(*COLUMNS), shingle=3, radius=2).select(*COLUMNS)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", good_quality), ("simhash near-dedup", one_of_each)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.drop_contaminated(docs.select(*COLUMNS), items)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, each span of personal data replaced by its kind in brackets."""
+    clean = pii.find_personal_data(docs.select(*COLUMNS), redact=True)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", good_quality),
+    ("simhash near-dedup", one_of_each),
+    ("benchmark decontamination", without_benchmark),
+    ("personal data", without_personal_data),
+    ("best-fit packing", packed),
+]
 
 # The quality cutoffs and the links between fingerprints come from loops that SQL does not express.
 ORACLE_SQL: str | None = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.workspace import materialise
 
+CARRIED = "_carried"
 # A word is a run of characters other than the space and the five ASCII control blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -16,6 +17,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS, -1), "")
 
 
+def carried(columns: list[str]) -> Column:
+    """The caller's columns as one, so that their names cannot clash with an operator's own; ``CARRIED.*`` undoes it."""
+    return F.struct(*columns).alias(CARRIED)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut a plan by a table in the cluster's shared folder."""
     return materialise(df, label)

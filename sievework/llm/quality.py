@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import words, written
+from sievework.llm.common import CARRIED, carried, words, written
 
 GRID = 1000
 STRATA = ("en", "de", "fr", "es", "other")
@@ -175,7 +175,8 @@ def judge(
     """
     results = (*COUNTS, "base_failed", "failed_rules", "kept")
     kept = [c for c in (carry or docs.columns) if c not in results]
-    measured = measure(docs.withColumns({"_key": F.col(doc_id), "_stratum": stratum(lang)}), [*kept, "_key", "_stratum"], text)
+    named = docs.select(carried(kept), F.col(doc_id).alias("_key"), stratum(lang).alias("_stratum"), F.col(text).alias("_text"))
+    measured = measure(named, [CARRIED, "_key", "_stratum"], "_text")
     scored = written(measured.withColumns(scores()), "quality-counts")
     cutoffs = fit_cutoffs(scored, labels, "_key", share, error)
 
@@ -186,7 +187,7 @@ def judge(
     failed = F.array_compact(F.array(*[F.when(fails(r), F.lit(r)) for r in RULES]))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return scored.select(
-        *kept,
+        f"{CARRIED}.*",
         *COUNTS,
         base.alias("base_failed"),
         failed.alias("failed_rules"),

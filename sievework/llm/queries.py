@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import quality, sharding, simhash, url_filter
+from sievework.llm import decontamination, packing, pii, quality, sharding, simhash, url_filter
 from sievework.llm.url_filter import Rule
 
 # The URL rules, and globs for hosts and paths of link farms.
@@ -22,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -36,9 +45,25 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, URL_BLOCKED).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "distance", "start", "n_words")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"], shingle=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op4_histogram_shards, op6_quality_rules, op8_url_filter, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_best_fit_packing,
+        op3_pii,
+        op4_histogram_shards,
+        op6_quality_rules,
+        op8_url_filter,
+        op9_decontamination,
+        op10_simhash,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import partitions, written
+from sievework.llm.common import CARRIED, carried, partitions, written
 
 FIRST_BITS, NEXT_BITS, BITS = 12, 8, 64
 LEVELS = ("_a", "_b", "_r")
@@ -147,7 +147,7 @@ def shard_by_bytes(
     bytes_ = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     keys = written(
         docs.select(
-            *kept,
+            carried(kept),
             (F.octet_length(bytes_).cast("long") + 1).alias("size"),
             F.crc32(bytes_).alias("text_crc32"),
             F.xxhash64(bytes_).alias("_a"),
@@ -172,7 +172,7 @@ def shard_by_bytes(
         placed.withColumn("_at", F.row_number().over(in_cell))
         .join(starts, ["shard", "_cell"])
         .select(
-            *kept,
+            f"{CARRIED}.*",
             "size",
             "text_crc32",
             F.lit("bytes").alias("law"),

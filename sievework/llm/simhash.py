@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import written
+from sievework.llm.common import CARRIED, carried, written
 
 HALF = 32
 SEED = 42
@@ -46,19 +46,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, carry: list[str], text: str = "text", shingle: int = 3) -> DataFrame:
-    """Columns in ``carry`` and ``_fp``, the fingerprint as a signed 64-bit number."""
+def with_fingerprints(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """Columns in ``carry`` (as one), ``_id`` and ``_fp``, the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             marks = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.int64())], names=[*carry, "_fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], names=[CARRIED, "_id", "_fp"])
 
-    source = docs.select(*carry, F.col(text).alias("_text"))
-    schema = source.select(*carry, F.lit(0).cast("long").alias("_fp")).schema
-    return source.mapInArrow(run, schema)
+    source = docs.select(carried(carry), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    return source.mapInArrow(run, source.select(CARRIED, "_id", F.lit(0).cast("long").alias("_fp")).schema)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -101,7 +99,7 @@ def link_fingerprints(marks: DataFrame, radius: int = 2) -> DataFrame:
     """
     if not 0 <= radius <= 2:
         raise ValueError("the halves of a fingerprint guarantee two bits at most")
-    spread = marks.select("_fp", F.inline(_variants("_fp")))
+    spread = marks.select("_fp", F.inline_outer(_variants("_fp")))
     key = ["half", "wild", "value"]
     met = spread.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
     candidates = written(spread.join(met, key), "simhash-variants")
@@ -154,23 +152,24 @@ def near_duplicates(
     empty table gives no rows; input columns named as a result column are replaced.
     """
     kept = [c for c in (carry or docs.columns) if c not in ("fingerprint", "component_id")]
-    marked = written(with_fingerprints(docs.withColumn("_id", F.col(doc_id)), [*kept, "_id"], text, shingle), "simhash-marks")
+    marked = written(with_fingerprints(docs, kept, text, doc_id, shingle), "simhash-marks")
     marks = written(marked.groupBy("_fp").agg(F.min("_id").alias("_least")), "simhash-distinct")
     roots = components(link_fingerprints(marks.select("_fp"), radius))
     grouped = marks.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("_least").alias("component_id"))
     class_of = written(grouped.join(named, "root").select("_fp", "component_id"), "simhash-classes")
     return marked.join(class_of, "_fp").select(
-        *kept, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+        f"{CARRIED}.*", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, the one with the smallest id; of equal ids the first row."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-input")
-    found = near_duplicates(numbered.select("_row", doc_id, "text"), ["_row", doc_id], doc_id=doc_id, shingle=shingle, radius=radius)
+    numbered = written(docs.select(carried(docs.columns), F.monotonically_increasing_id().alias("_row")), "simhash-input")
+    plain = numbered.select("_row", F.col(f"{CARRIED}.{doc_id}").alias("_doc"), F.col(f"{CARRIED}.text").alias("text"))
+    found = near_duplicates(plain, ["_row", "_doc"], doc_id="_doc", shingle=shingle, radius=radius)
     # A component of null ids alone has no name; its fingerprint tells it apart.
     least = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))).agg(
-        F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))).alias("_first")
+        F.min(F.struct(F.col("_doc").isNull().alias("no_id"), F.col("_doc").alias("id"), F.col("_row").alias("row"))).alias("_first")
     )
-    return numbered.join(least.select(F.col("_first.row").alias("_row")), "_row", "left_semi").drop("_row")
+    return numbered.join(least.select(F.col("_first.row").alias("_row")), "_row", "left_semi").select(f"{CARRIED}.*")

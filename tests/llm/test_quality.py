@@ -38,7 +38,7 @@ def test_supplied_documents(spark):
 
 
 def test_odd_rows_and_names(spark, make_docs, odd_docs):
-    docs = make_docs([(i, t) for i, (_, t) in enumerate(odd_docs)]).selectExpr("*", "'x' as kept", "7 as n_words", "3 as symbols_")
+    docs = make_docs([(i, t) for i, (_, t) in enumerate(odd_docs)]).selectExpr("*", "'x' as kept", "7 as n_words", "3 as _w")
     labels = spark.createDataFrame([(None, 1, 0), (3, None, None), (3, 1, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
     rows = judge(docs, labels).collect()
     assert len(rows) == len(odd_docs)

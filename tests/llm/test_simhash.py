@@ -55,7 +55,7 @@ def test_supplied_documents(spark):
 
 
 def test_odd_rows_and_names(make_docs, odd_docs):
-    docs = make_docs(odd_docs).selectExpr("*", "1 as component_id", "2 as node", "3 as a", "4 as _least")
+    docs = make_docs(odd_docs).selectExpr("*", "1 as component_id", "2 as node", "3 as _id", "4 as _fp")
     rows = near_duplicates(docs).collect()
     verify(rows, odd_docs)
     assert near_duplicates(docs.limit(0)).collect() == []
