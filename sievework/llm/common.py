@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.workspace import materialise
@@ -27,5 +29,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

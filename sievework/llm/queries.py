@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import decontamination, packing, pii, quality, sharding, simhash, url_filter
+from sievework.llm import decontamination, packing, pii, quality, sharding, simhash, substring_dedup, url_filter
 from sievework.llm.url_filter import Rule
 
 # The URL rules, and globs for hosts and paths of link farms.
@@ -35,6 +35,10 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], texts=False)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "failed_rules")
@@ -60,6 +64,7 @@ QUERIES = {
         op2_best_fit_packing,
         op3_pii,
         op4_histogram_shards,
+        op5_substring_dedup,
         op6_quality_rules,
         op8_url_filter,
         op9_decontamination,
