@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, packing, pii, quality, sharding, simhash, substring_dedup, url_filter
+from sievework.llm import decontamination, html_extraction, packing, pii, quality, sharding, simhash, substring_dedup, url_filter, warc
 from sievework.llm.url_filter import Rule
 
 # The URL rules, and globs for hosts and paths of link farms.
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,6 +49,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "failed_rules")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derived = warc.derive(warc.responses(table(spark, sf_dir, "pages")).select("page_id", "headers", "block"))
+    names = {
+        "warc_type": "WARC-Type",
+        "record_id": "WARC-Record-ID",
+        "refers_to": "WARC-Refers-To",
+        "target_uri": "WARC-Target-URI",
+        "payload_digest": "WARC-Source-Payload-Digest",
+        "block_digest": "WARC-Block-Digest",
+    }
+    return derived.select("page_id", *[warc.header(h).alias(n) for n, h in names.items()], F.decode("block", "UTF-8").alias("block"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES, URL_BLOCKED).select("page_id", "host", "path", "rule", "verdict")
@@ -61,11 +79,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_best_fit_packing,
         op3_pii,
         op4_histogram_shards,
         op5_substring_dedup,
         op6_quality_rules,
+        op7_warc_derivatives,
         op8_url_filter,
         op9_decontamination,
         op10_simhash,
