@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.workspace import materialise
+from sievework.workspace import fresh_path, materialise
 
 CARRIED = "_carried"
 # A word is a run of characters other than the space and the five ASCII control blanks.
@@ -29,6 +29,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the table's path, for tables that a later step drops."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def released(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected their plans."""
     gc.collect()

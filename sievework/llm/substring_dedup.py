@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import CARRIED, carried, released, written
+from sievework.llm.common import CARRIED, carried, released, stored, written
+from sievework.workspace import remove
 
 ANCHOR = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPAN_MIX = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 18
 
 
@@ -48,8 +50,8 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def paths(tokens: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hashes, path hashes (32 bits), first windows of the paths of a text, and all window hashes (32 bits)."""
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    """Anchor hashes, path hashes (32 bits), first windows and numbers of windows of the paths of a text."""
+    hashes = _hashes(tokens)
     grams = _rolled(hashes, ANCHOR, _MIX)
     n = len(tokens) - span + 1
     width = span - ANCHOR + 1
@@ -58,17 +60,24 @@ def paths(tokens: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.nd
         end = min(n, at + _CHUNK)
         view = np.lib.stride_tricks.sliding_window_view(grams[at : end + width - 1], width)
         anchor[at:end] = view.argmin(axis=1) + np.arange(at, end)
-    windows = _rolled(hashes, span, np.uint64(0xD6E8FEB86659FD93))
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    length = np.diff(np.append(first, n))
     # A path is the sequence of its windows; a sum of differently multiplied hashes stands for it.
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    whole = np.add.reduceat(windows * (_MIX + np.uint64(2) * place.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), first)
+    place = (np.arange(n) - np.repeat(first, length)).astype(np.uint64)
+    whole = np.add.reduceat(_rolled(hashes, span, _SPAN_MIX) * (_MIX + np.uint64(2) * place * np.uint64(0xA24BAED4963EE407)), first)
     whole ^= whole >> np.uint64(31)
-    return grams[anchor[first]], whole.astype(np.uint32), first, windows.astype(np.uint32)
+    return grams[anchor[first]], whole.astype(np.uint32), first, length
 
 
-def _emit_paths(span: int, names: list[str]):
-    """Rows (key, id, anchor, path, start, windows) for every path of every text."""
+def _hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+
+
+PATH = ["_key", "_id", "anchor", "path", "start", "length"]
+
+
+def _emit_paths(span: int):
+    """Rows of ``PATH`` for every path of every text with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,62 +86,106 @@ def _emit_paths(span: int, names: list[str]):
                 tokens = _words(text.as_py())
                 if len(tokens) < span or not batch.column(1)[i].is_valid:
                     continue
-                anchor, path, first, windows = paths(tokens, span)
-                parts.append((np.full(len(first), i), anchor, path, first, np.append(first[1:], len(windows)) - first, windows))
-                size += len(windows)
-                if size > 1_000_000:
-                    yield _batch(batch, parts, names)
+                anchor, path, first, length = paths(tokens, span)
+                parts.append((np.full(len(first), i), anchor, path, first, length))
+                size += len(first)
+                if size > 500_000:
+                    yield _path_batch(batch, parts)
+                    parts, size = [], 0
+            if parts:
+                yield _path_batch(batch, parts)
+
+    return run
+
+
+def _path_batch(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+    row, anchor, path, first, length = (np.concatenate(x) for x in zip(*parts))
+    taken = pa.array(row)
+    columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(anchor.view(np.int64)), pa.array(path.view(np.int32))]
+    columns += [pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=PATH)
+
+
+def _emit_windows(span: int):
+    """Rows (_key, _id, anchor, window, start) for the listed paths of a text, window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, size = [], 0
+            for i, (text, listed) in enumerate(zip(batch.column(2), batch.column(3))):
+                hashes = _hashes(_words(text.as_py()))
+                for p in listed.as_py():
+                    n = p["length"]
+                    window = _rolled(hashes[p["start"] : p["start"] + n + span - 1], span, _SPAN_MIX)
+                    parts.append((np.full(n, i), np.full(n, p["anchor"]), window, np.arange(p["start"], p["start"] + n)))
+                    size += n
+                if size > 500_000:
+                    yield _window_batch(batch, parts)
                     parts, size = [], 0
             if parts:
-                yield _batch(batch, parts, names)
+                yield _window_batch(batch, parts)
 
     return run
 
 
-def _batch(batch: pa.RecordBatch, parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    row, anchor, path, first, length, windows = (np.concatenate(x) for x in zip(*parts))
-    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+def _window_batch(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+    row, anchor, window, start = (np.concatenate(x) for x in zip(*parts))
     taken = pa.array(row)
-    columns = [
-        batch.column(0).take(taken),
-        batch.column(1).take(taken),
-        pa.array(anchor.view(np.int64)),
-        pa.array(path.view(np.int32)),
-        pa.array(first.astype(np.int32)),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(windows.view(np.int32))),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(anchor), pa.array(window.astype(np.uint32).view(np.int32))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(start.astype(np.int32))], names=["_key", "_id", "anchor", "window", "start"])
+
+
+def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(_key(doc_id, text), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+
+
+def _shared_paths(docs: DataFrame, span: int, text: str, doc_id: str) -> DataFrame:
+    """Paths on anchors that occur under more than one id."""
+    source = _source(docs, text, doc_id)
+    kind = source.schema["_id"].dataType.simpleString()
+    found = source.mapInArrow(_emit_paths(span), f"_key bigint, _id {kind}, anchor bigint, path int, start int, length int")
+    table, place = stored(found, "repeat-anchors")
+    shared = table.groupBy("anchor").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high").select("anchor")
+    hits = written(table.join(shared, "anchor"), "repeat-paths")
+    remove(docs.sparkSession, place)
+    return hits
+
+
+def _compacted(hits: DataFrame) -> DataFrame:
+    """Paths with the first place they occur at, where that is in another document or the path has to be taken apart."""
+    classes = hits.groupBy("anchor", "path").agg(F.min(F.struct("_id", "_key", "start")).alias("first"))
+    classes = written(classes, "repeat-classes")
+    branching = classes.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor", F.lit(True).alias("branching"))
+    told = classes.join(branching, "anchor", "left")
+    known = hits.join(told, ["anchor", "path"]).where((F.col("first._id") < F.col("_id")) | F.col("branching"))
+    return written(known.select(*PATH, "first", (F.col("first._id") < F.col("_id")).alias("repeated")), "repeat-known")
+
+
+def _taken_apart(docs: DataFrame, known: DataFrame, span: int, text: str, doc_id: str) -> DataFrame:
+    """Repeats inside branching paths, found window by window in the first documents that have the paths."""
+    wanted = known.where("not repeated").groupBy("_key").agg(F.collect_set(F.struct("anchor", "start", "length")).alias("_paths"))
+    source = _source(docs, text, doc_id)
+    kind = source.schema["_id"].dataType.simpleString()
+    single = source.join(wanted, "_key").select("_key", "_id", "_text", "_paths").mapInArrow(
+        _emit_windows(span), f"_key bigint, _id {kind}, anchor bigint, window int, start int"
+    )
+    single = written(single, "repeat-windows")
+    released(docs.sparkSession)
+    earliest = single.groupBy("anchor", "window").agg(F.min(F.struct("_id", "_key", "start")).alias("first"), F.max("_id").alias("_high"))
+    inside = single.join(earliest.where("first._id < _high"), ["anchor", "window"]).where(F.col("first._id") < F.col("_id"))
+    return inside.select("_key", "start", F.lit(1).alias("length"), F.col("first._key").alias("source_key"), F.col("first.start").alias("source_start"))
 
 
 def repeated_spans(docs: DataFrame, span: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Repeats before verification: ``_key``, ``start`` and ``length`` (windows), ``source_key``, ``source_start``."""
-    source = docs.select(_key(doc_id, text), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    kind = source.schema["_id"].dataType.simpleString()
-    names = ["_key", "_id", "anchor", "path", "start", "windows"]
-    schema = f"_key bigint, _id {kind}, anchor bigint, path int, start int, windows array<int>"
-    found = source.mapInArrow(_emit_paths(span, names), schema)
-    shared = found.groupBy("anchor").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high").select("anchor")
-    hits = written(found.join(shared, "anchor"), "repeat-paths")
+    hits = _shared_paths(docs, span, text, doc_id)
     released(docs.sparkSession)
-    first = F.min(F.struct("_id", "_key", "start"))
-    classes = written(hits.groupBy("anchor", "path").agg(first.alias("first")), "repeat-classes")
-    branching = classes.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
-    known = hits.join(classes, ["anchor", "path"])
-    equal = known.where(F.col("first._id") < F.col("_id")).select(
-        "_key", "start", F.size("windows").alias("length"), F.col("first._key").alias("source_key"), F.col("first.start").alias("source_start")
-    )
-    # Paths on a branching anchor in the first document they occur in, window by window.
-    single = (
-        known.where(F.col("first._id") == F.col("_id"))
-        .join(branching, "anchor")
-        .select("_key", "_id", "anchor", "start", F.posexplode("windows").alias("_at", "window"))
-        .select("_key", "_id", "anchor", "window", (F.col("start") + F.col("_at")).alias("start"))
+    known = _compacted(hits)
+    released(docs.sparkSession)
+    equal = known.where("repeated").select(
+        "_key", "start", "length", F.col("first._key").alias("source_key"), F.col("first.start").alias("source_start")
     )
-    single = written(single, "repeat-windows")
-    earliest = single.groupBy("anchor", "window").agg(first.alias("first"), F.max("_id").alias("_high")).where("first._id < _high")
-    inside = single.join(earliest, ["anchor", "window"]).where(F.col("first._id") < F.col("_id"))
-    parts = inside.select("_key", "start", F.lit(1).alias("length"), F.col("first._key").alias("source_key"), F.col("first.start").alias("source_start"))
-    out = written(equal.unionByName(parts), "repeat-parts")
+    out = written(equal.unionByName(_taken_apart(docs, known, span, text, doc_id)), "repeat-parts")
     released(docs.sparkSession)
     return out
 
