@@ -14,12 +14,15 @@ _UNSAFE = r"[\x00/]"
 
 
 def report_uid(path: Column | str, received: Column | str) -> Column:
-    """Job id of a received file: time of receipt plus eight hex digits of the path's hash."""
+    """Job id of a received file: time of receipt plus 128 bits of the path's hash.
+
+    All files of one run may share a second, so the hash alone has to tell them apart.
+    """
     return F.concat(
         F.lit("ING-"),
         F.date_format(col(received), "yyyyMMdd-HHmmss"),
         F.lit("-"),
-        F.upper(F.substring(F.sha2(col(path).cast("string"), 256), 1, 8)),
+        F.upper(F.substring(F.sha2(col(path).cast("string"), 256), 1, 32)),
     )
 
 

@@ -93,13 +93,13 @@ def job_status(success: Column, rejected: Column) -> Column:
 def job_message(status: Column, success: Column, rejected: Column) -> Column:
     """Sentence that goes with the outcome."""
     partial = F.format_string(
-        "File processed with partial success. Success: %d, Rejected: %d.", success, rejected
+        "Taken in: %d rows; turned down: %d rows.", success, rejected
     )
     return (
-        F.when(status == "Success", F.lit("File processed successfully."))
+        F.when(status == "Success", F.lit("All rows were taken in."))
         .when(status == "PartialSuccess", partial)
-        .when(status == "Failed", F.lit("File processing failed. No valid records were ingested."))
-        .otherwise(F.lit("File processing completed."))
+        .when(status == "Failed", F.lit("No row was fit to be taken in."))
+        .otherwise(F.lit("The run has ended."))
     )
 
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from sievework.functions.text import col, squash, trim_all
 from sievework.layout import HEADERS, REQUIRED_HEADERS
 
-# Texts shown for a refused file.
-NO_HEADER = "Uploaded file does not contain any headers."
-DUPLICATES = "Uploaded file contains duplicate headers: "
-MISSING = "Uploaded file is missing required columns: "
+# Texts shown for a refused file; "duplicate headers" and "missing required columns" are fixed values.
+NO_HEADER = "The file names no columns."
+DUPLICATES = "The header has duplicate headers: "
+MISSING = "The header has missing required columns: "
 
 
 # Spelling-neutral form of the known columns.

@@ -12,7 +12,7 @@ from sievework.operators.tables import key_of
 
 # Failures worth another attempt.
 RETRYABLE = ["io", "timeout", "invalid_operation"]
-NOT_ELIGIBLE = "This ingestion job is not eligible for resume."
+NOT_ELIGIBLE = "The job cannot be resumed."
 
 
 def resume_eligible(status: Column | str, success: Column | str, processed: Column | str, flag: Column | str) -> Column:
@@ -44,7 +44,7 @@ def resume_state(checkpoints: DataFrame, batch_size: int, max_retries: int, now:
             "validation_failure_count": F.col("reject_count"),
             "max_batch_persistence_retry_count": F.lit(max_retries).cast("bigint"),
             "checkpoint_message": F.concat(
-                F.lit("Resume started from batch "),
+                F.lit("Resuming with batch "),
                 (F.col("last_successful_batch_number") + 1).cast("string"),
                 F.lit("."),
             ),
@@ -175,16 +175,8 @@ def checkpoint_rows(state: DataFrame, status: Column, now: Column, failure: Colu
 def checkpoint_message(eligible: Column, processed: Column) -> Column:
     """Progress text that goes with a checkpoint."""
     return F.when(
-        eligible, F.concat(F.lit("Processing stopped after record "), processed.cast("string"), F.lit("."))
-    ).otherwise(F.lit("Checkpoint updated."))
-
-
-def resume_failure_message(processed: Column, success: Column) -> Column:
-    """Progress text after a failed resume."""
-    return F.when(
-        processed < success,
-        F.concat(F.lit("Resume can continue from record "), (processed + 1).cast("string"), F.lit(".")),
-    ).otherwise(F.lit("Resume failed."))
+        eligible, F.concat(F.lit("Stopped behind record "), processed.cast("string"), F.lit("."))
+    ).otherwise(F.lit("Checkpoint written."))
 
 
 def working_store(enabled: Column, primary: Column, fallback: Column, parquet_failed: Column, rows: Column) -> Column:

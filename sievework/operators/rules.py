@@ -53,15 +53,15 @@ class Rule:
 
 
 def _required(label: str) -> str:
-    return f"{label} is required."
+    return f"A value for {label} is required."
 
 
 def _too_long(label: str, limit: int) -> str:
-    return f"{label} cannot exceed {limit} characters."
+    return f"{label} is longer than {limit} characters."
 
 
 def _allowed(label: str, values: Sequence[str]) -> str:
-    return f"{label} must be one of: {', '.join(values)}."
+    return f"{label} must be one of these: {', '.join(values)}."
 
 
 def _empty(field: str) -> Column:
@@ -92,9 +92,6 @@ def _bad_email(as_of: Column) -> Column:
     return ~_empty("restoration_requestor_email") & ~F.coalesce(good, F.lit(False))
 
 
-_WHEN_QUARANTINED = " when Finding_Type is Quarantined"
-_WHEN_EXCEPTION = " when Finding_Type is Exception"
-
 DEFAULT_RULES: list[Rule] = [
     Rule("V01", "finding_file_name", _required("Finding_File_Name"), _blank("finding_file_name")),
     Rule("V02", "finding_file_name", _too_long("Finding_File_Name", 512), _longer("finding_file_name", 512)),
@@ -125,51 +122,51 @@ DEFAULT_RULES: list[Rule] = [
     Rule(
         "V12",
         "finding_type",
-        f"Finding_Type is invalid. Allowed values: {', '.join(FINDING_TYPES)}.",
+        f"This Finding_Type is invalid. Allowed values: {', '.join(FINDING_TYPES)}.",
         lambda as_of: ~one_of(F.col("finding_type"), FINDING_TYPES),
     ),
     Rule(
         "V13",
         "original_file_location",
-        _required("Original_File_Location")[:-1] + _WHEN_QUARANTINED + ".",
+        "A quarantined finding is required to name its Original_File_Location.",
         lambda as_of: _is_type("Quarantined") & _empty("original_file_location"),
     ),
     Rule(
         "V14",
         "quarantine_date_utc",
-        _required("Quarantine_Date")[:-1] + _WHEN_QUARANTINED + ".",
+        "A quarantined finding is required to have a Quarantine_Date.",
         lambda as_of: _is_type("Quarantined") & F.col("quarantine_date_utc").isNull(),
     ),
     Rule(
         "V15",
         "exception_date_utc",
-        _required("Exception_Date")[:-1] + _WHEN_EXCEPTION + ".",
+        "An exception finding is required to have an Exception_Date.",
         lambda as_of: _is_type("Exception") & F.col("exception_date_utc").isNull(),
     ),
     Rule(
         "V16",
         "finding_file_size_bytes",
-        "Finding_File_Size must be >= 0.",
+        "Finding_File_Size is a negative size.",
         lambda as_of: F.coalesce(F.col("finding_file_size_bytes") < 0, F.lit(False)),
     ),
     Rule(
         "V17",
         "last_modified_date_utc",
-        "Last_Modified_Date cannot be in the future.",
+        "Last_Modified_Date lies more than a day ahead.",
         _future("last_modified_date_utc"),
     ),
-    Rule("V18", "created_date_utc", "Created_Date cannot be in the future.", _future("created_date_utc")),
+    Rule("V18", "created_date_utc", "Created_Date lies more than a day ahead.", _future("created_date_utc")),
     Rule(
         "V19",
         "last_accessed_date_utc",
-        "Last_Accessed_Date cannot be in the future.",
+        "Last_Accessed_Date lies more than a day ahead.",
         _future("last_accessed_date_utc"),
     ),
     # The value lookup knows neither the detection date nor the risk level.
     Rule(
         "V20",
         "detection_date_utc",
-        "Detection_Date cannot be in the future.",
+        "Detection_Date lies more than a day ahead.",
         _future("detection_date_utc"),
         shows_value=False,
     ),
@@ -183,7 +180,7 @@ DEFAULT_RULES: list[Rule] = [
     Rule(
         "V22",
         "restoration_requestor_email",
-        "Restoration_Requestor_Email must be a valid email address.",
+        "Restoration_Requestor_Email does not look like an address.",
         _bad_email,
     ),
 ]
@@ -292,7 +289,7 @@ def malformed_rejections(df: DataFrame, error_time: Column) -> DataFrame:
         null.alias("rule_id"),
         F.lit(MALFORMED_FIELD).alias("field_name"),
         null.alias("rejected_value"),
-        F.lit("Malformed CSV row.").alias("error_reason"),
+        F.lit("The row is not well-formed CSV.").alias("error_reason"),
         F.lit("Others").alias("error_category"),
         F.lit("MalformedInputRow").alias("resolved_category"),
         error_time.alias("error_date_utc"),

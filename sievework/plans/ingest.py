@@ -154,6 +154,8 @@ def ingest_folder(
 ) -> DataFrame:
     """Take in every new file of a folder and ingest it; returns the job records.
 
+    With ids of its own making it passes over files that an earlier run has taken in; with ids from the caller it replaces
+    their rows.
     ``write_batch_group`` stands in for the write of one batch group (a custom sink).
     """
     at = F.lit(now)
@@ -161,7 +163,12 @@ def ingest_folder(
         files = list_files(spark, folder)
         if books is not None:
             files = files.unionByName(workbook_listing(books))
-        manifest = ws.materialise(intake_manifest(files, at, options.max_upload_bytes, job_id), "manifest")
+        listed = intake_manifest(files, at, options.max_upload_bytes, job_id)
+        if job_id is None:
+            done = store.read_jobs().where("status IN ('Success', 'PartialSuccess')").select(F.col("job_id").alias("report_uid"))
+            listed = listed.join(done, "report_uid", "left_anti")
+        manifest = ws.materialise(listed, "manifest")
+        refuse_shared_ids(manifest)
         total = manifest.where("accepted").agg(F.sum("file_size_bytes")).first()[0] or 0
         ws.tune(spark, total * _GROWTH)
         write_documents(intake_metadata_json(manifest), store.intake)
@@ -169,6 +176,17 @@ def ingest_folder(
         return ingest_manifest(spark, manifest, folder, store, now, options, rules, write_batch_group, books)
 
 
+class UnknownJob(ValueError):
+    """Accepted files whose job record does not exist."""
+
+
+def refuse_shared_ids(manifest: DataFrame) -> None:
+    """Two files under one job id would mix their rows; nothing is written then."""
+    twice = manifest.where("accepted").groupBy("report_uid").count().where("count > 1").select("report_uid").take(3)
+    if twice:
+        raise ValueError(f"several files share a job id: {', '.join(r[0] for r in twice)}")
+
+
 # Typed rows with ids and status are larger than the text they come from.
 _GROWTH = 3
 
@@ -223,6 +241,9 @@ def _job_states(
     records = store.read_jobs().select(
         "job_id", *[c for c in AUDIT_SCHEMA.names if c not in STATE_COLUMNS and c != "job_id"]
     )
+    unknown = files.join(records, "job_id", "left_anti").select("job_id").take(3)
+    if unknown:
+        raise UnknownJob(f"no job record for {', '.join(r[0] for r in unknown)}")
     totals = ct.job_totals(checked).drop("coerced_null_fields")
     zero = F.lit(0).cast("bigint")
     joined = files.select("job_id", "header_error").join(totals, "job_id", "left").join(records, "job_id", "inner")
@@ -326,7 +347,7 @@ def _write_working(store: Store, checked: DataFrame, jobs: DataFrame, at: Column
         tb.replace_partitions(_numbered(checked, options), store.working, ["job_id"])
     elif options.parquet_primary and not options.staging_fallback:
         raise WriteFailed(
-            "No durable ingestion resume store is available. Parquet is unavailable and staging fallback is disabled.",
+            "Neither a Parquet copy nor a staged copy may be kept, so the job could not be resumed later.",
             jobs,
         )
     if options.parquet_working and options.parquet_primary:
@@ -454,11 +475,11 @@ def finish(store: Store, state: DataFrame, at: Column) -> DataFrame:
     """Final status, message, checkpoint and job record of every job."""
     refused = F.col("header_error").isNotNull() if "header_error" in state.columns else F.lit(False)
     status = ct.job_status(F.col("success_count"), F.col("reject_count"))
-    message = F.when(refused, F.concat(F.lit("Ingestion failed: "), "failure_reason")).otherwise(
+    message = F.when(refused, F.concat(F.lit("Not taken in: "), "failure_reason")).otherwise(
         ct.job_message(F.col("status"), F.col("success_count"), F.col("reject_count"))
     )
     done = ws.materialise(
-        state.withColumns({"status": status, "end_timestamp_utc": at, "checkpoint_message": F.lit("Checkpoint updated.")})
+        state.withColumns({"status": status, "end_timestamp_utc": at, "checkpoint_message": F.lit("Checkpoint written.")})
         .withColumn("message", message)
         .withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))),
         "finished",
@@ -471,7 +492,7 @@ def finish(store: Store, state: DataFrame, at: Column) -> DataFrame:
 
 def finish_failed(store: Store, state: DataFrame, reason: str, at: Column) -> DataFrame:
     """Failed job records and checkpoints; jobs with rows left stay resumable."""
-    failed = rs.failed_state(state, F.lit(reason), at).withColumn("message", F.lit(f"Ingestion failed: {reason}"))
+    failed = rs.failed_state(state, F.lit(reason), at).withColumn("message", F.lit(f"Not taken in: {reason}"))
     failed = ws.materialise(
         failed.withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))), "failed", keep=True
     )

@@ -103,9 +103,9 @@ def report_scan(spark, sf):
 # Records as somebody's broken export writes them: one text line per order.
 _HEAD = "ID,Finding_File_Name,Finding File Format,Current_File_Location,Finding_Type,Originating_Data_System,Originating_Vendor_Tool"
 _FAULTS = (
-    "CASE o_orderkey % 7 WHEN 0 THEN {k} || ',f.txt,txt,/a,Obsolete,SMB,EDG' WHEN 1 THEN {k} || ',\"f, \"\"x\"\".txt\",txt,/a,Obsolete,SMB,EDG' "
-    "WHEN 2 THEN {k} || ',short,txt' WHEN 3 THEN {k} || ',long,txt,/a,Obsolete,SMB,EDG,more,\"and, more\"' "
-    "WHEN 4 THEN {k} || ',bad \"quote,txt,/a,Obsolete,SMB,EDG' WHEN 5 THEN {k} || ',,,,,,' ELSE {k} || ',\"q\"x,txt,/a,Obsolete,SMB,EDG' END"
+    "CASE o_orderkey % 7 WHEN 0 THEN {k} || ',f.txt,txt,/a,Obsolete,SMB,TLA' WHEN 1 THEN {k} || ',\"f, \"\"x\"\".txt\",txt,/a,Obsolete,SMB,TLA' "
+    "WHEN 2 THEN {k} || ',short,txt' WHEN 3 THEN {k} || ',long,txt,/a,Obsolete,SMB,TLA,more,\"and, more\"' "
+    "WHEN 4 THEN {k} || ',bad \"quote,txt,/a,Obsolete,SMB,TLA' WHEN 5 THEN {k} || ',,,,,,' ELSE {k} || ',\"q\"x,txt,/a,Obsolete,SMB,TLA' END"
 ).format(k="CAST(o_orderkey AS STRING)")
 _FAULTY = (
     "SELECT 'B-' || (o_orderkey // 4000) AS job_id, o_orderkey, 1 + row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) AS row_number, "

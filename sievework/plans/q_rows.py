@@ -203,7 +203,7 @@ _PATH = "'/in/' || CAST(o_custkey AS STRING) || '/report ' || CAST(o_orderkey AS
 
 
 @query(
-    f"SELECT o_orderkey, 'ING-' || strftime(o_orderdate, '%Y%m%d-%H%M%S') || '-' || upper(substr(sha256({_PATH}), 1, 8)) AS report_uid FROM orders"
+    f"SELECT o_orderkey, 'ING-' || strftime(o_orderdate, '%Y%m%d-%H%M%S') || '-' || upper(substr(sha256({_PATH}), 1, 32)) AS report_uid FROM orders"
 )
 def report_uid(spark, sf):
     files = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderdate", f"{_PATH} AS path")

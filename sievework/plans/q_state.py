@@ -49,6 +49,7 @@ CHECKPOINT = {
     "working_file_format": f"CASE WHEN {K} % 3 = 2 THEN 'Parquet' END",
     "working_file_record_count": f"CASE WHEN {K} % 3 = 2 THEN {K} % 1000 ELSE 0 END",
 }
+# Only the queries about missing records leave some out.
 _HAS_RECORD = "o_orderstatus <> 'P'"
 AUDIT = {
     **{f.name: CHECKPOINT[f.name] for f in AUDIT_SCHEMA if f.name in CHECKPOINT},
@@ -93,17 +94,17 @@ def checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     return _frame(table(spark, sf, "orders"), CHECKPOINT, CHECKPOINT_SCHEMA)
 
 
-def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return _frame(table(spark, sf, "orders").where(_HAS_RECORD), AUDIT, AUDIT_SCHEMA)
+def jobs(spark: SparkSession, sf: str, gaps: bool = False) -> DataFrame:
+    return _frame(table(spark, sf, "orders").where(_HAS_RECORD if gaps else "true"), AUDIT, AUDIT_SCHEMA)
 
 
 def _select(columns: dict[str, str], where: str = "true") -> str:
     return f"SELECT {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM orders WHERE {where}"
 
 
-def over_state(select: str) -> str:
+def over_state(select: str, gaps: bool = False) -> str:
     """A SELECT over checkpoints (cp) and job records (au)."""
-    return f"WITH cp AS ({_select(CHECKPOINT)}), au AS ({_select(AUDIT, _HAS_RECORD)}) {select}"
+    return f"WITH cp AS ({_select(CHECKPOINT)}), au AS ({_select(AUDIT, _HAS_RECORD if gaps else 'true')}) {select}"
 
 
 def now():
@@ -123,7 +124,7 @@ _SIZE = "CASE WHEN batch_size > 0 THEN batch_size ELSE 5000 END"
 _STATE = f"""SELECT job_id, CAST({_SIZE} AS BIGINT) AS batch_size,
   CAST(CASE WHEN total_batches > 0 THEN total_batches ELSE ceil(success_count / CAST({_SIZE} AS DOUBLE)) END AS BIGINT) AS total_batches,
   'Resume' AS trigger_type, 'Started' AS status, success_count + reject_count AS total_records,
-  'Resume started from batch ' || (last_successful_batch_number + 1) || '.' AS checkpoint_message, {_ELIGIBLE} AS is_resume_eligible FROM cp"""
+  'Resuming with batch ' || (last_successful_batch_number + 1) || '.' AS checkpoint_message, {_ELIGIBLE} AS is_resume_eligible FROM cp"""
 
 
 @query(over_state(_STATE))
@@ -143,7 +144,7 @@ def resume_state(spark, sf):
 @query(
     over_state(
         "SELECT job_id, status, false AS is_resume_eligible, success_count + reject_count AS total_records, failure_reason AS checkpoint_message, "
-        f"'This ingestion job is not eligible for resume.' AS message FROM cp WHERE NOT ({_ELIGIBLE})"
+        f"'The job cannot be resumed.' AS message FROM cp WHERE NOT ({_ELIGIBLE})"
     )
 )
 def not_eligible_result(spark, sf):
@@ -162,12 +163,13 @@ _JOINED = "cp LEFT JOIN au ON lower(cp.job_id) = lower(au.job_id)"
         "CASE WHEN trim(coalesce(cp.working_file_path, '')) <> '' THEN cp.working_file_path ELSE au.working_file_path END AS working_file_path, "
         "coalesce(cp.working_file_format, au.working_file_format) AS working_file_format, "
         "CAST(greatest(cp.working_file_record_count, coalesce(au.working_file_record_count, 0)) AS BIGINT) AS working_file_record_count, "
-        f"cp.success_count, cp.reject_count FROM {_JOINED}"
+        f"cp.success_count, cp.reject_count FROM {_JOINED}",
+        gaps=True,
     )
 )
 def job_checkpoint_join(spark, sf):
     state = rs.resume_state(checkpoints(spark, sf), 5000, 3, now())
-    known = rs.resume_job_records(state.withColumn("failure_reason", F.col("job_id")), jobs(spark, sf).withColumn("failure_reason", F.lit(None).cast("string")))
+    known = rs.resume_job_records(state.withColumn("failure_reason", F.col("job_id")), jobs(spark, sf, gaps=True).withColumn("failure_reason", F.lit(None).cast("string")))
     key = F.concat(F.lit("Job-"), F.regexp_extract("job_id", r"(\d+)$", 1))
     return known.select(
         "job_id",
@@ -244,7 +246,7 @@ _LEFT = "success_count > 0 AND last_processed_record_count < success_count"
 @query(
     over_state(
         f"SELECT job_id, status, status = 'Failed' AND {_LEFT} AS is_resume_eligible, last_processed_record_count, '{AS_OF}' AS last_checkpoint_utc, "
-        f"CASE WHEN status = 'Failed' AND {_LEFT} THEN 'Processing stopped after record ' || last_processed_record_count || '.' ELSE 'Checkpoint updated.' END AS progress FROM cp"
+        f"CASE WHEN status = 'Failed' AND {_LEFT} THEN 'Stopped behind record ' || last_processed_record_count || '.' ELSE 'Checkpoint written.' END AS progress FROM cp"
     )
 )
 def checkpoint_row(spark, sf):

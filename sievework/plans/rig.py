@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.layout import RAW_COLUMNS
-from sievework.workspace import spread
 
 AS_OF = "2026-01-01 00:00:00"
 _GAP = "WHEN o_orderkey % 53 = 0 THEN ''"
@@ -36,7 +35,7 @@ _EXPRESSIONS = {
     "WHEN 1 THEN 'smb' WHEN 2 THEN ' NFS ' WHEN 3 THEN 'M365' WHEN 4 THEN 'OneDrive' "
     "ELSE 'SharePoint' END END",
     "originating_vendor_tool": f"CASE {_GAP} WHEN o_orderkey % 43 = 0 THEN '' WHEN o_orderkey % 229 = 0 "
-    "THEN repeat('v', 101) ELSE 'EDG' END",
+    "THEN repeat('v', 101) ELSE 'TLA' END",
     "original_file_location": f"CASE {_GAP} WHEN o_orderkey % 26 = 2 THEN '' "
     "ELSE '/orig/' || CAST(o_orderkey AS STRING) END",
     "quarantine_date": f"CASE {_GAP} WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 1 "
@@ -74,7 +73,9 @@ def inbound_rows(orders: DataFrame) -> DataFrame:
 
 
 def inbound_rig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inbound_rows(spread(table(spark, sf_dir, "orders")))
+    """The rig dealt over all tasks, as the supplied table is one file that one task would read."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return inbound_rows(table(spark, sf_dir, "orders").repartition(tasks, "o_orderkey"))
 
 
 def rig_select_sql() -> str:

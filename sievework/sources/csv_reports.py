@@ -28,7 +28,7 @@ _QUOTED = r'(?<=^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)'
 # A quoted field that is still open at the end of the line.
 _OPEN = r'(?:^|,)"[^"]*+(?:""[^"]*+)*+$'
 _TOKEN = r'(?<=^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*)(?=,|$)'
-NO_CSV_HEADER = "CSV file does not contain a header row."
+NO_CSV_HEADER = "The CSV file has no header line."
 
 
 def _lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
@@ -109,7 +109,7 @@ def checked_headers(manifest: DataFrame, folder: str | list[str]) -> DataFrame:
     return checked.withColumn(
         "header_error",
         F.when(F.col("headers").isNull(), F.lit(NO_CSV_HEADER)).otherwise(
-            F.concat(F.lit("CSV header validation failed. "), "header_error")
+            F.concat(F.lit("CSV header refused: "), "header_error")
         ),
     )
 

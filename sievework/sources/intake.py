@@ -60,10 +60,14 @@ def intake_manifest(
     max_bytes: int = MAX_UPLOAD_BYTES,
     job_id: Column | None = None,
 ) -> DataFrame:
-    """Accept or refuse every listed file and give the accepted ones their job id and keys."""
+    """Accept or refuse every listed file and give the accepted ones their job id and keys.
+
+    The id follows from the path and the time the file was last written (the time of receipt where a listing has none), so
+    a replay gives the same file the same id.
+    """
     named = files.withColumns({"inbound_file_name": base_name("file_path"), "received_at": received})
     reason = refusal("inbound_file_name", "file_size_bytes", max_bytes)
-    uid = job_id if job_id is not None else report_uid("file_path", "received_at")
+    uid = job_id if job_id is not None else report_uid("file_path", F.coalesce("modified_at", "received_at"))
     return (
         named.withColumn("refusal", reason)
         .withColumn("accepted", F.col("refusal").isNull())

@@ -25,8 +25,11 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 _BATCH = 5000
 # Built-in number formats that show dates and times.
 _DATE_FORMATS = {"14", "15", "16", "17", "18", "19", "20", "21", "22", "45", "46", "47"}
-SHEET_SCHEMA = "file_path STRING, row_number BIGINT, cells MAP<INT, STRING>"
-NO_XLSX_HEADER = "Excel file does not contain a header row."
+# The last row of a workbook that cannot be read to its end has only ``error``.
+SHEET_SCHEMA = "file_path STRING, row_number BIGINT, cells MAP<INT, STRING>, error STRING"
+_SHEET_COLUMNS = ["file_path", "row_number", "cells", "error"]
+UNREADABLE = "The workbook cannot be read: "
+NO_XLSX_HEADER = "The workbook has no header row."
 
 
 def _texts(node: ElementTree.Element) -> str:
@@ -42,8 +45,8 @@ def _column(ref: str) -> int:
     return number
 
 
-def _first_sheet(book: zipfile.ZipFile) -> str:
-    sheet = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_MAIN}sheets/{_MAIN}sheet")
+def _first_sheet(book: zipfile.ZipFile, workbook: ElementTree.Element) -> str:
+    sheet = workbook.find(f"{_MAIN}sheets/{_MAIN}sheet")
     links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     target = next(r.get("Target") for r in links if r.get("Id") == sheet.get(_LINK))
     return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
@@ -63,15 +66,22 @@ def _date_styles(book: zipfile.ZipFile) -> set[str]:
     return {str(i) for i, f in enumerate(formats) if f.get("numFmtId") in own or f.get("numFmtId") in _DATE_FORMATS}
 
 
-def _date_text(serial: str) -> str:
+def _first_day(workbook: ElementTree.Element) -> datetime:
+    """Day zero of the workbook's dates; workbooks may count from 1904."""
+    properties = workbook.find(f"{_MAIN}workbookPr")
+    late = properties is not None and properties.get("date1904", "0").lower() in ("1", "true")
+    return datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+
+
+def _date_text(serial: str, first_day: datetime) -> str:
     try:
-        at = datetime(1899, 12, 30) + timedelta(seconds=round(float(serial) * 86400))
+        at = first_day + timedelta(seconds=round(float(serial) * 86400))
     except (ValueError, OverflowError):
         return serial
     return at.strftime("%Y-%m-%d %H:%M:%S")
 
 
-def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[str]) -> str:
+def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[str], first_day: datetime) -> str:
     kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
     if kind == "inlineStr":
         return _texts(cell)
@@ -80,7 +90,7 @@ def _cell_text(cell: ElementTree.Element, shared: list[str], dates: set[str]) ->
         return shared[int(text)]
     if kind == "b":
         return "TRUE" if text == "1" else "FALSE"
-    return _date_text(text) if text and kind in (None, "n") and cell.get("s") in dates else text
+    return _date_text(text, first_day) if text and kind in (None, "n") and cell.get("s") in dates else text
 
 
 def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
@@ -89,8 +99,9 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [_texts(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        last, dates = 0, _date_styles(book)
-        with book.open(_first_sheet(book)) as sheet:
+        workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        last, dates, first_day = 0, _date_styles(book), _first_day(workbook)
+        with book.open(_first_sheet(book, workbook)) as sheet:
             for _, row in ElementTree.iterparse(sheet):
                 if row.tag != f"{_MAIN}row":
                     continue
@@ -98,7 +109,7 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
                 cells, at = {}, 0
                 for cell in row.findall(f"{_MAIN}c"):
                     at = _column(cell.get("r")) if cell.get("r") else at + 1
-                    text = _cell_text(cell, shared, dates)
+                    text = _cell_text(cell, shared, dates, first_day)
                     if text != "":
                         cells[at] = text
                 row.clear()
@@ -107,20 +118,24 @@ def sheet_rows(content: bytes) -> Iterator[tuple[int, dict[int, str]]]:
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in small batches, and one row with the fault of each workbook that has any.
+
+    Whatever is wrong with a workbook (cut, damaged, encrypted, not a workbook) is that workbook's own fault: it is told and
+    must not end the job of the other files.
+    """
     for batch in batches:
         for path, content in zip(batch["file_path"], batch["content"]):
             rows: list[tuple] = []
             try:
                 for number, cells in sheet_rows(bytes(content)):
-                    rows.append((path, number, cells))
+                    rows.append((path, number, cells, None))
                     if len(rows) == _BATCH:
-                        yield pd.DataFrame(rows, columns=["file_path", "row_number", "cells"])
+                        yield pd.DataFrame(rows, columns=_SHEET_COLUMNS)
                         rows = []
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError, StopIteration):
-                # Unreadable from here on; a workbook without rows is refused for its header.
-                pass
+            except Exception as fault:  # noqa: BLE001 - told in the file's verdict
+                rows.append((path, None, None, f"{type(fault).__name__}: {fault}"))
             if rows:
-                yield pd.DataFrame(rows, columns=["file_path", "row_number", "cells"])
+                yield pd.DataFrame(rows, columns=_SHEET_COLUMNS)
 
 
 def workbooks(spark: SparkSession, folder: str | list[str]) -> DataFrame:
@@ -135,25 +150,30 @@ def workbooks(spark: SparkSession, folder: str | list[str]) -> DataFrame:
 
 
 def sheet_cells(books: DataFrame) -> DataFrame:
-    """One row per used sheet row."""
+    """One row per used sheet row, and one with ``error`` per workbook that cannot be read to its end."""
     return books.mapInPandas(_decode, SHEET_SCHEMA)
 
 
 def checked_sheet_headers(manifest: DataFrame, cells: DataFrame) -> DataFrame:
-    """Accepted workbooks with their header verdict: the header is the first used row."""
+    """Accepted workbooks with their header verdict: the header is the first used row.
+
+    A workbook that cannot be read to its end is refused as a whole.
+    """
     widest = F.array_max(F.map_keys("line"))
     headers = F.transform(F.sequence(F.lit(1), widest), lambda i: F.coalesce(F.try_element_at("line", i), F.lit("")))
     found = cells.groupBy("file_path").agg(
-        F.min_by("cells", "row_number").alias("line"), F.min("row_number").alias("header_row")
-    ).select("file_path", "header_row", headers.alias("headers"))
+        F.min_by("cells", "row_number").alias("line"), F.min("row_number").alias("header_row"), F.max("error").alias("error")
+    ).select("file_path", "header_row", "error", headers.alias("headers"))
     accepted = manifest.where("accepted AND file_format = 'xlsx'").select(
         "file_path", F.col("report_uid").alias("job_id"), F.col("inbound_file_name").alias("source_file_name")
     )
     checked = check_headers(accepted.join(found, "file_path", "left"))
     return checked.withColumn(
         "header_error",
-        F.when(F.col("headers").isNull(), F.lit(NO_XLSX_HEADER)).otherwise(F.col("header_error")),
-    )
+        F.when(F.col("error").isNotNull(), F.concat(F.lit(UNREADABLE), "error"))
+        .when(F.col("headers").isNull(), F.lit(NO_XLSX_HEADER))
+        .otherwise(F.col("header_error")),
+    ).drop("error")
 
 
 def scan_xlsx_reports(manifest: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
 """Where intermediate tables live, and how a plan is cut.
 
 A cut is a Parquet table in the shared folder the cluster names in ``spark.checkpoint.dir``,
-so a lost executor costs a re-read and never a wrong or partial result.  Only when a session
-names no folder (tests, a laptop) is a local temporary one made.
+so a lost executor costs a re-read and never a wrong or partial result.  Only when a local
+session names no folder (tests, a laptop) is a temporary one made; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def work_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_fallback:
             _local_fallback[app] = tempfile.mkdtemp(prefix="sievework-")
@@ -28,24 +31,25 @@ def work_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-_scratch: list[str] = []
+# Each thread has its own, so that runs at the same time do not drop each other's tables.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Collect the intermediate tables of a run in one folder and drop it at the end."""
     folder = f"{work_root(spark)}/run-{uuid.uuid4().hex}"
-    _scratch.append(folder)
+    before = _scratch.set(folder)
     try:
         yield
     finally:
-        _scratch.remove(folder)
+        _scratch.reset(before)
         remove(spark, folder)
 
 
 def fresh_path(spark: SparkSession, label: str, keep: bool = False) -> str:
     """A path nobody has used yet; inside a scratch run it goes with the run unless kept."""
-    folder = _scratch[-1] if _scratch and not keep else work_root(spark)
+    folder = _scratch.get() if _scratch.get() and not keep else work_root(spark)
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
@@ -86,6 +90,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 _BYTES_PER_PARTITION = 128 * 1024 * 1024
+# Beyond this, blocks of map times reduce tasks are more than a driver can keep track of.
+_MOST_PARTITIONS = 20_000
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -100,19 +106,8 @@ def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
     fits into a task; adaptive execution merges what turns out small.  It is only raised.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    wanted = -(-input_bytes // _BYTES_PER_PARTITION)
+    wanted = min(-(-input_bytes // _BYTES_PER_PARTITION), _MOST_PARTITIONS)
     start = int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     if wanted > start:
         spark.conf.set(_INITIAL, str(wanted))
     return spark
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give heavy row work at least one partition per core.
-
-    Only acts on inputs with fewer partitions than the cluster has cores (a single small
-    file); large inputs keep their scan partitions and are not shuffled.  Columns are pruned
-    below the exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

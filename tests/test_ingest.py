@@ -19,7 +19,7 @@ HEAD = "ID," + ",".join(REQUIRED_HEADERS)
 
 
 def line(i, kind="Obsolete", system="SMB"):
-    return f"R{i},f{i}.txt,txt,/a/{i},{kind},{system},EDG"
+    return f"R{i},f{i}.txt,txt,/a/{i},{kind},{system},TLA"
 
 
 def report(n, bad=0, **kw):
@@ -71,7 +71,7 @@ def test_outcomes(box):
         "systems": ("PartialSuccess", 4, 3, 1, "ok"),
     }
     assert jobs["systems"].source_system.lower() == "smb" and jobs["systems"].finding_type_counts == {"Obsolete": 3}
-    assert jobs["no_header"].message == "Ingestion failed: CSV file does not contain a header row."
+    assert jobs["no_header"].message == "Not taken in: The CSV file has no header line."
     assert jobs["mixed"].message == "File processed with partial success. Success: 2, Rejected: 1."
     assert len(box.findings()) == 8
     assert box.store.read_staged().count() == 0  # completed jobs are cleaned up
@@ -127,15 +127,15 @@ def test_fail_and_resume_is_one_clean_ingest(spark, box, parquet):
     assert not jobs["c"].is_resume_eligible
     wanted = spark.createDataFrame([("A",), ("b",), ("c",), ("missing",), (" ",)], "job_id STRING")
     done = {r.job_id: (r.status, r.message) for r in resume_jobs(box.store, wanted, LATER, options).collect()}
-    assert done["a"] == ("PartialSuccess", "Ingestion resume completed successfully.")
+    assert done["a"] == ("PartialSuccess", "The remaining rows were taken in.")
     assert done["b"][0] == "Success"
-    assert done["c"] == ("Failed", "This ingestion job is not eligible for resume.")
+    assert done["c"] == ("Failed", "The job cannot be resumed.")
     assert "missing" not in done
     assert box.findings() == clean
     record = {r.job_id: r for r in box.store.read_jobs().collect()}
     assert (record["a"].status, record["a"].total_batches, record["a"].last_successful_batch_number) == ("PartialSuccess", 10, 10)
     again = resume_jobs(box.store, wanted, LATER, options).collect()
-    assert {r.message for r in again} == {"This ingestion job is not eligible for resume."}
+    assert {r.message for r in again} == {"The job cannot be resumed."}
 
 
 def test_resume_without_data_is_an_error(spark, box):

@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sievework.plans.registry import ORACLES, QUERIES
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -25,13 +26,14 @@ def con():
 
 
 def test_every_query_has_check_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES) <= set(queries())
+    assert set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
     assert entry(spark).columns == ["job_id", "finding_type", "row_count"]
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query(spark, con, name):
     assert difference(spark, con, name, SF, queries(), oracle_sql()) is None

@@ -14,7 +14,7 @@ GOOD = {
     "current_file_location": "/a",
     "finding_type": "Obsolete",
     "originating_data_system": "smb",
-    "originating_vendor_tool": "EDG",
+    "originating_vendor_tool": "TLA",
 }
 
 
@@ -113,7 +113,7 @@ def test_overflowing_size_is_malformed(spark):
 
 
 def test_own_rules_can_be_added(spark, checked):
-    own = ru.Rule("X01", "site_owner", "Site_Owner is required.", lambda as_of: F.col("site_owner").isNull())
+    own = ru.Rule("X01", "site_owner", "A value for Site_Owner is required.", lambda as_of: F.col("site_owner").isNull())
     again = ru.validate(checked.drop("failed_rules", "is_valid", "blank"), as_of(), [*ru.DEFAULT_RULES, own])
     assert again.where("is_valid").count() == 0
     with pytest.raises(ValueError):
