@@ -97,10 +97,14 @@ def contaminated(
         listed.select("n", F.explode("item_hashes").alias("h")).groupBy("h").agg(F.sort_array(F.collect_set("n")).alias("lengths")), "benchmark-shingles"
     )
     key = F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text))
-    keyed = docs.select(key.alias("_key"), F.col(doc_id).alias("doc_id"), words(F.lower(text)).alias("_w"))
-    shingled = keyed.select("_key", "doc_id", F.size("_w").alias("_n"), _shingles("_w").alias("_h"))
+    keyed = docs.select(key.alias("_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+
+    def shingled(rows: DataFrame, *more: str) -> DataFrame:
+        split = rows.select("_key", "doc_id", words(F.lower("_text")).alias("_w"), *more)
+        return split.select("_key", "doc_id", F.size("_w").alias("_n"), _shingles("_w").alias("_h"), *more)
+
     hits = written(
-        shingled.select("_key", F.posexplode_outer("_h").alias("at", "h"))
+        shingled(keyed).select("_key", F.posexplode_outer("_h").alias("at", "h"))
         .join(anchors, "h")
         .groupBy("_key")
         .agg(F.array_distinct(F.collect_list(F.struct("at", "lengths"))).alias("_hits")),
@@ -111,8 +115,9 @@ def contaminated(
         f"n -> transform(filter(sequence(greatest(0, x.at - n + {SHINGLE}), greatest(0, x.at - n + {SHINGLE}, least(x.at, _n - n))), "
         "s -> s <= least(x.at, _n - n)), s -> struct(n as n, s as start)))))))"
     )
+    # The texts are exchanged as they are, once, whatever the number of hits, and split again behind the join.
     windows = (
-        shingled.join(hits, "_key")
+        shingled(keyed.join(hits.hint("merge"), "_key"), "_hits")
         .select("_key", "doc_id", "_h", starts.alias("_at"))
         .select("_key", "doc_id", F.expr(f"inline_outer(transform(_at, x -> struct(x.n, x.start, slice(_h, x.start + 1, x.n - {SHINGLE - 1}) as hashes)))"))
         .withColumn("mark", F.expr(simhash("hashes", most)))
