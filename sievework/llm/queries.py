@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import decontamination, html_extraction, packing, pii, quality, sharding, simhash, substring_dedup, url_filter, warc
+from sievework.llm.oracle import repeats_sql, url_sql
 from sievework.llm.url_filter import Rule
 
 # The URL rules, and globs for hosts and paths of link farms.
@@ -91,4 +92,9 @@ QUERIES = {
         op10_simhash,
     )
 }
-ORACLES: dict[str, str] = {}
+# The globs above as one expression; a star left of the first slash does not cross one.
+_BLOCKED = r"(?s)[^/]*(spam|pills|casino|viagra)[^/]*/.*|[^/]*/wp-login.*|[^/]*/.*\.exe"
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": repeats_sql(13),
+    "op8_url_filter": url_sql(URL_RULES, _BLOCKED),
+}
