@@ -9,10 +9,13 @@ against packing everything together is about one sequence in ``group_size`` piec
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -24,49 +27,58 @@ from tokenizers import Tokenizer
 from sievework.llm.common import written
 
 CAPACITY = 2048
-# A space is a cut between tokens when no blank follows it.  The second group are marks some tables count as blanks.
-_ODD = "᠎​﻿"
+# A space or line end is a cut between tokens when no blank follows it; the last marks are ones some tables count as blanks.
+_CUT = re.compile("[ \n](?![\\s\u180e\u200b\ufeff]|\\Z)")
+_ODD = re.compile("[ \n](?:[\\s\u180e\u200b\ufeff]|\\Z)")
+_WORD_AND_MARKS = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)")
 
 
 class Encoder:
     """Token ids of a text as little-endian 32-bit numbers.
 
-    The tokenizer splits before every single space that a visible character follows, so what stands between two such
-    places is encoded on its own and remembered; words repeat, and most lookups are hits.
+    The tokenizer splits before every single space or line end that a visible character follows, and between a word and the
+    marks at its end, so what stands between such places is encoded on its own and remembered; most lookups are hits.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 700_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts if text else []
-        out = parts[:1]
-        for part in parts[1:]:
-            if part and not part[0].isspace() and part[0] not in _ODD:
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out if out[0] else out[1:]
+        """The text in parts that are tokenised alone."""
+        if "\0" in text:
+            return [text]
+        if not _ODD.search(text):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        out, at = [], 0
+        for m in _CUT.finditer(text):
+            out.append(text[at : m.start()])
+            at = m.start()
+        return [*out, text[at:]]
+
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[part] = array("I", got.ids).tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
         if len(self.known) > self.remembered:
             self.known.clear()
         known = self.known
-        new = list({c for cut in cuts for c in cut if c not in known})
-        long: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for chunk, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                (known if len(chunk) <= 64 else long)[chunk] = np.array(got.ids, "<u4").tobytes()
-        if long:
-            return [b"".join([known[c] if c in known else long[c] for c in cut]) for cut in cuts]
-        return [b"".join([known[c] for c in cut]) for cut in cuts]
+        new = set(filterfalse(known.__contains__, chain.from_iterable(cuts)))
+        split = {c: m.groups() for c in new if (m := _WORD_AND_MARKS.fullmatch(c))}
+        self._learn(list(({p for parts in split.values() for p in parts} | (new - split.keys())) - known.keys()))
+        for chunk, (word, marks) in split.items():
+            known[chunk] = known[word] + known[marks]
+        out = [b"".join(map(known.__getitem__, cut)) for cut in cuts]
+        for chunk in {*new, *(p for parts in split.values() for p in parts)}:
+            if len(chunk) > 64:
+                del known[chunk]
+        return out
 
 
 @lru_cache(maxsize=2)
