@@ -72,7 +72,7 @@ def test_outcomes(box):
     }
     assert jobs["systems"].source_system.lower() == "smb" and jobs["systems"].finding_type_counts == {"Obsolete": 3}
     assert jobs["no_header"].message == "Not taken in: The CSV file has no header line."
-    assert jobs["mixed"].message == "File processed with partial success. Success: 2, Rejected: 1."
+    assert jobs["mixed"].message == "Taken in: 2 rows; turned down: 1 rows."
     assert len(box.findings()) == 8
     assert box.store.read_staged().count() == 0  # completed jobs are cleaned up
     head = json.loads(open(glob.glob(f"{box.store.summaries}/job_id=mixed/*.txt")[0]).read())
@@ -144,14 +144,14 @@ def test_resume_without_data_is_an_error(spark, box):
     box.ingest(options, write_batch_group=failing(after=1))
     tb.delete_job_rows(spark, box.store.working, ["a"])
     done = resume_jobs(box.store, spark.createDataFrame([("a",)], "job_id STRING"), LATER, options).collect()
-    assert done[0].status == "Failed" and "Re-upload may be required" in done[0].message
+    assert done[0].status == "Failed" and "handed in again" in done[0].message
     assert not box.store.read_checkpoints().first().is_resume_eligible
 
 
 def test_no_durable_store_fails_the_jobs(box):
     box.put(a=report(3))
     jobs = box.ingest(ing.Options(parquet_working=False, parquet_primary=True, staging_fallback=False))
-    assert jobs["a"].status == "Failed" and "No durable ingestion resume store" in jobs["a"].message
+    assert jobs["a"].status == "Failed" and "Neither a Parquet copy nor a staged copy" in jobs["a"].message
 
 
 def test_drop_folder_takes_every_file_once(spark, box, tmp_path):
