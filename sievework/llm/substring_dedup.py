@@ -146,7 +146,8 @@ def _shared_paths(docs: DataFrame, span: int, text: str, doc_id: str) -> DataFra
     found = source.mapInArrow(_emit_paths(span), f"_key bigint, _id {kind}, anchor bigint, path int, start int, length int")
     table, place = stored(found, "repeat-anchors")
     shared = table.groupBy("anchor").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low < _high").select("anchor")
-    hits = written(table.join(shared, "anchor"), "repeat-paths")
+    # Written, so that both sides of the join are plain exchanges: only then can Spark split the partition of a hot anchor.
+    hits = written(table.join(written(shared, "repeat-shared"), "anchor"), "repeat-paths")
     remove(docs.sparkSession, place)
     return hits
 
