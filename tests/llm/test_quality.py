@@ -77,3 +77,28 @@ def test_lost_share_on_labels(spark):
     lost = rows.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality = 1 and not base_failed")
     n, bad = lost.count(), lost.where("not kept").count()
     assert bad <= 0.02 * n
+
+
+def test_labelled_junk_is_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    langs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = op6_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(langs, "doc_id").where("not base_failed").collect()
+    junk = [r for r in rows if r["quality"] == 0]
+    assert len(junk) == 291 and sum(r["kept"] for r in junk) <= 3
+    for lang in ("en", "de", "es", "fr"):
+        good = [r for r in rows if r["quality"] == 1 and r["lang"] == lang]
+        assert sum(not r["kept"] for r in good) <= 0.02 * len(good)
+
+
+def test_230_labels_of_a_language_are_enough(spark, make_docs):
+    """The needed number of labels, and good documents that the bad ones look like: nothing of them may be lost."""
+    good = " ".join(f"plain word number{i}" for i in range(40))
+    bad = " ".join(f"j{i}## &&u%%nk{i}" for i in range(40))
+    rows = [(i, f"{good} e{i}", "de") for i in range(230)] + [(1000 + i, f"{bad} z{i}", "de") for i in range(20)]
+    rows += [(2000 + i, f"{good} e{i}", "fr") for i in range(227)] + [(3000 + i, f"{bad} z{i}", "fr") for i in range(20)]
+    rows += [(4000 + i, f"{bad} e{i}", "es") for i in range(230)] + [(5000 + i, f"{bad} z{i}", "es") for i in range(20)]
+    labels = [(d, int(d // 1000 % 2 == 0), 0) for d, _, _ in rows]
+    got = judge(make_docs(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert {r["doc_id"] // 1000 for r in got if not r["kept"]} == {1}
+    assert sum(not r["kept"] for r in got) == 20
+    assert allowed_rejections(228, 0.02, 0.01) == 0 and allowed_rejections(227, 0.02, 0.01) == -1
