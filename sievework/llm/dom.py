@@ -6,14 +6,16 @@ import html
 import re
 from dataclasses import dataclass, field
 
+# A quote opens a value only behind "=" (and blanks); elsewhere it is a character like others.
 _MARK = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)"
     r"|<[!?][^>]*+>?"
     r"|</[^A-Za-z>][^>]*+>?"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)(?P<end>>|[\"'].*\Z|\Z)",
+    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)"
+    r"(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[\"'].*\Z|[^\s>]*+))?+)*+)(?P<end>>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
 
 # Element names as HTML defines their behaviour.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())

@@ -80,6 +80,21 @@ def test_parts_of_a_page():
     ]
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<p title=Don't>first</p><p>second</p>",
+        '<p class="a"">first</p><p>second</p>',
+        '<p class="a"">first</p><p class="b">second</p>',
+        "<p title='>' lang = \">\" x=a>first</p ' \"><p '>second</p>",
+    ],
+)
+def test_stray_quotes_lose_no_text(source):
+    page = parse(source)
+    assert [text for _, text in page.blocks] == ["first", "second"]
+    assert page.nodes[1].attributes.get("title", "Don't") in ("Don't", ">")
+
+
 ODD = [None, "", "   ", "plain text", "<", "<a", "<p", "</", "<!--", "<!-- x", "<script>", "<article><p>&#0;&#xD800;&bogus;&amp</article>", "<article><h1>x<p>y\x00z", "<p a='", "<table><tr><td>x"]
 
 
