@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from sievework.llm.queries import op5_substring_dedup
-from sievework.llm.substring_dedup import remove_repeats
+from sievework.llm.substring_dedup import PATH, _emit_paths, _emit_windows, paths, remove_repeats
 
 SF = "/root/testdata/sf0.01"
 
@@ -67,3 +70,17 @@ def test_odd_rows(make_docs, odd_docs):
     got = remove_repeats(make_docs(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(brute(docs), key=repr)
     assert remove_repeats(make_docs(docs).limit(0)).collect() == []
+
+
+def test_keys_inside_one_anchor_keep_64_bits():
+    """Many surroundings of one frequent run: 32 bits of a path or window would agree by chance, 64 do not."""
+    tokens = [f"w{i}".encode() for i in range(200_000)]
+    _, path, first, length = paths(tokens, 13)
+    assert path.dtype == np.uint64 and len(np.unique(path >> np.uint64(32))) > 0.99 * len(path)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([b" ".join(tokens).decode()])], names=["_key", "_id", "_text"])
+    sent = np.concatenate([b.column(PATH.index("path")).to_numpy() for b in _emit_paths(13)(iter([batch]))])
+    assert np.array_equal(sent.view(np.uint64), path)
+    listed = pa.array([[{"anchor": 5, "start": 0, "length": len(tokens) - 12}]])
+    batch = pa.RecordBatch.from_arrays([*batch.columns, listed], names=["_key", "_id", "_text", "_paths"])
+    window = np.concatenate([b.column(3).to_numpy() for b in _emit_windows(13)(iter([batch]))])
+    assert len(np.unique(window)) == len(window) > len(np.unique(window & 0xFFFFFFFF))
