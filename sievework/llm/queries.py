@@ -6,8 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, html_extraction, packing, pii, quality, sharding, simhash, substring_dedup, url_filter, warc
-from sievework.llm.oracle import repeats_sql, url_sql
+from sievework.llm import (
+    conversations,
+    decontamination,
+    html_extraction,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    spelling,
+    substring_dedup,
+    url_filter,
+    warc,
+)
+from sievework.llm.oracle import conversations_sql, repeats_sql, spelling_sql, url_sql
 from sievework.llm.url_filter import Rule
 
 # The URL rules, and globs for hosts and paths of link farms.
@@ -77,6 +90,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"], shingle=3, radius=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summaries(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,11 +111,15 @@ QUERIES = {
         op8_url_filter,
         op9_decontamination,
         op10_simhash,
+        op11_conversation_repair,
+        op13_spelling_variants,
     )
 }
 # The globs above as one expression; a star left of the first slash does not cross one.
 _BLOCKED = r"(?s)[^/]*(spam|pills|casino|viagra)[^/]*/.*|[^/]*/wp-login.*|[^/]*/.*\.exe"
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": repeats_sql(13),
+    "op11_conversation_repair": conversations_sql(),
+    "op13_spelling_variants": spelling_sql(),
     "op8_url_filter": url_sql(URL_RULES, _BLOCKED),
 }
