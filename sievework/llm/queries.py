@@ -17,10 +17,11 @@ from sievework.llm import (
     simhash,
     spelling,
     substring_dedup,
+    suffix_dedup,
     url_filter,
     warc,
 )
-from sievework.llm.oracle import conversations_sql, repeats_sql, spelling_sql, url_sql
+from sievework.llm.oracle import conversations_sql, repeats_sql, spelling_sql, substrings_sql, url_sql
 from sievework.llm.url_filter import Rule
 
 # The URL rules, and globs for hosts and paths of link farms.
@@ -94,6 +95,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summaries(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], bodies=False)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), damage=True)
 
@@ -112,6 +117,7 @@ QUERIES = {
         op9_decontamination,
         op10_simhash,
         op11_conversation_repair,
+        op12_suffix_array_dedup,
         op13_spelling_variants,
     )
 }
@@ -120,6 +126,7 @@ _BLOCKED = r"(?s)[^/]*(spam|pills|casino|viagra)[^/]*/.*|[^/]*/wp-login.*|[^/]*/
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": repeats_sql(13),
     "op11_conversation_repair": conversations_sql(),
+    "op12_suffix_array_dedup": substrings_sql(400),
     "op13_spelling_variants": spelling_sql(),
     "op8_url_filter": url_sql(URL_RULES, _BLOCKED),
 }
