@@ -8,7 +8,7 @@ with one anchor form a piece; a text of n bytes has about n / 193 pieces at a sp
    copies, and only classes whose anchor occurs again go on; neither exchange carries text.
 2. One copy of each class is read, and the classes of one anchor are brought together.  An anchor with more than a shard's bytes of
    different pieces is split by the second anchor (of another hash) of its windows, which equal windows share as well.
-3. Anchors are gathered into shards of bounded size (4 MB by default).  A shard's suffix array is induced, its permuted common prefixes
+3. Anchors are gathered into shards of bounded size (2 MB by default).  A shard's suffix array is induced, its permuted common prefixes
    are computed, and a window is repeated if it shares ``span`` bytes with a neighbour in the array, or if its class has copies.
 4. Repeated windows go back to all pieces of their class, and what they cover is cut out of the texts.
 """
@@ -28,7 +28,7 @@ from sievework.llm.common import CARRIED, carried, written
 from sievework.llm.suffix_array import repeated
 
 GRAM = 16
-SHARD = 4 << 20  # bytes of a suffix array, and of the pieces on one anchor before it is split
+SHARD = 2 << 20  # bytes of a suffix array, and of the pieces on one anchor before it is split
 _CHUNK = 1 << 20  # windows that are hashed at once
 _LONGEST = 4096  # windows of a piece
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
@@ -56,27 +56,39 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return values if reach == width else pick(values[: len(values) - (width - reach)], values[width - reach :])
 
 
-def pieces(data: bytes, span: int, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchors, first windows, numbers of windows and numbers of the anchor's places of the pieces of a text, part by part."""
+def pieces(texts: list[bytes | memoryview], span: int, seed: int = 0) -> tuple[np.ndarray, ...]:
+    """Pieces of texts that have a window at least: number of the text, anchor, first window, number of windows, and of the anchor's places.
+
+    The texts are hashed in one buffer; windows that reach over the end of a text are left out.
+    """
     width = span - GRAM + 1
-    for at in range(0, len(data) - span + 1, _CHUNK):
-        grams = _grams(data[at : at + _CHUNK + span - 1], seed)
-        least = _sliding(grams, width, np.minimum)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        count = np.diff(np.append(first, len(least)))
-        if int(count.max()) > _LONGEST:
-            parts = -(-count // _LONGEST)
-            nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-            count = np.minimum(np.repeat(count, parts) - nth * _LONGEST, _LONGEST)
-            first = np.repeat(first, parts) + nth * _LONGEST
-        # A gram is an anchor's place if it is the least of some window over it.
-        padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
-        places = np.flatnonzero(grams == _sliding(padded, width, np.maximum))
-        values, named = np.unique(grams[places], return_inverse=True)
-        keys = np.sort(named * len(grams) + places)
-        base = np.searchsorted(values, least[first]) * len(grams)
-        found = np.searchsorted(keys, base + np.minimum(first + count + width - 1, len(grams))) - np.searchsorted(keys, base + first)
-        yield least[first].view(np.int64), first + at, count, found
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    grams = _grams(b"".join(texts), seed)
+    least = _sliding(grams, width, np.minimum)
+    edges = np.zeros(len(least) + 1, np.int8)
+    edges[starts] = 1
+    edges[starts + sizes - span + 1] = -1
+    inside = np.cumsum(edges[:-1]).astype(bool)
+    changes = np.concatenate(([True], least[1:] != least[:-1]))
+    first = np.flatnonzero(inside & (changes | (edges[:-1] == 1)))
+    last = np.flatnonzero(inside & np.append(changes[1:] | (edges[1:-1] == -1), True))
+    count = last - first + 1
+    if int(count.max()) > _LONGEST:
+        parts = -(-count // _LONGEST)
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        count = np.minimum(np.repeat(count, parts) - nth * _LONGEST, _LONGEST)
+        first = np.repeat(first, parts) + nth * _LONGEST
+    # A gram is an anchor's place if it is the least of some window over it.
+    padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    padded[width - 1 : width - 1 + len(least)][inside] = least[inside]
+    places = np.flatnonzero(grams == _sliding(padded, width, np.maximum))
+    values, named = np.unique(grams[places], return_inverse=True)
+    keys = np.sort(named * len(grams) + places)
+    base = np.searchsorted(values, least[first]) * len(grams)
+    found = np.searchsorted(keys, base + first + count + width - 1) - np.searchsorted(keys, base + first)
+    owner = np.searchsorted(starts, first, "right") - 1
+    return owner, least[first].view(np.int64), first - starts[owner], count, found
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -123,15 +135,41 @@ def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _describe(span: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for key, check, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = body.as_py() or b""
-                for parts in pieces(data, span):
-                    for anchor, first, count, found in zip(*(p.tolist() for p in parts)):
-                        yield (key, check, anchor, *_digest(data[first : first + count + span - 1]), first, count, found)
+    """Rows of ``PIECE`` for every piece of every text; a long text is described part by part."""
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, memoryview]]:
+        for i, body in enumerate(batch.column(2)):
+            data = memoryview(body.as_py() or b"")
+            for at in range(0, len(data) - span + 1, _CHUNK):
+                yield i, at, data[at : at + _CHUNK + span - 1]
 
-    return lambda batches: _filled(rows(batches), PIECE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some: list[tuple[int, int, memoryview]] = []
+            size = 0
+            for part in parts(batch):
+                some.append(part)
+                size += len(part[2])
+                if size > _CHUNK:
+                    yield described(batch, some)
+                    some, size = [], 0
+            if some:
+                yield described(batch, some)
+
+    def described(batch: pa.RecordBatch, some: list[tuple[int, int, memoryview]]) -> pa.RecordBatch:
+        owner, anchor, first, count, found = pieces([t for _, _, t in some], span)
+        texts = [t for _, _, t in some]
+        ends = (first + count + span - 1).tolist()
+        digests = [xxhash.xxh3_128_digest(texts[o][a:z]) for o, a, z in zip(owner.tolist(), first.tolist(), ends)]
+        digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        row = pa.array(np.array([i for i, _, _ in some])[owner])
+        start = first + np.array([at for _, at, _ in some])[owner]
+        columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(anchor)]
+        columns += [pa.array(np.ascontiguousarray(digest[:, i])) for i in (0, 1)]
+        columns += [pa.array(c.astype(np.int32)) for c in (start, count, found)]
+        return pa.RecordBatch.from_arrays(columns, names=list(PIECE))
+
+    return run
 
 
 def _read(span: int):
@@ -152,11 +190,11 @@ def _read(span: int):
                     if not p["split"]:
                         yield (p["anchor"], *name[1:], *name, 0, p["copies"], part)
                         continue
-                    for anchors, firsts, counts, _ in pieces(part, span, 1):
-                        for second, first, count in zip(anchors.tolist(), firsts.tolist(), counts.tolist()):
-                            inner = part[first : first + count + span - 1]
-                            shard = xxhash.xxh3_64_intdigest(second.to_bytes(8, "little", signed=True), p["anchor"] & (1 << 64) - 1)
-                            yield (shard - (1 << 63), *_digest(inner), *name, first, p["copies"], inner)
+                    _, anchors, firsts, counts, _ = pieces([part], span, 1)
+                    for second, first, count in zip(anchors.tolist(), firsts.tolist(), counts.tolist()):
+                        inner = part[first : first + count + span - 1]
+                        shard = xxhash.xxh3_64_intdigest(second.to_bytes(8, "little", signed=True), p["anchor"] & (1 << 64) - 1)
+                        yield (shard - (1 << 63), *_digest(inner), *name, first, p["copies"], inner)
 
     return lambda batches: _filled(rows(batches), PART, weight=4 << 20)
 
@@ -182,7 +220,7 @@ class _Shard:
 
         More than two shards' bytes on one pair of anchors are compared block by block, so that memory stays bounded.
         """
-        found = [np.zeros(len(t) - self.span + 1, bool) for t in self.texts]
+        found = [np.zeros(len(t) - self.span + 1, bool) for t in self.texts]  # one byte a window
         blocks, size = [[]], 0
         for i, text in enumerate(self.texts):
             if size > self.limit and self.size > 2 * self.limit:
