@@ -9,13 +9,13 @@ against packing everything together is about one sequence in ``group_size`` piec
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -33,17 +33,38 @@ _ODD = re.compile("[ \n](?:[\\s\u180e\u200b\ufeff]|\\Z)")
 _WORD_AND_MARKS = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)")
 
 
+# A word that the byte-level split leaves whole, a line end apart.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary writes for each byte: printable ones stand for themselves, the others follow U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of a text as little-endian 32-bit numbers.
 
     The tokenizer splits before every single space or line end that a visible character follows, and between a word and the
     marks at its end, so what stands between such places is encoded on its own and remembered; most lookups are hits.
+    Words go straight to the merges of a byte-level model.  Texts that name one of the tokenizer's added tokens are encoded whole,
+    as those tokens are cut out before anything else.
+
+    At most twice ``remembered`` parts are kept: those met since the last change of generation, and the generation before.
     """
 
-    def __init__(self, path: str, remembered: int = 700_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        told = json.loads(self.tokenizer.to_str())
+        split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        plain = told["normalizer"] is None and told["model"]["type"] == "BPE" and not told["model"].get("byte_fallback")
+        self.letters = _byte_letters() if plain and split.items() <= (told["pre_tokenizer"] or {}).items() else None
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -52,32 +73,53 @@ class Encoder:
             return [text]
         if not _ODD.search(text):
             return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        out, at = [], 0
-        for m in _CUT.finditer(text):
-            out.append(text[at : m.start()])
-            at = m.start()
-        return [*out, text[at:]]
+        return _CUT.sub("\0\\g<0>", text).split("\0")
+
+    def _whole(self, parts: Sequence[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[part] = array("I", got.ids).tobytes()
+        words, others = [], []
+        for p in parts:
+            (words if self.letters and _WORD.fullmatch(p) else others).append(p)
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        for word in words:
+            self.known[word] = array("I", [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]).tobytes()
+        for at in range(0, len(others), 4096):
+            self.known.update(zip(others[at : at + 4096], self._whole(others[at : at + 4096])))
+
+    def _meet(self, new: set[str]) -> list[str]:
+        """Make sure that all these parts are known; returns those too long to stay so."""
+        known = self.known
+        if self.older:
+            again = {c: ids for c in new if (ids := self.older.get(c)) is not None}
+            known.update(again)
+            new = new - again.keys()
+        split = {c: m.groups() for c in new if (m := _WORD_AND_MARKS.fullmatch(c))}
+        lines = {c: ("\n", c[1:]) for c in {*new, *(w for w, _ in split.values())} if c[:1] == "\n" and _WORD.fullmatch(c[1:])}
+        parts = {p for pair in (*split.values(), *lines.values()) for p in pair} | new
+        self._learn(list(parts - split.keys() - lines.keys() - known.keys()))
+        for whole in (lines, split):
+            for chunk, (first, last) in whole.items():
+                known[chunk] = known[first] + known[last]
+        return [c for c in parts | lines.keys() if len(c) > 64]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cuts = [self.cut(t) for t in texts]
+        named = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        cuts = [[] if i in named else self.cut(t) for i, t in enumerate(texts)]
         if len(self.known) > self.remembered:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         known = self.known
-        new = set(filterfalse(known.__contains__, chain.from_iterable(cuts)))
-        split = {c: m.groups() for c in new if (m := _WORD_AND_MARKS.fullmatch(c))}
-        self._learn(list(({p for parts in split.values() for p in parts} | (new - split.keys())) - known.keys()))
-        for chunk, (word, marks) in split.items():
-            known[chunk] = known[word] + known[marks]
-        out = [b"".join(map(known.__getitem__, cut)) for cut in cuts]
-        for chunk in {*new, *(p for parts in split.values() for p in parts)}:
-            if len(chunk) > 64:
-                del known[chunk]
+        found = [list(map(known.get, cut)) for cut in cuts]
+        short = [i for i, ids in enumerate(found) if None in ids]
+        long = self._meet({c for i in short for c, ids in zip(cuts[i], found[i]) if ids is None})
+        for i in short:
+            found[i] = [known[c] if ids is None else ids for c, ids in zip(cuts[i], found[i])]
+        out = [b"".join(ids) for ids in found]
+        for i, ids in zip(named, self._whole(list(named.values()))):
+            out[i] = ids
+        for chunk in long:
+            known.pop(chunk, None)
         return out
 
 
@@ -160,86 +202,121 @@ def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Search:
-    """Local search over the underfull bins of a group."""
+class Search:
+    """Local search over the underfull bins of a group: exchanges that make a fuller bin fuller, until bins are empty.
+
+    Every exchange raises the sum of squared fills, so the search ends by itself.  What a bin could take in place of a piece, or of two,
+    depends on lengths alone, so all partners of a giver are judged at once, by a table over lengths.
+    """
 
     def __init__(self, lengths: Sequence[int], bins: list[list[int]], capacity: int):
-        self.lengths, self.bins, self.capacity = lengths, bins, capacity
-        self.fill = [sum(lengths[i] for i in b) for b in bins]
-        self.open = [b for b in range(len(bins)) if self.fill[b] < capacity]
-        self.open.sort(key=lambda b: self.fill[b])
-
-    def items(self, giver: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bin, item and length of all pieces in the other bins that are at least as full."""
-        pairs = [(b, i) for b in self.open if b != giver and self.fill[b] >= self.fill[giver] and self.fill[b] < self.capacity for i in self.bins[b]]
-        owner = np.array([b for b, _ in pairs], np.int64)
-        item = np.array([i for _, i in pairs], np.int64)
-        return owner, item, np.array([self.lengths[i] for i in item], np.int64)
-
-    def exchange(self, giver: int, taker: int, out: Sequence[int], back: Sequence[int]) -> None:
+        self.lengths, self.capacity = np.asarray(lengths, np.int64), capacity
+        self.bins = [set(b) for b in bins]
+        self.where = np.zeros(len(self.lengths), np.int64)
+        for number, members in enumerate(bins):
+            self.where[members] = number
+        self.fill = np.bincount(self.where, self.lengths, len(bins)).astype(np.int64)
+        self.exchanges = 0
+
+    def _takers(self, giver: int) -> np.ndarray:
+        fits = (self.fill >= self.fill[giver]) & (self.fill < self.capacity)
+        fits[giver] = False
+        return fits
+
+    def _exchange(self, giver: int, taker: int, out: Sequence[int], back: Sequence[int]) -> None:
         """Pieces ``out`` go from giver to taker, pieces ``back`` the other way; the taker gets fuller."""
-        gain = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in back)
-        self.bins[giver] = [i for i in self.bins[giver] if i not in out] + list(back)
-        self.bins[taker] = [i for i in self.bins[taker] if i not in back] + list(out)
+        for pieces, source, goal in ((out, giver, taker), (back, taker, giver)):
+            self.bins[source].difference_update(pieces)
+            self.bins[goal].update(pieces)
+            self.where[list(pieces)] = goal
+        gain = int(self.lengths[list(out)].sum() - self.lengths[list(back)].sum())
         self.fill[giver] -= gain
         self.fill[taker] += gain
+        self.exchanges += 1
+
+    def _least(self, given: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """For each length up to the capacity: the shortest thing that can be given back for it."""
+        table = np.full(self.capacity + 2, self.capacity + 1, np.int64)
+        np.minimum.at(table, np.minimum(given + room, self.capacity), given)
+        return np.minimum.accumulate(table[::-1])[::-1]
+
+    def _offers(self, own: np.ndarray) -> dict[int, tuple[int, ...]]:
+        """Lengths the giver can hand over, by one piece or by two."""
+        size = self.lengths[own]
+        offers: dict[int, tuple[int, ...]] = {}
+        _, first = np.unique(size, return_index=True)
+        # two of one length may go together, so of each length two pieces are enough
+        _, second = np.unique(np.delete(size, first), return_index=True)
+        some = np.concatenate((own[first], np.delete(own, first)[second]))
+        for i, a in enumerate(some):
+            for b in some[i + 1 :]:
+                total = int(self.lengths[a] + self.lengths[b])
+                if total <= self.capacity:
+                    offers[total] = (int(a), int(b))
+        offers.update((int(self.lengths[i]), (int(i),)) for i in own[first])
+        return offers
 
     def step(self, giver: int) -> bool:
         """The exchange that takes most out of the giver; False if none takes anything."""
-        own = sorted(self.bins[giver], key=lambda i: -self.lengths[i])
-        spaces = sorted((self.capacity - self.fill[b], b) for b in self.open if b != giver and self.fill[giver] <= self.fill[b] < self.capacity)
-        for i in own:  # moves
-            at = bisect_left(spaces, (self.lengths[i], -1))
-            if at < len(spaces):
-                self.exchange(giver, spaces[at][1], [i], [])
-                return True
-        owner, item, size = self.items(giver)
-        if not len(item):
+        own = np.fromiter(self.bins[giver], np.int64, len(self.bins[giver]))
+        own = own[np.argsort(-self.lengths[own], kind="stable")]
+        takers = self._takers(giver)
+        bins = np.flatnonzero(takers)
+        if not len(bins):
             return False
-        room = self.capacity - np.array([self.fill[b] for b in owner], np.int64)
-        best = (0, None)
-        few = own[:48]
-        singles = [((i,), self.lengths[i]) for i in few]
-        doubles = [((i, j), self.lengths[i] + self.lengths[j]) for a, i in enumerate(few) for j in few[a + 1 :]]
-        for out, total in singles + doubles:  # one-for-one, and two of the giver for one
-            gain = total - size
-            gain[(gain > room) | (gain <= 0)] = 0
-            at = int(gain.argmax())
-            if gain[at] > best[0]:
-                best = (int(gain[at]), (int(owner[at]), out, (int(item[at]),)))
-        for out, total in singles:  # one of the giver for two neighbours of a bin
-            pair = owner[1:] == owner[:-1]
-            gain = np.where(pair, total - size[1:] - size[:-1], 0)
-            gain[(gain > room[1:]) | (gain <= 0)] = 0
-            at = int(gain.argmax()) if len(gain) else 0
-            if len(gain) and gain[at] > best[0]:
-                best = (int(gain[at]), (int(owner[at]), out, (int(item[at]), int(item[at + 1]))))
-        if best[1] is None:
+        room = self.capacity - self.fill[bins]
+        by_room = np.argsort(room, kind="stable")
+        at = np.searchsorted(room[by_room], self.lengths[own])  # moves, the longest piece that fits anywhere
+        fitting = np.flatnonzero(at < len(bins))
+        if len(fitting):
+            self._exchange(giver, int(bins[by_room[at[fitting[0]]]]), [int(own[fitting[0]])], [])
+            return True
+        items = np.flatnonzero(takers[self.where])
+        items = items[np.argsort(self.where[items], kind="stable")]
+        given, space = self.lengths[items], self.capacity - self.fill[self.where[items]]
+        offers = self._offers(own)
+        total = np.fromiter(offers, np.int64, len(offers))
+        gain = total - self._least(given, space)[total]
+        if gain.max() > 0:  # one for one, and two of the giver for one
+            total = int(total[gain.argmax()])
+            partner = np.flatnonzero((given == total - gain.max()) & (given + space >= total))[0]
+            self._exchange(giver, int(self.where[items[partner]]), offers[total], [int(items[partner])])
+            return True
+        best: tuple = (0,)
+        singles = np.unique(self.lengths[own])
+        for apart in range(1, len(items)):  # one of the giver for two of a bin: all pairs, by their distance in the bin
+            left = np.flatnonzero(self.where[items[apart:]] == self.where[items[:-apart]])
+            if not len(left):
+                break
+            both = given[left] + given[left + apart]
+            left, both = left[both < singles[-1]], both[both < singles[-1]]
+            if not len(left):
+                continue
+            gain = singles - self._least(both, space[left])[singles]
+            if gain.max() > best[0]:
+                single = int(singles[gain.argmax()])
+                pair = left[np.flatnonzero((both == single - gain.max()) & (both + space[left] >= single))[0]]
+                best = (int(gain.max()), int(own[self.lengths[own] == single][0]), int(items[pair]), int(items[pair + apart]))
+        if not best[0]:
             return False
-        self.exchange(giver, *best[1])
+        self._exchange(giver, int(self.where[best[2]]), [best[1]], best[2:])
         return True
 
-    def run(self, steps: int) -> list[list[int]]:
-        """Lightest bins first, as long as fewer bins are possible at all."""
-        needed = -(-sum(self.fill) // self.capacity)
-        used, tried = len(self.bins), 0
-        while used > needed and tried < len(self.open) and steps:
-            giver = self.open[tried]
-            while self.bins[giver] and steps and self.step(giver):
-                steps -= 1
-            if self.bins[giver]:
-                tried += 1
-            else:
-                self.open.remove(giver)
-                used -= 1
-            rest = self.open[tried:]
-            self.open[tried:] = sorted(rest, key=lambda b: self.fill[b])
-        return [b for b in self.bins if b]
-
-
-def pack_lengths(lengths: Sequence[int], capacity: int = CAPACITY, steps: int = 2_000) -> list[list[int]]:
-    """Bins of item numbers.  The search ends after ``steps`` exchanges; the packing is whole at every step."""
-    return _Search(lengths, best_fit(lengths, capacity), capacity).run(steps)
+    def run(self) -> list[list[int]]:
+        """Lightest bins first, again and again, as long as fewer bins are possible at all and something changes."""
+        needed = -(-int(self.fill.sum()) // self.capacity)
+        changed = True
+        while changed:
+            changed = False
+            for giver in np.argsort(self.fill, kind="stable"):
+                while self.bins[giver] and sum(map(bool, self.bins)) > needed and self.fill[giver] < self.capacity and self.step(int(giver)):
+                    changed = True
+        return [sorted(b) for b in self.bins if b]
+
+
+def pack_lengths(lengths: Sequence[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Bins of item numbers: best fit, then the search until no exchange helps."""
+    return Search(lengths, best_fit(lengths, capacity), capacity).run()
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = 10_000) -> DataFrame:

@@ -4,11 +4,11 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sievework.llm.packing import Encoder, best_fit, encoder, pack_documents, pack_lengths, sequences
+from sievework.llm.packing import Encoder, Search, best_fit, encoder, pack_documents, pack_lengths, sequences
 from sievework.llm.queries import op2_best_fit_packing
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,8 @@ ODD = [" ", "  ", "a", "B", "é", "中", "́", "\n", "\t", "\r", "\x0b", "\x1c",
 
 
 @settings(max_examples=400, deadline=None)
+@example("\n\n<|endoftext|>")
+@example("\nWord, don't\n\nwords.\nno\0no")
 @given(st.lists(st.sampled_from(ODD), max_size=12).map("".join))
 def test_remembered_chunks_give_the_same_ids(text):
     got = encoder(PATH).encode([text])[0]
@@ -98,3 +100,26 @@ def test_search_beats_best_fit():
     rng = np.random.default_rng(3)
     lengths = rng.integers(300, 700, 800).tolist()
     assert len(pack_lengths(lengths, 2048)) < len(best_fit(lengths, 2048))
+
+
+def test_search_goes_on_until_nothing_helps():
+    """No move, one-for-one, two-for-one or one-for-two between underfull bins is left, whatever the number of pieces in a bin."""
+    rng = np.random.default_rng(4)
+    for low, high, n in ((20, 60, 60), (3, 40, 40), (30, 70, 60)):
+        lengths = rng.integers(low, high, n).tolist()
+        search = Search(lengths, [[i] for i in range(n)], 100)
+        bins = search.run()
+        assert sorted(i for b in bins for i in b) == list(range(n))
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        if len(bins) == -(-sum(lengths) // 100):
+            continue
+        some = [[(i,) for i in b] + [(i, j) for i in b for j in b if i < j] for b in bins]
+        for g, giver in enumerate(bins):
+            for t, taker in enumerate(bins):
+                if g == t or fill[g] > fill[t] or fill[t] >= 100:
+                    continue
+                for out in some[g]:
+                    for back in [(), *some[t]]:
+                        if len(out) + len(back) == 1 or (len(out), len(back)) in ((1, 1), (2, 1), (1, 2)):
+                            gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                            assert gain <= 0 or fill[t] + gain > 100
