@@ -9,6 +9,7 @@ against packing everything together is about one sequence in ``group_size`` piec
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -105,6 +106,15 @@ class Encoder:
         return [c for c in parts | lines.keys() if len(c) > 64]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
+        collected = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and each search for cycles would walk over all parts
+        try:
+            return self._encode(texts)
+        finally:
+            if collected:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str]) -> list[bytes]:
         named = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
         cuts = [[] if i in named else self.cut(t) for i, t in enumerate(texts)]
         if len(self.known) > self.remembered:
@@ -216,7 +226,9 @@ class Search:
         for number, members in enumerate(bins):
             self.where[members] = number
         self.fill = np.bincount(self.where, self.lengths, len(bins)).astype(np.int64)
+        self.used = len(bins)
         self.exchanges = 0
+        self._judged, self._tables = -1, {}
 
     def _takers(self, giver: int) -> np.ndarray:
         fits = (self.fill >= self.fill[giver]) & (self.fill < self.capacity)
@@ -232,6 +244,7 @@ class Search:
         gain = int(self.lengths[list(out)].sum() - self.lengths[list(back)].sum())
         self.fill[giver] -= gain
         self.fill[taker] += gain
+        self.used -= not self.bins[giver]
         self.exchanges += 1
 
     def _least(self, given: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -240,21 +253,42 @@ class Search:
         np.minimum.at(table, np.minimum(given + room, self.capacity), given)
         return np.minimum.accumulate(table[::-1])[::-1]
 
-    def _offers(self, own: np.ndarray) -> dict[int, tuple[int, ...]]:
-        """Lengths the giver can hand over, by one piece or by two."""
-        size = self.lengths[own]
-        offers: dict[int, tuple[int, ...]] = {}
-        _, first = np.unique(size, return_index=True)
-        # two of one length may go together, so of each length two pieces are enough
-        _, second = np.unique(np.delete(size, first), return_index=True)
-        some = np.concatenate((own[first], np.delete(own, first)[second]))
-        for i, a in enumerate(some):
-            for b in some[i + 1 :]:
-                total = int(self.lengths[a] + self.lengths[b])
-                if total <= self.capacity:
-                    offers[total] = (int(a), int(b))
-        offers.update((int(self.lengths[i]), (int(i),)) for i in own[first])
-        return offers
+    def _some(self, own: np.ndarray) -> np.ndarray:
+        """Of each length two pieces, as two of one length may go together."""
+        _, first = np.unique(self.lengths[own], return_index=True)
+        rest = np.delete(own, first)
+        _, second = np.unique(self.lengths[rest], return_index=True)
+        return np.concatenate((own[first], rest[second]))
+
+    def _items(self, takers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of the bins, bin by bin, their lengths and the room of their bins."""
+        items = np.flatnonzero(takers[self.where])
+        items = items[np.argsort(self.where[items], kind="stable")]
+        return items, self.lengths[items], self.capacity - self.fill[self.where[items]]
+
+    def _pairs(self, items: np.ndarray, given: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the two pieces of every pair inside a bin that is shorter than ``below``."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for apart in range(1, len(items)):
+            same = np.flatnonzero(self.where[items[apart:]] == self.where[items[:-apart]])
+            if not len(same):
+                break
+            same = same[given[same] + given[same + apart] < below]
+            left.append(same)
+            right.append(same + apart)
+        return np.concatenate(left), np.concatenate(right)
+
+    def _hopeless(self, total: np.ndarray, two: bool) -> bool:
+        """Whether no open bin at all could take any of these lengths for a shorter thing; kept until the next exchange."""
+        if self._judged != self.exchanges:
+            self._judged, self._tables = self.exchanges, {}
+        if two not in self._tables:
+            items, given, room = self._items((self.fill < self.capacity) & (self.fill > 0))
+            if two:
+                left, right = self._pairs(items, given, self.capacity)
+                given, room = given[left] + given[right], room[left]
+            self._tables[two] = self._least(given, room)
+        return bool((total <= self._tables[two][total]).all())
 
     def step(self, giver: int) -> bool:
         """The exchange that takes most out of the giver; False if none takes anything."""
@@ -271,36 +305,32 @@ class Search:
         if len(fitting):
             self._exchange(giver, int(bins[by_room[at[fitting[0]]]]), [int(own[fitting[0]])], [])
             return True
-        items = np.flatnonzero(takers[self.where])
-        items = items[np.argsort(self.where[items], kind="stable")]
-        given, space = self.lengths[items], self.capacity - self.fill[self.where[items]]
-        offers = self._offers(own)
-        total = np.fromiter(offers, np.int64, len(offers))
-        gain = total - self._least(given, space)[total]
-        if gain.max() > 0:  # one for one, and two of the giver for one
-            total = int(total[gain.argmax()])
-            partner = np.flatnonzero((given == total - gain.max()) & (given + space >= total))[0]
-            self._exchange(giver, int(self.where[items[partner]]), offers[total], [int(items[partner])])
-            return True
-        best: tuple = (0,)
-        singles = np.unique(self.lengths[own])
-        for apart in range(1, len(items)):  # one of the giver for two of a bin: all pairs, by their distance in the bin
-            left = np.flatnonzero(self.where[items[apart:]] == self.where[items[:-apart]])
-            if not len(left):
-                break
-            both = given[left] + given[left + apart]
-            left, both = left[both < singles[-1]], both[both < singles[-1]]
-            if not len(left):
-                continue
-            gain = singles - self._least(both, space[left])[singles]
-            if gain.max() > best[0]:
-                single = int(singles[gain.argmax()])
-                pair = left[np.flatnonzero((both == single - gain.max()) & (both + space[left] >= single))[0]]
-                best = (int(gain.max()), int(own[self.lengths[own] == single][0]), int(items[pair]), int(items[pair + apart]))
-        if not best[0]:
-            return False
-        self._exchange(giver, int(self.where[best[2]]), [best[1]], best[2:])
-        return True
+        some = self._some(own)
+        size = self.lengths[some]
+        a, b = np.triu_indices(len(some), 1)
+        total = np.concatenate((size, size[a] + size[b]))
+        fits = np.flatnonzero(total <= self.capacity)
+        if not self._hopeless(total[fits], False):
+            items, given, space = self._items(takers)
+            gain = total[fits] - self._least(given, space)[total[fits]]
+            if gain.max() > 0:  # one for one, and two of the giver for one
+                at = int(fits[gain.argmax()])
+                out = [at] if at < len(some) else [a[at - len(some)], b[at - len(some)]]
+                partner = np.flatnonzero((given == total[at] - gain.max()) & (given + space >= total[at]))[0]
+                self._exchange(giver, int(self.where[items[partner]]), [int(some[i]) for i in out], [int(items[partner])])
+                return True
+        if not self._hopeless(size, True):
+            items, given, space = self._items(takers)
+            left, right = self._pairs(items, given, int(size.max()))
+            both, space = given[left] + given[right], space[left]
+            gain = size - self._least(both, space)[size]
+            if gain.max() > 0:  # one of the giver for two
+                at = int(gain.argmax())
+                pair = np.flatnonzero((both == size[at] - gain.max()) & (both + space >= size[at]))[0]
+                back = [int(items[left[pair]]), int(items[right[pair]])]
+                self._exchange(giver, int(self.where[back[0]]), [int(some[at])], back)
+                return True
+        return False
 
     def run(self) -> list[list[int]]:
         """Lightest bins first, again and again, as long as fewer bins are possible at all and something changes."""
@@ -309,7 +339,7 @@ class Search:
         while changed:
             changed = False
             for giver in np.argsort(self.fill, kind="stable"):
-                while self.bins[giver] and sum(map(bool, self.bins)) > needed and self.fill[giver] < self.capacity and self.step(int(giver)):
+                while self.bins[giver] and self.used > needed and self.fill[giver] < self.capacity and self.step(int(giver)):
                     changed = True
         return [sorted(b) for b in self.bins if b]
 
