@@ -122,7 +122,7 @@ DEFAULT_RULES: list[Rule] = [
     Rule(
         "V12",
         "finding_type",
-        f"This Finding_Type is invalid. Allowed values: {', '.join(FINDING_TYPES)}.",
+        f"Finding_Type has an invalid value; it may be one of: {', '.join(FINDING_TYPES)}.",
         lambda as_of: ~one_of(F.col("finding_type"), FINDING_TYPES),
     ),
     Rule(

@@ -6,12 +6,12 @@ costs a re-read.  Writes replace whole partitions of a job, so any step may run
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +36,12 @@ from sievework.operators import tables as tb
 from sievework.operators.rules import DEFAULT_RULES, Rule, rejected_detail, rejected_rows, valid_rows, validate
 from sievework.operators.summary import rejected_documents, summary_documents, write_documents
 from sievework.operators.typed import drop_blank_rows, typed_findings
+from sievework.plans.isolation import FAILURES, Isolation, reason, united
 from sievework.sources.intake import intake_manifest, intake_metadata_json, list_files, started_jobs, workbook_listing
 from sievework.sources.reports import scan_reports
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Options:
@@ -81,8 +84,10 @@ class Store:
     def read_findings(self) -> DataFrame:
         return self._rows(self.findings, self.FINDING_COLUMNS + ", job_id STRING, batch_group BIGINT")
 
-    def read_working(self) -> DataFrame:
-        return self._rows(self.working, self.FINDING_COLUMNS + ", job_id STRING")
+    def read_working(self, group: int | None = None) -> DataFrame:
+        """Numbered valid rows; with ``group`` only that group's files are read."""
+        rows = self._rows(self.working, self.FINDING_COLUMNS + ", job_id STRING, working_group INT")
+        return (rows if group is None else rows.where(F.col("working_group") == group)).drop("working_group")
 
     def read_staged(self) -> DataFrame:
         finding = self.FINDING_COLUMNS.replace(", sequence_number BIGINT", "")
@@ -151,12 +156,13 @@ def ingest_folder(
     rules: list[Rule] = DEFAULT_RULES,
     write_batch_group: Callable[[DataFrame, str], None] | None = None,
     books: DataFrame | None = None,
+    write_working: Callable[[DataFrame, str], None] | None = None,
 ) -> DataFrame:
     """Take in every new file of a folder and ingest it; returns the job records.
 
-    With ids of its own making it passes over files that an earlier run has taken in; with ids from the caller it replaces
-    their rows.
-    ``write_batch_group`` stands in for the write of one batch group (a custom sink).
+    With ids of its own making it passes over files that an earlier run has taken in or refused, and leaves jobs that can be
+    resumed to the resume; with ids from the caller it replaces their rows.
+    ``write_batch_group`` stands in for the write of one batch group (a custom sink), ``write_working`` for that of the working copy.
     """
     at = F.lit(now)
     with ws.scratch(spark):
@@ -165,7 +171,9 @@ def ingest_folder(
             files = files.unionByName(workbook_listing(books))
         listed = intake_manifest(files, at, options.max_upload_bytes, job_id)
         if job_id is None:
-            done = store.read_jobs().where("status IN ('Success', 'PartialSuccess')").select(F.col("job_id").alias("report_uid"))
+            broken = F.coalesce(F.col("failure_reason").startswith(INTERRUPTED), F.lit(False)) & ~F.coalesce("is_resume_eligible", F.lit(False))
+            over = F.col("status").isin("Success", "PartialSuccess") | (F.col("status") == "Failed") & ~broken
+            done = store.read_jobs().where(over).select(F.col("job_id").alias("report_uid"))
             listed = listed.join(done, "report_uid", "left_anti")
         manifest = ws.materialise(listed, "manifest")
         refuse_shared_ids(manifest)
@@ -173,7 +181,7 @@ def ingest_folder(
         ws.tune(spark, total * _GROWTH)
         write_documents(intake_metadata_json(manifest), store.intake)
         store.save_jobs(started_jobs(manifest))
-        return ingest_manifest(spark, manifest, folder, store, now, options, rules, write_batch_group, books)
+        return ingest_manifest(spark, manifest, folder, store, now, options, rules, write_batch_group, books, write_working)
 
 
 class UnknownJob(ValueError):
@@ -191,6 +199,10 @@ def refuse_shared_ids(manifest: DataFrame) -> None:
 _GROWTH = 3
 
 
+# A failure that says nothing about the file: the job may be taken in anew.
+INTERRUPTED = "Interrupted: "
+
+
 def ingest_manifest(
     spark: SparkSession,
     manifest: DataFrame,
@@ -201,41 +213,87 @@ def ingest_manifest(
     rules: list[Rule] = DEFAULT_RULES,
     write_batch_group: Callable[[DataFrame, str], None] | None = None,
     books: DataFrame | None = None,
+    write_working: Callable[[DataFrame, str], None] | None = None,
 ) -> DataFrame:
-    """Ingest the accepted files of a manifest whose job records exist."""
-    at, clock = F.lit(now), Clock(store, now.isoformat())
-    state: dict[str, DataFrame] = {}
-
-    def scan() -> int:
-        rows, files = scan_reports(manifest, folder, books, checked_shape(at, rules))
-        state["checked"] = drop_blank_rows(rows).drop("file_path").withColumn(
-            "id", row_id("job_id", "row_number")
-        )
-        state["jobs"] = ws.materialise(_job_states(store, files, state["checked"], options, at), "states")
-        return state["jobs"].agg(F.sum("total_records")).first()[0] or 0
+    """Ingest the accepted files of a manifest whose job records exist.
 
-    clock.lap("scan_and_validate", scan)
-    checked, jobs = state["checked"], state["jobs"]
-    store.save_checkpoints(rs.checkpoint_rows(jobs, F.lit("Started"), at), at)
-    clock.lap("rejected_rows", lambda: _write_rejected(store, checked, jobs, at, rules, options))
-    try:
-        clock.lap("working_store", lambda: _write_working(store, checked, jobs, at, options))
-        done = write_groups(
-            store, store_source(store, options), jobs, options, at, write_batch_group or default_writer(store), clock
-        )
-    except WriteFailed as failure:
-        finished = finish_failed(store, failure.state, str(failure), at)
-    else:
-        finished = finish(store, done, at)
-    clock.lap("summary", lambda: write_summaries(store, finished))
+    Every step runs for all jobs at once.  Where it fails, the jobs are halved until the failing ones are alone; these end as
+    failed, with the reason, a checkpoint and a summary, and the others go on.
+    """
+    at, clock = F.lit(now), Clock(store, now.isoformat())
+    failed: list[DataFrame] = []
+
+    def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows, heads = scan_reports(files, folder, books, checked_shape(at, rules))
+        checked = drop_blank_rows(rows).drop("file_path").withColumn("id", row_id("job_id", "row_number"))
+        states = _job_states(store, heads, ct.job_totals(checked).drop("coerced_null_fields"), options, at)
+        return checked, ws.materialise(states, "states")
+
+    def scanned() -> int:
+        read.run(accepted, scan)
+        return sum(jobs.agg(F.sum("total_records")).first()[0] or 0 for _, (_, jobs) in read.passed)
+
+    def step(name: str, work: Callable[[DataFrame], object]) -> None:
+        nonlocal jobs
+        outcome = Isolation()
+        clock.lap(name, lambda: len(outcome.run(jobs, work).failed))
+        if outcome.failed:
+            failed.extend(_because(some, f"{INTERRUPTED}{name.replace('_', ' ')}: {reason(error)}") for some, error in outcome.failed)
+            jobs = ws.materialise(united([some for some, _ in outcome.passed] or [jobs.limit(0)]), "states")
+
+    accepted, read = manifest.where("accepted"), Isolation("report_uid")
+    clock.lap("scan_and_validate", scanned)
+    for files, error in read.failed:
+        heads = files.select(F.col("report_uid").alias("job_id"), F.lit(None).cast("string").alias("header_error"))
+        states = _job_states(store, heads, spark.createDataFrame([], _TOTALS), options, at)
+        failed.append(_because(ws.materialise(states, "states"), f"{INTERRUPTED}reading: {reason(error)}"))
+    if not read.passed:
+        return _closed(store, failed, [], at, clock)
+    checked, jobs = united([rows for _, (rows, _) in read.passed]), united([states for _, (_, states) in read.passed])
+
+    def of(some: DataFrame) -> DataFrame:
+        """Rows of some of the jobs; those of all of them need no join."""
+        return checked if some is jobs and not failed else checked.join(some.select("job_id"), "job_id", "left_semi")
+
+    store.save_checkpoints(rs.checkpoint_rows(united([jobs, *failed]), F.lit("Started"), at), at)
+    step("rejected_rows", lambda some: _write_rejected(store, of(some), some, at, rules, options))
+    working = Working(store, options, at, write_working)
+    clock.lap("working_store", lambda: working.write(of, jobs))
+    step("staged_rows", lambda some: working.stage(of, some))
+    jobs, without = working.split(jobs)
+    failed.extend(without)
+    done, unwritten = write_groups(store, working.source(), jobs, options, at, write_batch_group, clock)
+    return _closed(store, [*failed, *unwritten], [done], at, clock)
+
+
+def _because(state: DataFrame, why: str) -> DataFrame:
+    return state.withColumn("_why", F.lit(why))
+
+
+def _closed(store: Store, failed: list[DataFrame], done: list[DataFrame], at: Column, clock: Clock) -> DataFrame:
+    """Final records, summaries and events of all jobs of a run."""
+    parts = [finish(store, united(done), at)] if done else []
+    if failed:
+        parts.append(finish_failed(store, united(failed), F.col("_why"), at))
+    finished = united(parts)
+    outcome = Isolation()
+    clock.lap("summary", lambda: len(outcome.run(finished, lambda some: write_summaries(store, some)).failed))
+    if outcome.failed:
+        unsaid = [_because(some, f"{INTERRUPTED}summary: {reason(error)}") for some, error in outcome.failed]
+        parts = [some for some, _ in outcome.passed] + [finish_failed(store, united(unsaid), F.col("_why"), at)]
+        finished = ws.materialise(united(parts), "finished", keep=True)
     clock.lap("staging_cleanup", lambda: clean_staging(store, finished))
     record_events(store, finished, at)
     clock.save()
     return finished
 
 
+# What the counts of a file that could not be read are taken from.
+_TOTALS = "job_id STRING, success_count BIGINT, reject_count BIGINT, source_system STRING, finding_type_counts MAP<STRING, BIGINT>"
+
+
 def _job_states(
-    store: Store, files: DataFrame, checked: DataFrame, options: Options, at: Column
+    store: Store, files: DataFrame, totals: DataFrame, options: Options, at: Column
 ) -> DataFrame:
     """State of every job after the scan: its counts, or why its file was refused."""
     records = store.read_jobs().select(
@@ -244,7 +302,6 @@ def _job_states(
     unknown = files.join(records, "job_id", "left_anti").select("job_id").take(3)
     if unknown:
         raise UnknownJob(f"no job record for {', '.join(r[0] for r in unknown)}")
-    totals = ct.job_totals(checked).drop("coerced_null_fields")
     zero = F.lit(0).cast("bigint")
     joined = files.select("job_id", "header_error").join(totals, "job_id", "left").join(records, "job_id", "inner")
     success, rejected = F.coalesce("success_count", zero), F.coalesce("reject_count", zero)
@@ -334,30 +391,112 @@ def _numbered(checked: DataFrame, options: Options) -> DataFrame:
     return nb.with_batches(nb.sequence_numbers(valid, slice_rows=options.rows_per_file), options.size)
 
 
-def _write_working(store: Store, checked: DataFrame, jobs: DataFrame, at: Column, options: Options) -> None:
-    """Keep the numbered valid rows where a resume finds them.
+def with_groups(numbered: DataFrame, jobs: DataFrame, groups: int) -> DataFrame:
+    """Add ``working_group``: the batch group a row is written in, of ``groups`` groups of whole batches of its job."""
+    if groups == 1:
+        return numbered.withColumn("working_group", F.lit(1))
+    group = F.ceil(F.col("batch_number") * groups / F.col("_total")).cast("int")
+    return numbered.join(jobs.select("job_id", F.col("total_batches").alias("_total")), "job_id").withColumn("working_group", group).drop("_total")
+
+
+class CopyDiffers(RuntimeError):
+    """A copy that does not hold the rows it was made from."""
+
 
-    Rows are numbered once; later steps read the copy.
+# What the working store of a job may be.
+_IN_PARQUET, _IN_STAGING = ("parquet", "both"), ("staging", "both")
+
+
+class Working:
+    """The numbered valid rows of all jobs, kept where the batch writes and a resume find them.
+
+    Each job gets its own outcome: a Parquet copy that could not be written, or that differs from its source when it is read back, is replaced
+    by staged rows where these are allowed; a job without either fails alone.
     """
-    spark, ids = store.spark, job_ids(jobs)
-    tb.delete_job_rows(spark, store.working, ids)
-    tb.delete_job_rows(spark, store.staged, ids)
-    if options.parquet_working:
+
+    def __init__(self, store: Store, options: Options, at: Column, write: Callable[[DataFrame, str], None] | None = None):
+        self.store, self.options, self.at = store, options, at
         # Numbering already brought whole slices of a job together: no further shuffle.
-        tb.replace_partitions(_numbered(checked, options), store.working, ["job_id"])
-    elif options.parquet_primary and not options.staging_fallback:
-        raise WriteFailed(
-            "Neither a Parquet copy nor a staged copy may be kept, so the job could not be resumed later.",
-            jobs,
-        )
-    if options.parquet_working and options.parquet_primary:
-        return
-    if options.parquet_working:
-        numbered = store.read_working().join(jobs.select("job_id"), "job_id", "left_semi")
-    else:
-        numbered = _numbered(checked, options)
-    staged = tb.staged_rows(numbered.select("job_id", "sequence_number", *_finding_fields()), at, STAGED_DAYS)
-    tb.replace_partitions(staged, store.staged, ["job_id"])
+        self.copy = write or (lambda rows, path: tb.replace_partitions(rows, path, ["job_id", "working_group"]))
+        self.choices: DataFrame | None = None
+        self.kinds: set[str] = set()  # the choices that occur, five at most
+
+    def write(self, of: Callable[[DataFrame], DataFrame], jobs: DataFrame) -> int:
+        """Write and verify the Parquet copies, and choose the store of every job; returns the sets that failed."""
+        options, outcome = self.options, Isolation()
+        ids = job_ids(jobs)
+        tb.delete_job_rows(self.store.spark, self.store.working, ids)
+        tb.delete_job_rows(self.store.spark, self.store.staged, ids)
+        if options.parquet_working:
+            outcome.run(jobs, lambda some: self._write_copy(of(some), some))
+        for some, _ in outcome.failed:  # what is left of a copy must not be taken for one
+            tb.delete_job_rows(self.store.spark, self.store.working, job_ids(some))
+        why = F.lit(None).cast("string")
+        lost = [some.select("job_id", F.lit(reason(error)).alias("_copy_error")) for some, error in outcome.failed]
+        told = jobs.join(united(lost), "job_id", "left") if lost else jobs.withColumn("_copy_error", why)
+        flags = [F.lit(o) for o in (options.parquet_working, options.parquet_primary, options.staging_fallback)]
+        choice = rs.working_store(*flags, F.col("_copy_error").isNotNull(), F.col("success_count"))
+        self.choices = ws.materialise(told.select("job_id", "_copy_error", choice.alias("working_store")), "stores")
+        self.kinds = {r[0] for r in self.choices.select("working_store").distinct().collect()}
+        return len(outcome.failed)
+
+    def _write_copy(self, checked: DataFrame, jobs: DataFrame) -> None:
+        self.copy(with_groups(_numbered(checked, self.options), jobs, self.options.batch_groups), self.store.working)
+        wanted = _told_apart(valid_rows(checked).select("job_id", "id", "row_number"))
+        found = _told_apart(self.store.read_working().join(jobs.select("job_id"), "job_id", "left_semi"))
+        unlike = wanted.join(found, ["job_id", "_rows", "_sum"], "left_anti").select("job_id").first()
+        if unlike:
+            raise CopyDiffers(f"the Parquet copy of {unlike[0]} does not hold the rows it was made from")
+
+    def stage(self, of: Callable[[DataFrame], DataFrame], jobs: DataFrame) -> None:
+        """Write the staged rows of the jobs that need them."""
+        chosen = jobs.select("job_id").join(self.choices, "job_id")
+        copied = chosen.where(F.col("working_store") == "both").select("job_id")
+        fresh = chosen.where(F.col("working_store") == "staging").select("job_id")
+        parts = []
+        if "both" in self.kinds:
+            parts.append(self.store.read_working().join(copied, "job_id", "left_semi"))
+        if "staging" in self.kinds:
+            parts.append(_numbered(of(jobs).join(fresh, "job_id", "left_semi"), self.options))
+        if parts:
+            rows = united([p.select("job_id", "sequence_number", *_finding_fields()) for p in parts])
+            tb.replace_partitions(tb.staged_rows(rows, self.at, STAGED_DAYS), self.store.staged, ["job_id"])
+
+    def split(self, jobs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """The jobs with a store, their records saying which, and those that have none."""
+        told = jobs.join(self.choices, "job_id")
+        kept = F.col("working_store").isin(*_IN_PARQUET)
+        fields = {
+            "working_file_format": F.when(kept, F.col("working_file_format")),
+            "working_file_path": F.when(kept, F.col("working_file_path")),
+            "working_file_record_count": F.when(kept, F.col("working_file_record_count")).otherwise(F.lit(0).cast("bigint")),
+        }
+        told = ws.materialise(told.withColumns(fields).withColumnRenamed("working_store", "_store"), "states")
+        why = F.concat(F.lit(NO_STORE), F.coalesce(F.concat(F.lit(" Parquet: "), "_copy_error"), F.lit("")))
+        without = told.where("_store = 'error'")
+        failed = [] if "error" not in self.kinds else [without.withColumn("_why", why).drop("_store", "_copy_error")]
+        return told.where("_store <> 'error'").drop("_store", "_copy_error"), failed
+
+    def source(self) -> Callable[[int], DataFrame]:
+        """Rows of a batch group: one group's files of the Parquet copies, and the staged rows of jobs without a copy."""
+        staged = self.choices.where("working_store = 'staging'").select("job_id")
+
+        def rows(group: int) -> DataFrame:
+            copies = self.store.read_working(group)
+            if "staging" not in self.kinds:
+                return copies
+            return copies.unionByName(from_staged(self.store.read_staged()).join(staged, "job_id", "left_semi").select(*copies.columns))
+
+        return rows
+
+
+NO_STORE = "Neither a Parquet copy nor a staged copy may be kept, so the job could not be resumed later."
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Number and order-free checksum of the rows of each job."""
+    mark = F.xxhash64("job_id", "id", "row_number").cast("decimal(38,0)")
+    return rows.groupBy("job_id").agg(F.count("*").alias("_rows"), F.sum(mark).alias("_sum"))
 
 
 def _finding_fields() -> list[str]:
@@ -369,71 +508,81 @@ def from_staged(staged: DataFrame) -> DataFrame:
     return staged.select("job_id", "sequence_number", "finding.*")
 
 
-def store_source(store: Store, options: Options) -> DataFrame:
-    return store.read_working() if options.parquet_working else from_staged(store.read_staged())
+def default_writer() -> Callable[[DataFrame, str], None]:
+    return lambda rows, path: tb.replace_partitions(rows, path, ["job_id", "batch_group"])
 
 
-class WriteFailed(Exception):
-    """A write that kept failing; carries the job states reached so far."""
+class Incomplete(RuntimeError):
+    """A batch group whose stored rows are not the rows it should have."""
 
-    def __init__(self, message: str, state: DataFrame):
-        super().__init__(message)
-        self.state = state
 
-
-def default_writer(store: Store) -> Callable[[DataFrame, str], None]:
-    return lambda rows, path: tb.replace_partitions(rows, path, ["job_id", "batch_group"])
+def _check_complete(store: Store, cut: DataFrame, group: int) -> None:
+    """Compare the stored rows of a group with its share of each job before the checkpoint moves."""
+    due = F.least("success_count", F.col("_last") * F.col("batch_size")) - F.least("success_count", F.col("_first") * F.col("batch_size"))
+    wanted = cut.select("job_id", (F.col("_first") + 1).alias("batch_group"), due.alias("_due"))
+    stored = store.read_findings().select("job_id", "batch_group").join(wanted, ["job_id", "batch_group"]).groupBy("job_id").agg(F.count("*").alias("_rows"))
+    short = wanted.join(stored, "job_id", "left").where("_due <> coalesce(_rows, 0)").first()
+    if short:
+        raise Incomplete(f"group {group} of {short['job_id']} has {short['_rows'] or 0} of {short['_due']} rows")
 
 
 def write_groups(
     store: Store,
-    source: DataFrame,
+    source: Callable[[int], DataFrame],
     jobs: DataFrame,
     options: Options,
     at: Column,
-    write: Callable[[DataFrame, str], None],
+    write: Callable[[DataFrame, str], None] | None,
     clock: Clock,
     resume: bool = False,
-) -> DataFrame:
-    """Write the numbered rows group by group, a checkpoint after each.
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Write the numbered rows group by group, a checkpoint after each; returns the states of the jobs that are through, and of those that failed.
 
     A group is a range of batches of every job; a group's partition is named by its first
-    batch, so a repeated write replaces exactly itself.
+    batch, so a repeated write replaces exactly itself.  What the library's own writer stored is counted before the
+    checkpoint moves; a sink of the caller's answers for itself.
     """
     if not resume:
         tb.delete_job_rows(store.spark, store.findings, job_ids(jobs))
-    groups, state = options.batch_groups, jobs
+    groups, state, failed = options.batch_groups, jobs, []
     todo = F.col("total_batches") - F.col("_from")
-    bounds = jobs.withColumn("_from", F.col("last_successful_batch_number"))
+    start = jobs.select("job_id", F.col("last_successful_batch_number").alias("_from"))
     for g in range(1, groups + 1):
         # Batches (first, last] of this group, per job.
-        cut = bounds.select(
-            "job_id",
-            (F.col("_from") + F.floor(todo * (g - 1) / groups)).cast("bigint").alias("_first"),
-            (F.col("_from") + F.floor(todo * g / groups)).cast("bigint").alias("_last"),
-        )
-        rows = (
-            source.join(cut, "job_id")
-            .where("batch_number > _first AND batch_number <= _last")
-            .withColumn("batch_group", F.col("_first") + 1)
-            .drop("_first", "_last")
-        )
-        retries = [0]
-        try:
-            clock.lap(f"findings_group_{g}", lambda: retries.__setitem__(0, _with_retry(write, rows, store.findings, options)))
-        except _GaveUp as gave_up:
-            failed = state.withColumn(
-                "batch_persistence_retry_count", F.col("batch_persistence_retry_count") + gave_up.retries
+        cut = state.join(start, "job_id").withColumns(
+            {
+                "_first": (F.col("_from") + F.floor(todo * (g - 1) / groups)).cast("bigint"),
+                "_last": (F.col("_from") + F.floor(todo * g / groups)).cast("bigint"),
+            }
+        ).drop("_from")
+        cut, outcome, first = ws.materialise(cut, "cut"), Isolation(), g
+
+        def put(some: DataFrame) -> int:
+            bounds = some.select("job_id", "_first", "_last")
+            rows = (
+                source(first)
+                .join(bounds, "job_id")
+                .where("batch_number > _first AND batch_number <= _last")
+                .withColumn("batch_group", F.col("_first") + 1)
+                .drop("_first", "_last")
             )
-            raise WriteFailed(
-                f"Batch persistence failed in group {g} of {groups} after {gave_up.retries} retry attempt(s): {gave_up}",
-                failed,
-            ) from gave_up
-        reached = cut.select("job_id", "_last")
-        before = state.drop("persisted_batch_count", "last_successful_batch_number", "last_processed_record_count")
+            retries = _with_retry(write or default_writer(), rows, store.findings, options)
+            if write is None:
+                _check_complete(store, some, first)
+            return retries
+
+        due = cut.where("_last > _first")
+        if not due.isEmpty():
+            clock.lap(f"findings_group_{g}", lambda: len(outcome.run(due, put).failed))
+        retries = F.col("batch_persistence_retry_count")
+        reached = [some.withColumn("batch_persistence_retry_count", retries + n) for some, n in outcome.passed]
+        for some, error in outcome.failed:
+            n = getattr(error, "retries", 0)
+            why = f"{INTERRUPTED}batch group {g} of {groups} was not stored, after {n} more attempt(s): {reason(error)}"
+            lost = some.withColumn("batch_persistence_retry_count", retries + n).drop("_first", "_last")
+            failed.append(_because(lost, why))
         state = ws.materialise(
-            before.withColumn("batch_persistence_retry_count", F.col("batch_persistence_retry_count") + retries[0])
-            .join(reached, "job_id")
+            united([cut.where("_last = _first"), *reached])
             .withColumns(
                 {
                     "last_successful_batch_number": F.col("_last"),
@@ -441,7 +590,7 @@ def write_groups(
                     "last_processed_record_count": F.least(F.col("success_count"), F.col("_last") * F.col("batch_size")),
                 }
             )
-            .drop("_last"),
+            .drop("_first", "_last"),
             "states",
         )
         if options.checkpointing:
@@ -449,10 +598,12 @@ def write_groups(
             if g % max(options.progress_interval, 1) == 0 and g < groups:
                 # After the last group the final job record follows at once.
                 store.save_jobs(state)
-    return state
+    return state, failed
+
 
+class _GaveUp(RuntimeError):
+    """A write that kept failing."""
 
-class _GaveUp(Exception):
     def __init__(self, message: str, retries: int):
         super().__init__(message)
         self.retries = retries
@@ -464,9 +615,9 @@ def _with_retry(write: Callable[[DataFrame, str], None], rows: DataFrame, path:
         try:
             write(rows, path)
             return attempt
-        except (OSError, RuntimeError, PySparkException) as error:
+        except FAILURES as error:
             if attempt == options.max_retries:
-                raise _GaveUp(str(error).splitlines()[0] if str(error) else type(error).__name__, attempt) from error
+                raise _GaveUp(reason(error), attempt) from error
             time.sleep(options.retry_delay_ms * 2**attempt / 1000)
     raise AssertionError("unreachable")
 
@@ -490,13 +641,13 @@ def finish(store: Store, state: DataFrame, at: Column) -> DataFrame:
     return done
 
 
-def finish_failed(store: Store, state: DataFrame, reason: str, at: Column) -> DataFrame:
+def finish_failed(store: Store, state: DataFrame, why: Column, at: Column) -> DataFrame:
     """Failed job records and checkpoints; jobs with rows left stay resumable."""
-    failed = rs.failed_state(state, F.lit(reason), at).withColumn("message", F.lit(f"Not taken in: {reason}"))
+    failed = rs.failed_state(state, why, at).withColumn("message", F.concat(F.lit("Not taken in: "), "failure_reason"))
     failed = ws.materialise(
-        failed.withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))), "failed", keep=True
+        failed.withColumn("response_class", ct.response_class(F.col("status"), F.col("total_records"))).drop("_why"), "failed", keep=True
     )
-    store.save_checkpoints(rs.checkpoint_rows(failed, F.lit("Failed"), at, F.lit(reason)), at)
+    store.save_checkpoints(rs.checkpoint_rows(failed, F.lit("Failed"), at, F.col("failure_reason")), at)
     store.save_jobs(failed)
     return failed
 
@@ -513,8 +664,8 @@ def clean_staging(store: Store, finished: DataFrame) -> None:
     """Staged rows of completed jobs go; a failure to remove them is no failure of the job."""
     try:
         tb.delete_job_rows(store.spark, store.staged, job_ids(rs.cleanup_jobs(finished)))
-    except PySparkException:
-        pass
+    except FAILURES as error:
+        log.warning("staged rows of finished jobs were not removed: %s", reason(error))
 
 
 def record_events(store: Store, finished: DataFrame, at: Column, event: str = "IngestionJobCompleted") -> None:

@@ -409,6 +409,29 @@ def failed_then_resumed(spark, sf):
     return store.read_findings().select("job_id", "sequence_number", "batch_number", "finding_file_name")
 
 
+_BROKEN = "JOB-0-0"
+
+
+@query(
+    orc.over_rig(
+        f"SELECT job_id, CASE WHEN job_id = '{_BROKEN}' THEN 'Failed' ELSE {orc.STATUS_OF} END AS status, job_id = '{_BROKEN}' AS is_resume_eligible, "
+        f"CASE WHEN job_id = '{_BROKEN}' THEN 0 ELSE success_count END AS last_processed_record_count FROM totals2",
+        **_BY_REPORT,
+    )
+)
+def failure_isolation(spark, sf):
+    """Ingest of all jobs where the rows of one job cannot be stored: it fails alone and can be resumed."""
+
+    def breaks(rows: DataFrame, path: str) -> None:
+        if not rows.where(F.col("job_id") == _BROKEN).isEmpty():
+            raise OSError("disk full")
+        tb.replace_partitions(rows, path, ["job_id", "batch_group"])
+
+    options = ing.Options(batch_size=qr.BATCH, batch_groups=2, max_retries=0, retry_delay_ms=0)
+    _, jobs = _ingested(spark, sf, options, write_batch_group=breaks)
+    return jobs.select("job_id", "status", "is_resume_eligible", "last_processed_record_count")
+
+
 # --- streams ------------------------------------------------------------------------------
 @query(orc.over_rig(f"SELECT job_id, {orc.STATUS_OF} AS status, success_count, reject_count FROM totals2", **_BY_REPORT))
 def drop_folder_ingest(spark, sf):

@@ -15,6 +15,7 @@ from sievework.operators import counts as ct
 from sievework.operators import resume as rs
 from sievework.operators import tables as tb
 from sievework.plans import ingest as ing
+from sievework.plans.isolation import united
 
 
 def _rows_after(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -142,14 +143,13 @@ def _write_remaining(
         )
         rows = rows.unionByName(staged)
     left = rs.remaining_rows(rows, state)
-    try:
-        done = ing.write_groups(
-            store, left, state, options, at, write or ing.default_writer(store), clock, resume=True
-        )
-    except ing.WriteFailed as failure:
-        reason = f"Resume ingestion failed: {failure}"
-        failed = ing.finish_failed(store, failure.state, str(failure), at)
-        return failed.select("job_id", "status", F.lit(reason).alias("message"))
+    done, lost = ing.write_groups(store, lambda group: left, state, options, at, write, clock, resume=True)
+    results = []
+    if lost:
+        failed = ing.finish_failed(store, united(lost), F.col("_why"), at)
+        results.append(failed.select("job_id", "status", F.concat(F.lit("Not resumed: "), "failure_reason").alias("message")))
+    if done.isEmpty():
+        return united(results)
     finished = ws.materialise(
         done.withColumns(
             {
@@ -170,4 +170,4 @@ def _write_remaining(
     ing.write_summaries(store, finished)
     ing.clean_staging(store, finished)
     ing.record_events(store, finished, at, "IngestionJobResumed")
-    return finished.select("job_id", "status", "message")
+    return united([*results, finished.select("job_id", "status", "message")])

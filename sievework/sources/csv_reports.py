@@ -11,7 +11,9 @@ Files with quoted line breaks cannot be split by lines; they take Spark's multi-
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +33,16 @@ _TOKEN = r'(?<=^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*)(?=,|$)'
 NO_CSV_HEADER = "The CSV file has no header line."
 
 
+def accepted_paths(manifest: DataFrame) -> list[str]:
+    """Paths of the accepted CSV files, as a reader takes them; the driver holds the listing of a folder for any scan."""
+    rows = manifest.where("accepted AND file_format = 'csv'").select("file_path").collect()
+    return [re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(r[0])) for r in rows]
+
+
 def _lines(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Non-empty lines with the block they lie in and an increasing number inside it."""
+    if not folder:
+        return spark.createDataFrame([], "value STRING, file_path STRING, block_start BIGINT, line_id BIGINT")
     text = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _GLOB)
@@ -172,6 +182,7 @@ def scan_csv_reports(
     ``file_path``, ``block_start`` and ``line_id``.
     """
     spark = manifest.sparkSession
+    folder = accepted_paths(manifest)  # refused files are never opened
     files = materialise(checked_headers(manifest, folder), "headers")
     records = csv_records(spark, folder, files)
     written = materialise(shape(records) if shape else records, "records")

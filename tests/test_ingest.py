@@ -2,6 +2,7 @@
 
 import glob
 import json
+from dataclasses import replace
 from datetime import datetime, timezone
 
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from sievework.layout import REQUIRED_HEADERS
 from sievework.operators import tables as tb
 from sievework.plans import ingest as ing
+from sievework.operators.rules import DEFAULT_RULES
+from sievework.plans.isolation import PATIENCE, Isolation
 from sievework.plans.resume import resume_jobs
 from sievework.streaming.drop_folder import ingest_drop_folder
 
@@ -121,7 +124,7 @@ def test_fail_and_resume_is_one_clean_ingest(spark, box, parquet):
 
     writer = failing(after=1)
     jobs = box.ingest(options, LATER, write_batch_group=writer)
-    assert len(writer.calls) == 4  # one good group, then one attempt and two retries
+    assert len(writer.calls) == 10  # one good group, then one attempt and two retries for both jobs and for each alone
     assert jobs["a"].status == "Failed" and jobs["a"].is_resume_eligible and jobs["a"].last_processed_record_count == 300
     assert jobs["a"].batch_persistence_retry_count == 2
     assert not jobs["c"].is_resume_eligible
@@ -176,3 +179,132 @@ def test_keyed_tables_match_ids_in_any_case(spark, tmp_path):
     assert len(tb.versions(spark, path)) == 2
     (tmp_path / "t" / "v-00000009").mkdir()  # a write that died is not seen
     assert tb.read_keyed(spark, path, schema).count() == 2
+
+
+def records(box):
+    return {r.job_id: r for r in box.store.read_jobs().collect()}
+
+
+def test_a_job_that_cannot_be_read_fails_alone(spark, box):
+    """Six good jobs and one whose rows break the rules themselves."""
+    good = {f"g{i}": report(20 + i, bad=1) for i in range(6)}
+    box.put(**good, poison=report(3, system="POISON"))
+    broken = F.when(F.col("originating_data_system") == "POISON", F.raise_error(F.lit("unreadable system")).cast("boolean")).otherwise(F.lit(False))
+    first = DEFAULT_RULES[0]
+    jobs = box.ingest(rules=[replace(first, fails=lambda as_of: first.fails(as_of) | broken), *DEFAULT_RULES[1:]])
+    assert jobs["poison"].status == "Failed" and "unreadable system" in jobs["poison"].message and jobs["poison"].total_records == 0
+    assert {jobs[g].status for g in good} == {"PartialSuccess"}
+    assert len(box.findings()) == sum(20 + i for i in range(6))
+    assert {r.job_id: r.status for r in box.store.read_checkpoints().collect()} == {g: "PartialSuccess" for g in good} | {"poison": "Failed"}
+    head = json.loads(open(glob.glob(f"{box.store.summaries}/job_id=poison/*.txt")[0]).read())
+    assert head["FinalJobStatus"] == "Failed"
+
+
+def breaking(job, times=10**9):
+    """Writes of rows of one job fail."""
+    left = [times]
+
+    def write(rows, path):
+        if left[0] > 0 and not rows.where(F.col("job_id") == job).isEmpty():
+            left[0] -= 1
+            raise OSError(f"no room for {job}")
+        tb.replace_partitions(rows, path, ["job_id", "batch_group" if "batch_group" in rows.columns else "working_group"])
+
+    return write
+
+
+def test_a_job_that_cannot_be_written_fails_alone_and_resumes(spark, box):
+    box.put(a=report(250), b=report(260), c=report(30), d=report(0, bad=1))
+    options = ing.Options(batch_size=100, batch_groups=2, max_retries=0, retry_delay_ms=0)
+    box.ingest(options)
+    clean = box.findings()
+    jobs = box.ingest(options, LATER, write_batch_group=breaking("b"))
+    assert {k: r.status for k, r in jobs.items()} == {"a": "Success", "b": "Failed", "c": "Success", "d": "Failed"}
+    assert jobs["b"].is_resume_eligible and "no room for b" in jobs["b"].message and not jobs["d"].is_resume_eligible
+    assert [f for f in clean if f[0] != "b"] == box.findings()
+    done = resume_jobs(box.store, spark.createDataFrame([("b",)], "job_id STRING"), LATER, options).collect()
+    assert [(r.job_id, r.status) for r in done] == [("b", "Success")] and box.findings() == clean
+
+
+def test_a_truncated_copy_is_replaced_by_staged_rows_or_fails_its_job(box):
+    box.put(a=report(40), b=report(50), empty=report(0, bad=1))
+
+    def truncated(rows, path):
+        tb.replace_partitions(rows.where("job_id <> 'b' OR sequence_number <= 30"), path, ["job_id", "working_group"])
+
+    options = ing.Options(parquet_primary=True, staging_fallback=True, max_retries=0)
+    jobs = box.ingest(options, write_working=truncated)
+    assert jobs["a"].status == jobs["b"].status == "Success" and len(box.findings()) == 90
+    assert (jobs["a"].working_file_format, jobs["a"].working_file_record_count) == ("parquet", 40)
+    assert (jobs["b"].working_file_format, jobs["b"].working_file_record_count) == (None, 0)
+    jobs = box.ingest(ing.Options(parquet_primary=True, staging_fallback=False, max_retries=0), LATER, write_working=truncated)
+    assert jobs["a"].status == "Success" and jobs["b"].status == "Failed" and jobs["empty"].status == "Failed"
+    assert "does not hold the rows" in jobs["b"].message and "Neither a Parquet copy" in jobs["b"].message
+    assert "Neither" not in jobs["empty"].message  # without rows no store is needed
+
+
+def test_working_stores(spark, box):
+    """Which copies lie there when the batches fail: both, Parquet alone, staged rows in its place, or none for no rows."""
+
+    def stores(options, **kw):
+        box.ingest(options, write_batch_group=failing(after=0), **kw)
+        copies = {r.job_id for r in box.store.read_working().select("job_id").distinct().collect()}
+        staged = {r.job_id for r in box.store.read_staged().select("job_id").distinct().collect()}
+        return copies, staged
+
+    box.put(a=report(30), empty=report(0, bad=1))
+    quick = {"max_retries": 0, "retry_delay_ms": 0}
+    assert stores(ing.Options(**quick)) == ({"a"}, {"a"})
+    assert stores(ing.Options(parquet_primary=True, **quick)) == ({"a"}, set())
+    assert stores(ing.Options(parquet_working=False, parquet_primary=True, **quick)) == (set(), {"a"})
+    assert stores(ing.Options(parquet_primary=True, **quick), write_working=breaking("a")) == (set(), {"a"})
+    done = resume_jobs(box.store, spark.createDataFrame([("a",)], "job_id STRING"), LATER, ing.Options(**quick)).collect()
+    assert done[0].status == "Success" and len(box.findings()) == 30
+
+
+def test_group_reads_are_pruned(box):
+    box.put(a=report(950))
+    box.ingest(ing.Options(batch_size=100, batch_groups=3))
+    plan = box.store.read_working(2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(working_group" in plan and "(working_group#" in plan
+    assert [box.store.read_working(g).count() for g in (1, 2, 3)] == [300, 300, 350]
+
+
+def test_incomplete_groups_do_not_move_the_checkpoint(box, monkeypatch):
+    box.put(a=report(250), b=report(150))
+
+    def short():
+        return lambda rows, path: tb.replace_partitions(rows.where("job_id <> 'a' OR sequence_number <> 120"), path, ["job_id", "batch_group"])
+
+    monkeypatch.setattr(ing, "default_writer", short)
+    jobs = box.ingest(ing.Options(batch_size=100, batch_groups=3, max_retries=0, retry_delay_ms=0))
+    assert jobs["a"].status == "Failed" and jobs["a"].last_processed_record_count == 100 and "has 99 of 100 rows" in jobs["a"].message
+    assert jobs["b"].status == "Success"
+
+
+def test_a_common_cause_is_told_from_bad_jobs(spark):
+    jobs = spark.range(400).selectExpr("concat('j', id) AS job_id")
+    calls = []
+
+    def never(some):
+        calls.append(1)
+        raise OSError("disk full")
+
+    outcome = Isolation().run(jobs, never)
+    assert not outcome.passed and sum(some.count() for some, _ in outcome.failed) == 400 and len(calls) <= 3 * PATIENCE
+
+    def picky(some):
+        if some.where("job_id IN ('j7', 'j301')").count():
+            raise OSError("bad job")
+
+    outcome = Isolation().run(jobs, picky)
+    assert sorted(r[0] for some, _ in outcome.failed for r in some.collect()) == ["j301", "j7"]
+    assert sum(some.count() for some, _ in outcome.passed) == 398
+
+
+def test_refused_files_are_not_read_again_and_names_are_taken_literally(spark, box, tmp_path):
+    (tmp_path / "in" / "a b%20{x}[1].csv").write_text(report(3))
+    (tmp_path / "in" / "no_header.csv").write_text("\n")
+    first = ing.ingest_folder(spark, box.folder, box.store, NOW).collect()
+    assert sorted((r.inbound_file_name, r.status, r.success_count) for r in first)[0][1:] == ("Success", 3)
+    assert ing.ingest_folder(spark, box.folder, box.store, LATER).collect() == []
