@@ -107,7 +107,7 @@ def contaminated(
         shingled(keyed).select("_key", F.posexplode_outer("_h").alias("at", "h"))
         .join(anchors, "h")
         .groupBy("_key")
-        .agg(F.array_distinct(F.collect_list(F.struct("at", "lengths"))).alias("_hits")),
+        .agg(F.collect_set(F.struct("at", "lengths")).alias("_hits")),
         "benchmark-hits",
     )
     starts = F.expr(

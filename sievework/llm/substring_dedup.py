@@ -208,7 +208,7 @@ _SPAN_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 def joined_spans(parts: DataFrame) -> DataFrame:
     """Neighbouring repeats of one document with consecutive source coordinates as one span.
 
-    A document's list is no longer than its text.
+    Repeated rows find the same repeats, which count once (copies go before the exchange), so a document's list is no longer than its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def joined_spans(parts: DataFrame) -> DataFrame:
                 out.append((key, start, end - start, source, start - shift))
             yield _rows(SPAN, out, _SPAN_KINDS)
 
-    listed = parts.groupBy("_key").agg(F.collect_list(F.struct("start", "length", "source_key", "source_start")).alias("_l"))
+    listed = parts.groupBy("_key").agg(F.collect_set(F.struct("start", "length", "source_key", "source_start")).alias("_l"))
     return listed.mapInArrow(run, "_key bigint, start int, length int, source_key bigint, source_start int")
 
 
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, span: int =
     kept = [c for c in (carry or docs.columns) if c not in results]
     spans = written(joined_spans(repeated_spans(docs, span, text, doc_id)), "repeat-spans")
     checked = written(
-        verified_spans(docs, spans, span, text, doc_id).groupBy("_key").agg(F.collect_list(F.struct("start", "length", "digest")).alias("_spans")),
+        verified_spans(docs, spans, span, text, doc_id).groupBy("_key").agg(F.collect_set(F.struct("start", "length", "digest")).alias("_spans")),
         "repeat-verified",
     )
     released(docs.sparkSession)
