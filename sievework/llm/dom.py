@@ -19,13 +19,15 @@ _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^
 
 # Element names as HTML defines their behaviour.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math select".split())
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
+UNSHOWN = ("annotation", "annotation-xml")
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol optgroup option p pre search section summary table tbody "
-    "td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol optgroup option p pre search section select summary "
+    "table tbody td template tfoot th thead tr ul xmp".split()
 )
-_ENDS_P = BLOCK - {"button", "label", "legend", "option", "optgroup", "caption"} | {"hr"}
+_ENDS_P = BLOCK - {"button", "label", "legend", "option", "optgroup", "caption", "select", "template"} | {"hr"}
+_ENDS_SELECT = _ENDS_P | {"select"}
 # An element of the first kind ends an open one of the second, unless one of the third stands between.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -70,7 +72,7 @@ class _Builder:
         self.links = links
         self.page = Page([Node("#page", -1, 0, {})])
         self.stack: list[tuple[str, int]] = [("#page", 0)]  # element and the node its text belongs to
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # places on the stack, by name
         self.run: list[str] = []
         self.linked: list[str] = []
         self.at = 0
@@ -78,15 +80,20 @@ class _Builder:
     def flush(self) -> None:
         """End the current run of text."""
         if self.run:
-            text = " ".join(html.unescape("".join(self.run)).split())
+            text = " ".join("".join(self.run).split())
             if text:
                 self.page.blocks.append((self.at, text))
                 node = self.page.nodes[self.at]
                 node.chars += len(text)
-                node.link_chars += min(len(text), len(" ".join(html.unescape("".join(self.linked)).split())))
+                node.link_chars += min(len(text), len(" ".join("".join(self.linked).split())))
             self.run, self.linked = [], []
 
-    def text(self, raw: str) -> None:
+    def text(self, raw: str, decode: bool = True) -> None:
+        """References are decoded run by run: a mark between two runs ends a reference."""
+        if any(self.open.get(name) for name in UNSHOWN):
+            return
+        if decode and "&" in raw:
+            raw = html.unescape(raw)
         node = self.stack[-1][1]
         if node != self.at:
             self.flush()
@@ -97,19 +104,30 @@ class _Builder:
 
     def pop(self) -> str:
         name, node = self.stack.pop()
-        self.open[name] -= 1
+        if name:
+            self.open[name].pop()
         if node != self.stack[-1][1]:
             self.flush()
         return name
 
     def close(self, name: str) -> None:
-        if self.open.get(name):
+        """The end tag of a block ends all inside it, that of another element ends that one alone, as blocks are walls to it."""
+        if not self.open.get(name):
+            return
+        if name in BLOCK:
             while self.pop() != name:
                 pass
+            return
+        at = self.open[name].pop()
+        self.stack[at] = ("", self.stack[at][1])
+        while not self.stack[-1][0]:
+            self.stack.pop()
 
     def start(self, name: str, raw: str) -> None:
         if name in _ENDS_P and self.open.get("p"):
             self.close("p")
+        if name in _ENDS_SELECT and self.open.get("select"):
+            self.close("select")
         if name in _ENDS:
             ended, walls = _ENDS[name]
             if any(self.open.get(e) for e in ended):
@@ -136,12 +154,16 @@ class _Builder:
             nodes[owner].children += 1
             nodes.append(Node(name, owner, nodes[owner].depth + 1, attributes(raw)))
             owner = len(nodes) - 1
+        self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, owner))
-        self.open[name] = self.open.get(name, 0) + 1
 
 
 def parse(source: str | None, links: bool = False) -> Page:
-    """Tree, blocks, title and, if asked for, link targets of a page.  Anything is a page: broken markup is read as browsers do, roughly; null is empty."""
+    """Tree, blocks, title and, if asked for, link targets of a page.
+
+    Anything is a page: broken markup is read as browsers do, roughly; null is empty.  Text is left out only where browsers show none
+    (scripts, styles, frames, text fields, annotations of formulas); all other elements are read and left to the model.
+    """
     source = source or ""
     build = _Builder(links)
     at = 0
@@ -165,12 +187,16 @@ def parse(source: str | None, links: bool = False) -> Page:
             if name == "br":
                 build.text(" ")
             build.close(name)
-        elif name in RAW:
-            if not m["rest"].endswith("/") or name not in ("svg", "math"):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                if name == "title" and not build.page.title:
-                    build.page.title = " ".join(html.unescape(source[at : end.start() if end else len(source)]).split())
-                at = end.end() if end else len(source)
+        elif name in RAW or name == "xmp":
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            inner = source[at : end.start() if end else len(source)]
+            if name == "title" and not build.page.title:
+                build.page.title = " ".join(html.unescape(inner).split())
+            if name == "xmp":
+                build.start(name, m["rest"])
+                build.text(inner, decode=False)
+                build.close(name)
+            at = end.end() if end else len(source)
         else:
             build.start(name, m["rest"])
     build.flush()

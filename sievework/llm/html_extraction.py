@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every block element of a page is a node that is content or not.  A node's own evidence (its name, the words in its class
-and id, how much text it has and how much of that is links) and potentials between parent and child, which differ by kind
+and id, how much text it has and how much of that is links, its share of the page's text outside menus, headers and the like,
+how much of that stands in paragraphs right below it or beside it) and potentials between parent and child, which differ by kind
 of child, make one distribution over the whole tree.  Sum-product messages, upward and then downward, give the exact
 marginal of every node; a page's text is the text of its nodes that are content more likely than not.  The weights are
 fitted to labelled pages with the exact gradient that the same messages give.  All pages of a batch are one forest, and
@@ -30,11 +31,11 @@ GROUPS = {
     "header": "header hgroup",
     "footer": "footer",
     "aside": "aside",
-    "form": "form button label legend fieldset option optgroup search dialog",
+    "form": "form button label legend fieldset option optgroup select search dialog",
     "article": "article",
     "main": "main",
     "heading": "h1 h2 h3 h4 h5 h6",
-    "text": "p blockquote pre figure figcaption address details summary center",
+    "text": "p blockquote pre xmp figure figcaption address details summary center",
     "list": "ul ol dl dir",
     "item": "li dt dd",
     "table": "table tbody thead tfoot tr td th caption",
@@ -60,8 +61,9 @@ for _kind, _names in WORDS.items():
         _WORDS_OF.setdefault(_name, []).append(_kind)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 CHARS, ALL_CHARS, LINKS = (1, 20, 80, 250), (1, 60, 250, 1000), (0.01, 0.3, 0.7)
+SHARES, PARAGRAPHS = (0.05, 0.25, 0.5, 0.8), (0.05, 0.4, 0.8)
 _ROLES = [*GROUPS, *WORDS]
-_AMOUNTS = [f"{kind}{i}" for kind, n in (("chars", 5), ("links", 4), ("all-chars", 5), ("all-links", 4), ("blocks", 3)) for i in range(n)]
+_AMOUNTS = [f"{kind}{i}" for kind, n in (("chars", 5), ("links", 4), ("all-chars", 5), ("all-links", 4), ("blocks", 3), ("share", 5), ("paragraphs", 4), ("among", 4)) for i in range(n)]
 FEATURES = ["one", *_ROLES, *[f"under-{r}" for r in _ROLES], *_AMOUNTS]
 INDEX = {name: i for i, name in enumerate(FEATURES)}
 ISLANDS = frozenset(["nav", "header", "footer", "aside", "form", *[w for w in WORDS if w != "w-good"]])
@@ -71,7 +73,7 @@ EDGES = ("flow", "box", "island")
 def roles(node: Node) -> list[str]:
     """The role of an element's name and those its class, id and role attribute speak of."""
     marks = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')} {node.attributes.get('role', '')}"
-    if "hidden" in node.attributes or "display:none" in node.attributes.get("style", "").replace(" ", ""):
+    if node.name == "template" or "hidden" in node.attributes or "display:none" in node.attributes.get("style", "").replace(" ", ""):
         marks += " hidden"
     kinds = {k for w in _SPLIT.split(marks) if w for k in _WORDS_OF.get(w.lower(), ())} if not marks.isspace() else ()
     return [_GROUP_OF.get(node.name, "box"), *sorted(kinds)]
@@ -86,8 +88,21 @@ def evidence(page: Page) -> tuple[list[list[int]], list[int]]:
         for k, v in enumerate(inside[i]):
             above[k] += v
     told = [roles(n) for n in nodes]
+    # text outside menus, headers, asides and the like, and the part of it that stands in paragraphs right below a node
+    apart = [bool(ISLANDS.intersection(own)) for own in told]
+    free, below = [0] * len(nodes), [0] * len(nodes)
+    for i, node in enumerate(nodes):
+        apart[i] = apart[i] or (i > 0 and apart[node.parent])
+    for i in range(len(nodes) - 1, -1, -1):
+        if not apart[i]:
+            free[i] += nodes[i].chars - nodes[i].link_chars
+            if i:
+                free[nodes[i].parent] += free[i]
+                if told[i][0] in ("text", "heading", "list"):
+                    below[nodes[i].parent] += free[i]
+    total = free[0] or 1
     features, edges = [], []
-    for node, own, (chars, links, blocks) in zip(nodes, told, inside):
+    for i, (node, own, (chars, links, blocks)) in enumerate(zip(nodes, told, inside)):
         names = ["one", *own, *([f"under-{r}" for r in told[node.parent]] if node.parent >= 0 else [])]
         names += [f"chars{sum(node.chars >= c for c in CHARS)}", f"all-chars{sum(chars >= c for c in ALL_CHARS)}"]
         if node.chars:
@@ -95,6 +110,11 @@ def evidence(page: Page) -> tuple[list[list[int]], list[int]]:
         if chars:
             names.append(f"all-links{sum(links >= c * chars for c in LINKS)}")
         names.append(f"blocks{(blocks > 1) + (blocks > 3)}")
+        if not apart[i]:
+            names.append(f"share{sum(free[i] >= c * total for c in SHARES)}")
+            names.append(f"paragraphs{sum(below[i] > c * (free[i] or 1) for c in PARAGRAPHS)}")
+            if i:
+                names.append(f"among{sum(below[node.parent] > c * (free[node.parent] or 1) for c in PARAGRAPHS)}")
         features.append([INDEX[n] for n in names])
         edges.append(2 if ISLANDS.intersection(own) else 0 if own[0] in ("heading", "text", "list", "item", "table") else 1)
     return features, edges
@@ -104,7 +124,8 @@ def evidence(page: Page) -> tuple[list[list[int]], list[int]]:
 class Forest:
     """Nodes of many pages, parents by position, and the nodes of each level from the roots down."""
 
-    design: np.ndarray
+    features: np.ndarray  # numbers of the features of all nodes, one node after the other
+    counts: np.ndarray  # how many each node has, one at least
     parent: np.ndarray
     edge: np.ndarray
     levels: list[np.ndarray]
@@ -119,11 +140,19 @@ class Forest:
             edge += kinds
             parent += [base + n.parent if n.parent >= 0 else -1 for n in page.nodes]
             depth += [n.depth for n in page.nodes]
-        design = np.zeros((len(rows), len(FEATURES)), np.float32)
-        design[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), [f for r in rows for f in r]] = 1
+        features, lengths = np.fromiter((f for r in rows for f in r), np.int16), np.fromiter(map(len, rows), np.int64, len(rows))
         order = np.argsort(depth, kind="stable")
         counts = np.bincount(depth) if depth else np.zeros(0, int)
-        return cls(design, np.array(parent, np.int64), np.array(edge, np.int64), np.split(order, np.cumsum(counts)[:-1]) if len(counts) else [])
+        levels = np.split(order, np.cumsum(counts)[:-1]) if len(counts) else []
+        return cls(features, lengths, np.array(parent, np.int64), np.array(edge, np.int64), levels)
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each node's features."""
+        return np.add.reduceat(weights[self.features], np.cumsum(self.counts) - self.counts)
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the values of the nodes that have a feature, for each feature."""
+        return np.bincount(self.features, np.repeat(values, self.counts), len(FEATURES))
 
 
 def _logadd(x: np.ndarray, axis: int) -> np.ndarray:
@@ -162,7 +191,7 @@ class Model:
     def content(self, pages: list[Page]) -> list[np.ndarray]:
         """Probability of content for each node of each page."""
         forest = Forest.of(pages)
-        marginal, _ = messages(forest, forest.design @ self.weights, self.pair)
+        marginal, _ = messages(forest, forest.scores(self.weights), self.pair)
         return np.split(marginal[:, 1], np.cumsum([len(p.nodes) for p in pages])[:-1])
 
 
@@ -182,8 +211,8 @@ def fit(sources: list[str], rounds: int = 200, decay: float = 1e-5, rate: float
     weights = [np.zeros(len(FEATURES)), np.zeros((len(EDGES), 2, 2))]
     moment = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
     for t in range(1, rounds + 1):
-        marginal, joint = messages(forest, forest.design @ weights[0], weights[1])
-        slope = [forest.design.T @ (label - marginal[:, 1]), np.zeros_like(weights[1])]
+        marginal, joint = messages(forest, forest.scores(weights[0]), weights[1])
+        slope = [forest.totals(label - marginal[:, 1]), np.zeros_like(weights[1])]
         for e in range(len(EDGES)):
             some = children & (forest.edge == e)
             slope[1][e] = (seen[some] - joint[some]).sum(axis=0)

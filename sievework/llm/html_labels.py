@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import random
 
-PAGES = 240
+PAGES = 360
+LAYOUTS = ("article", "named", "plain", "nested", "section", "bare")
 
 _LETTERS = ["ka", "lo", "mi", "ren", "tas", "ul", "vo", "ner", "is", "ot"]
 
@@ -112,22 +113,31 @@ class _Writer:
         head = f"<h2>{self.words(1, 3)}</h2>" if r.random() < 0.6 else ""
         return self.tag(r.choice(["section", "div", "ol"]), head + each, r.choice(["comments", "comment-list", "responses", "discussion"]))
 
-    def page(self) -> str:
+    def framed(self, body: str, layout: str) -> str:
+        """The article in the frame of a layout; ``plain`` ones say nothing by name, ``bare`` has none."""
         r = self.r
-        body = self.article_parts()
-        shape = r.random()
-        if shape < 0.45:
+        if layout == "article":
             body = self.tag("article", body, r.choice(["", "", "post", "story"]), True)
-        elif shape < 0.9:
+        elif layout == "named":
             body = self.tag("div", body, r.choice(["content", "article", "post", "entry-content", "article-body", "story", "main-text", "text"]), True)
-        if shape < 0.9 and r.random() < 0.4:
+        elif layout != "bare":
+            for _ in range({"plain": 1, "nested": r.randint(2, 4)}.get(layout, 1)):
+                spare = r.choice(["", "", "", f"css-{r.randint(1, 9)}{self.words(1, 1)}", f"x-{r.randint(1, 99)}", f"{self.words(1, 1)}"])
+                body = self.tag("section" if layout == "section" else r.choice(["div", "div", "section"]) if layout == "nested" else "div", body, spare, True)
+        if layout in ("article", "named") and r.random() < 0.4:
             body = self.tag(r.choice(["main", "main", "section", "div"]), body, r.choice(["", "main", "container"]), True)
+        return body
+
+    def page(self, layout: str = "") -> str:
+        r = self.r
+        body = self.article_parts()
+        body = self.framed(body, layout or r.choices(LAYOUTS, (5, 5, 3, 3, 2, 2))[0])
         before = [f() for f in (self.top, self.menu, self.notice, self.ad) if r.random() < 0.5]
         after = [f() for f in (self.side, self.comments, self.ad, self.form, self.bottom, self.notice) if r.random() < 0.45]
         r.shuffle(before)
         out = "".join(before) + body + "".join(after)
         if r.random() < 0.25:
-            out = f"<div class='{r.choice(['page', 'wrapper', 'container', 'site'])}'>{out}</div>"
+            out = f"<div {r.choice(['class=page', 'class=wrapper', 'class=container', 'class=site', 'id=root', 'id=app', ''])}>{out}</div>"
         script = "<script>var t='</p>';</script>" if r.random() < 0.5 else ""
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title>{script}</head><body>{out}</body></html>"
 
@@ -138,6 +148,6 @@ class _Writer:
         return self.tag("form", f"<label>{self.words(1, 3)}</label><input><p>{self.words(2, 20)}</p><button>{self.words(1, 2)}</button>", self.r.choice(["", "search", "newsletter"]))
 
 
-def labelled_pages(first: int = 0, count: int = PAGES) -> list[str]:
-    """Pages of the labelled table; other seeds give held-out ones."""
-    return [_Writer(seed).page() for seed in range(first, first + count)]
+def labelled_pages(first: int = 0, count: int = PAGES, layout: str = "") -> list[str]:
+    """Pages of the labelled table, of all layouts or of one; other seeds give held-out ones."""
+    return [_Writer(seed).page(layout) for seed in range(first, first + count)]
