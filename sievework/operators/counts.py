@@ -30,14 +30,6 @@ def finding_type_counts(checked: DataFrame) -> DataFrame:
     )
 
 
-def type_count_maps(counts: DataFrame) -> DataFrame:
-    """The counts of a job as one map (at most one entry per allowed type)."""
-    entry = F.struct("finding_type", "row_count")
-    return counts.groupBy("job_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("finding_type_counts")
-    )
-
-
 def record_counts(checked: DataFrame) -> DataFrame:
     """Rows (not errors) per job that passed, failed, and together; blank rows do not count."""
     return checked.groupBy("job_id").agg(
@@ -182,12 +174,3 @@ def rejected_lists(rejected: DataFrame, chunk_rows: int = REJECTED_BATCH_SIZE) -
     return rejected.groupBy("job_id", part.alias("part")).agg(
         F.array_sort(F.collect_list(entry)).alias("rejected_rows")
     )
-
-
-def rejected_record_counts(rejected: DataFrame) -> DataFrame:
-    """Rejected records and errors per job, from the stored rejected rows."""
-    return rejected.groupBy("job_id", "row_number").agg(F.count("*").alias("_errors")).groupBy("job_id").agg(
-        F.count("*").alias("rejected_records"), F.sum("_errors").alias("rejected_errors")
-    )
-
-

@@ -1,14 +1,19 @@
 """Stored tables: small keyed tables in versions, large row tables in job partitions.
 
-A keyed table is a folder of numbered versions; the newest one with a success marker is
-current, so a write that dies half-way is never seen.  Row tables are partitioned by job
+A keyed table is cut into buckets by the hash of its key; a write replaces the buckets it changes and then takes the next
+version number, so a write that dies half-way is never seen and two writers lose nothing.  Row tables are partitioned by job
 (findings also by batch group) and written with dynamic partition overwrite, so a retried or
 repeated write replaces its own rows and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import time
+import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,27 +31,134 @@ def key_of(job_id: Column | str) -> Column:
 
 # --- keyed tables ---------------------------------------------------------------------
 
+BUCKETS = 32
+KEEP_SECONDS = 24 * 3600
+
+
+@dataclass(frozen=True)
+class Version:
+    """One state of a keyed table: the write that holds each bucket, and the batches that are in it."""
+
+    number: int = 0
+    buckets: int = BUCKETS
+    parts: dict[int, str] = field(default_factory=dict)
+    marks: dict[str, int] = field(default_factory=dict)
+
+    def text(self) -> str:
+        return json.dumps({"buckets": self.buckets, "parts": self.parts, "marks": self.marks})
+
+
+class LostRace(RuntimeError):
+    """Other writers were first every time."""
+
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions of a keyed table, oldest first."""
-    names = [n for n in ws.children(spark, path) if n.startswith("v-")]
-    return sorted(int(n[2:]) for n in names if ws.exists(spark, f"{path}/{n}/_SUCCESS"))
+    """Versions of a keyed table, oldest first."""
+    return sorted(int(n[2:]) for n in ws.children(spark, f"{path}/versions") if n.startswith("v-"))
 
 
-def read_keyed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Current version of a keyed table; empty before the first write."""
+def current(spark: SparkSession, path: str) -> Version:
     found = versions(spark, path)
     if not found:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v-{found[-1]:08d}")
+        return Version()
+    told = json.loads(ws.read_text(spark, f"{path}/versions/v-{found[-1]:010d}"))
+    return Version(found[-1], told["buckets"], {int(b): w for b, w in told["parts"].items()}, told["marks"])
 
 
-def write_keyed(spark: SparkSession, path: str, df: DataFrame, keep: int = 2) -> None:
-    """Write the next version and forget all but the last few."""
-    found = versions(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}/v-{(found[-1] if found else 0) + 1:08d}")
-    for old in versions(spark, path)[:-keep]:
-        ws.remove(spark, f"{path}/v-{old:08d}")
+def _bucket(job_id: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key_of(job_id)), F.lit(buckets)).cast("int")
+
+
+def _read_parts(spark: SparkSession, path: str, version: Version, schema: StructType, some: set[int] | None = None) -> DataFrame:
+    paths = [f"{path}/rows/{w}/_bucket={b}" for b, w in sorted(version.parts.items()) if some is None or b in some]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_keyed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Current version of a keyed table; empty before the first write."""
+    return _read_parts(spark, path, current(spark, path), schema)
+
+
+def upsert_keyed(
+    spark: SparkSession,
+    path: str,
+    rows: DataFrame,
+    schema: StructType,
+    merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    batch: tuple[str, int] | None = None,
+    buckets: int = BUCKETS,
+    tries: int = 30,
+) -> set[int]:
+    """Merge rows into a keyed table by job id; returns the buckets that were rewritten.
+
+    Only buckets that a row falls into are read, merged (``merge(old, rows)``, by default :func:`merged_jobs`) and written, beside
+    the ones of earlier versions.  A version is a small file that names the write of every bucket and is made only if nobody made
+    that number before.  A writer that comes second keeps its work where the other one changed other buckets, and merges anew
+    where they share one, so nothing is lost.  ``batch`` (name, number) is noted in the version; a batch of a name that is not
+    beyond the noted one changes nothing.  The rows are evaluated once.  Several rows of a job are all kept; give the newest one.
+    """
+    given = ws.fresh_path(spark, "upsert")
+    try:
+        rows.select(*schema.names).write.parquet(given)
+        return _merge_until_first(spark, path, spark.read.schema(schema).parquet(given), schema, merge or merged_jobs, batch, buckets, tries)
+    finally:
+        ws.remove(spark, given)
+
+
+def _merge_until_first(
+    spark: SparkSession,
+    path: str,
+    rows: DataFrame,
+    schema: StructType,
+    merge: Callable[[DataFrame, DataFrame], DataFrame],
+    batch: tuple[str, int] | None,
+    buckets: int,
+    tries: int,
+) -> set[int]:
+    touched: dict[int, set[int]] = {}
+    base, done, write, filled = current(spark, path), None, "", set()
+    for _ in range(tries):
+        if batch and base.marks.get(batch[0], -1) >= batch[1]:
+            return set()
+        size = base.buckets if base.number else buckets
+        if size not in touched:
+            touched[size] = {r[0] for r in rows.select(_bucket("job_id", size)).distinct().collect()}
+        some = touched[size]
+        if done is None or size != done.buckets or any(base.parts.get(b) != done.parts.get(b) for b in some):
+            write, done = f"w-{uuid.uuid4().hex}", Version(base.number, size, base.parts)
+            merged = merge(_read_parts(spark, path, base, schema, some), rows)
+            if some:
+                merged = merged.select(*schema.names, _bucket("job_id", size).alias("_bucket"))
+                merged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/rows/{write}")
+            filled = {int(n[len("_bucket=") :]) for n in ws.children(spark, f"{path}/rows/{write}") if n.startswith("_bucket=")}
+        parts = {b: w for b, w in base.parts.items() if b not in some} | dict.fromkeys(filled & some, write)
+        marks = base.marks | ({batch[0]: batch[1]} if batch else {})
+        new = Version(base.number + 1, size, parts, marks)
+        if ws.create_text(spark, f"{path}/versions/v-{new.number:010d}", new.text()):
+            forget(spark, path)
+            return some
+        base = current(spark, path)
+    raise LostRace(path)
+
+
+def forget(spark: SparkSession, path: str, seconds: int = KEEP_SECONDS) -> None:
+    """Drop versions and writes older than ``seconds`` that the current version does not need.
+
+    Readers of an older version have that long; so has a writer that has not made its version yet.
+    """
+    now, keep = current(spark, path), set()
+    before = int(time.time() - seconds) * 1000
+    for name, changed in ws.ages(spark, f"{path}/versions"):
+        if name.startswith("v-"):
+            if int(name[2:]) < now.number and changed < before:
+                ws.remove(spark, f"{path}/versions/{name}")
+    old = [name for name, changed in ws.ages(spark, f"{path}/rows") if changed < before]
+    if old:
+        for number in versions(spark, path):
+            keep |= set(json.loads(ws.read_text(spark, f"{path}/versions/v-{number:010d}"))["parts"].values())
+    for name in old:
+        if name not in keep:
+            ws.remove(spark, f"{path}/rows/{name}")
 
 
 def newest_per_job(rows: DataFrame, stamp: str) -> DataFrame:
@@ -90,38 +202,72 @@ def replace_partitions(df: DataFrame, path: str, by: list[str], rows_per_file: i
     ).partitionBy(*by).parquet(path)
 
 
-def stored_jobs(spark: SparkSession, path: str) -> list[str]:
-    """Job ids that have a partition in a row table."""
-    return [unquote(n[len("job_id=") :]) for n in ws.children(spark, path) if n.startswith("job_id=")]
+def _job_folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, job id) of the partitions of a row table; a staged table has them below its days, which are few."""
+    days = [f"{path}/{n}" for n in ws.children(spark, path) if n.startswith(f"{EXPIRY_DAY}=")]
+    return [(f"{p}/{n}", unquote(n[len("job_id=") :])) for p in [path, *days] for n in ws.children(spark, p) if n.startswith("job_id=")]
 
 
 def delete_job_rows(spark: SparkSession, path: str, job_ids: Iterable[str]) -> int:
     """Drop the partitions of jobs (ids in any case); blank or unknown ids do nothing."""
     wanted = {j.lower() for j in job_ids if j and j.strip()}
-    dropped = 0
-    for name in ws.children(spark, path):
-        if name.startswith("job_id=") and unquote(name[len("job_id=") :]).lower() in wanted:
-            ws.remove(spark, f"{path}/{name}")
-            dropped += 1
-    return dropped
+    folders = [p for p, job in _job_folders(spark, path) if job.lower() in wanted] if wanted else []
+    for folder in folders:
+        ws.remove(spark, folder)
+    return len(folders)
 
 
-def read_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of a partitioned table; empty before the first write."""
-    if not any(n.startswith("job_id=") for n in ws.children(spark, path)):
+    if not any(n.startswith(("job_id=", f"{EXPIRY_DAY}=")) for n in ws.children(spark, path)):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Rows of every other job (the rewrite form of a delete)."""
-    keys = jobs.where(~is_blank("job_id")).select(key_of("job_id").alias("_key")).distinct()
-    return rows.join(keys, key_of(rows["job_id"]) == keys["_key"], "left_anti")
-
-
-def unexpired(staged: DataFrame, now: Column) -> DataFrame:
-    """Staged rows whose time has not run out."""
-    return staged.where(F.col("expires_at") > now)
+# --- staged rows ----------------------------------------------------------------------
+
+# Staged rows lie in the day they expire on, so that a purge drops whole days.
+EXPIRY_DAY = "expiry_day"
+
+
+def write_staged(staged: DataFrame, path: str) -> None:
+    """Write staged rows, so that the jobs they belong to are replaced in the day they expire on."""
+    replace_partitions(staged.withColumn(EXPIRY_DAY, F.to_date("expires_at")), path, [EXPIRY_DAY, "job_id"])
+
+
+def purge_expired(spark: SparkSession, path: str, now: datetime) -> list[str]:
+    """Remove staged rows whose time has run out at ``now``; returns the days that were dropped or rewritten.
+
+    Days that are over go as a whole, without being read.  Today's is read for expired rows and, if it has any, written anew
+    without them and exchanged for the old one.  A purge that died in between is completed by the next.
+    """
+    today = (now.astimezone(timezone.utc) if now.tzinfo else now).date().isoformat()
+    names = ws.children(spark, path)
+    for name in names:
+        if name.startswith(_BEFORE):  # the old folder of an exchange that was cut short
+            day = name[len(_BEFORE) :]
+            if day in names:
+                ws.remove(spark, f"{path}/{name}")
+            else:
+                ws.rename(spark, f"{path}/{name}", f"{path}/{day}")
+    days = [n for n in ws.children(spark, path) if n.startswith(f"{EXPIRY_DAY}=")]
+    over = [n for n in days if n[len(EXPIRY_DAY) + 1 :] < today]
+    for name in over:
+        ws.remove(spark, f"{path}/{name}")
+    border = f"{EXPIRY_DAY}={today}"
+    if border in days:
+        rows = spark.read.parquet(f"{path}/{border}")
+        if not rows.where(F.col("expires_at") <= F.lit(now)).isEmpty():
+            fresh = f"{path}/_new-{uuid.uuid4().hex}"
+            rows.where(F.col("expires_at") > F.lit(now)).write.partitionBy("job_id").parquet(fresh)
+            ws.rename(spark, f"{path}/{border}", f"{path}/{_BEFORE}{border}")
+            ws.rename(spark, fresh, f"{path}/{border}")
+            ws.remove(spark, f"{path}/{_BEFORE}{border}")
+            over.append(border)
+    return [n[len(EXPIRY_DAY) + 1 :] for n in over]
+
+
+_BEFORE = "_before-"
 
 
 def staged_rows(numbered: DataFrame, now: Column, days: int) -> DataFrame:

@@ -95,8 +95,8 @@ class Store:
         return self._rows(
             self.staged,
             f"sequence_number BIGINT, finding STRUCT<{fields}>, created_at_utc TIMESTAMP, "
-            "expires_at TIMESTAMP, job_id STRING",
-        )
+            "expires_at TIMESTAMP, job_id STRING, expiry_day DATE",
+        ).drop(tb.EXPIRY_DAY)
 
     def read_rejected(self) -> DataFrame:
         return tb.read_rows(self.spark, self.rejected, REJECTED_SCHEMA)
@@ -108,10 +108,11 @@ class Store:
         return tb.read_keyed(self.spark, self.checkpoints, CHECKPOINT_SCHEMA)
 
     def save_jobs(self, rows: DataFrame) -> None:
-        tb.write_keyed(self.spark, self.jobs, tb.merged_jobs(self.read_jobs(), rows.select(*AUDIT_SCHEMA.names)))
+        tb.upsert_keyed(self.spark, self.jobs, rows, AUDIT_SCHEMA)
 
     def save_checkpoints(self, rows: DataFrame, now: Column) -> None:
-        tb.write_keyed(self.spark, self.checkpoints, tb.merged_checkpoints(self.read_checkpoints(), rows, now))
+        given = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHECKPOINT_SCHEMA]
+        tb.upsert_keyed(self.spark, self.checkpoints, rows.select(*given), CHECKPOINT_SCHEMA, lambda old, new: tb.merged_checkpoints(old, new, now))
 
     def _rows(self, path: str, schema: str) -> DataFrame:
         return tb.read_rows(self.spark, path, schema)
@@ -166,6 +167,7 @@ def ingest_folder(
     """
     at = F.lit(now)
     with ws.scratch(spark):
+        tb.purge_expired(spark, store.staged, now)
         files = list_files(spark, folder)
         if books is not None:
             files = files.unionByName(workbook_listing(books))
@@ -460,7 +462,7 @@ class Working:
             parts.append(_numbered(of(jobs).join(fresh, "job_id", "left_semi"), self.options))
         if parts:
             rows = united([p.select("job_id", "sequence_number", *_finding_fields()) for p in parts])
-            tb.replace_partitions(tb.staged_rows(rows, self.at, STAGED_DAYS), self.store.staged, ["job_id"])
+            tb.write_staged(tb.staged_rows(rows, self.at, STAGED_DAYS), self.store.staged)
 
     def split(self, jobs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """The jobs with a store, their records saying which, and those that have none."""

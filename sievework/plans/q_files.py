@@ -253,8 +253,11 @@ def purge_expired(spark, sf):
     # Rows count as staged when they were loaded.
     rows = qr.numbered(spark, sf).select("job_id", "sequence_number", "load_date_utc")
     staged = materialise(tb.staged_rows(rows, F.col("load_date_utc"), STAGED_DAYS), "staged")
-    kept = tb.unexpired(staged, F.lit("1998-01-01 00:00:00").cast("timestamp"))
-    return kept.select("job_id", "sequence_number")
+    path = fresh_path(spark, "staged")
+    by_day = staged.repartition(F.to_date("expires_at"))
+    tb.write_staged(by_day, path)
+    tb.purge_expired(spark, path, datetime(1998, 1, 1))
+    return tb.read_rows(spark, path, staged.schema.simpleString()[len("struct<") : -1] + f",{tb.EXPIRY_DAY}:date").select("job_id", "sequence_number")
 
 
 # --- sinks --------------------------------------------------------------------------------

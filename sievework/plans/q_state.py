@@ -316,10 +316,12 @@ def _new_versions(old: DataFrame, stamp: str) -> DataFrame:
     return again.withColumns({"job_id": F.lower("job_id"), "status": F.lit("Started"), stamp: now()})
 
 
-def _written_keyed(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def _upserted(spark: SparkSession, old: DataFrame, new: DataFrame, label: str, merge=None) -> DataFrame:
+    """The old rows as a stored table, and the new ones merged into it."""
     path = fresh_path(spark, label)
-    tb.write_keyed(spark, path, df)
-    return tb.read_keyed(spark, path, df.schema)
+    tb.upsert_keyed(spark, path, old, old.schema)
+    tb.upsert_keyed(spark, path, new, old.schema, merge)
+    return tb.read_keyed(spark, path, old.schema)
 
 
 @query(
@@ -330,8 +332,7 @@ def _written_keyed(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 )
 def upsert_job(spark, sf):
     old = jobs(spark, sf)
-    merged = tb.merged_jobs(old, _new_versions(old, "start_timestamp_utc"))
-    return _written_keyed(spark, merged, "jobs").select("job_id", "status", "success_count")
+    return _upserted(spark, old, _new_versions(old, "start_timestamp_utc"), "jobs").select("job_id", "status", "success_count")
 
 
 @query(
@@ -343,8 +344,8 @@ def upsert_job(spark, sf):
 def upsert_checkpoint(spark, sf):
     old = checkpoints(spark, sf)
     new = _new_versions(old, "created_at_utc")
-    merged = tb.merged_checkpoints(old, tb.newest_per_job(new.unionByName(new), "last_checkpoint_utc"), now())
-    return _written_keyed(spark, merged, "checkpoints").select(
+    newest = tb.newest_per_job(new.unionByName(new), "last_checkpoint_utc")
+    return _upserted(spark, old, newest, "checkpoints", lambda before, rows: tb.merged_checkpoints(before, rows, now())).select(
         "job_id", "status", qr.when_text("created_at_utc"), qr.when_text("last_checkpoint_utc")
     )
 

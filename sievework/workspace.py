@@ -7,12 +7,14 @@ session names no folder (tests, a laptop) is a temporary one made; on a cluster
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _local_fallback: dict[str, str] = {}
@@ -84,6 +86,59 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(p))
 
 
+def ages(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and times of change (milliseconds) of the entries directly under a path."""
+    fs, p = file_system(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file whole, or leave the one that is there; tells whether it was made.
+
+    It is written under another name and then given its own.  A file system with a name node refuses a name that is taken; on a
+    local one a link does.  An object store needs a connector whose renames refuse it too.
+    """
+    fs, final = file_system(spark, path)
+    fs.mkdirs(final.getParent())
+    jvm = spark.sparkContext._jvm
+    part = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{final.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(part.toUri().getPath(), final.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(part, fs.makeQualified(final), none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError:
+        if fs.exists(final):
+            return False
+        raise
+    finally:
+        fs.delete(part, False)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = file_system(spark, path)
+    if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = file_system(spark, path)
     fs.delete(p, True)

@@ -2,6 +2,7 @@
 
 import glob
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import datetime, timezone
 
@@ -169,16 +170,109 @@ def test_drop_folder_takes_every_file_once(spark, box, tmp_path):
     assert spark.read.parquet(box.store.events).count() == 3
 
 
+KEYED = "job_id STRING, n INT"
+
+
+def keyed(spark, path):
+    return sorted(map(tuple, tb.read_keyed(spark, path, KEYED).collect()))
+
+
+def put(spark, path, rows, merge=None, batch=None):
+    frame = spark.createDataFrame(rows, KEYED)
+    return tb.upsert_keyed(spark, path, frame, frame.schema, merge, batch)
+
+
 def test_keyed_tables_match_ids_in_any_case(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), spark.createDataFrame([("x", 1)], "job_id STRING, n INT").schema
-    assert tb.read_keyed(spark, path, schema).count() == 0
-    for rows in ([("Job", 1), ("other", 1)], [("jOB", 2)], [("JOB", 3)]):
-        new = spark.createDataFrame(rows, schema)
-        tb.write_keyed(spark, path, tb.merged_jobs(tb.read_keyed(spark, path, schema), new))
-    assert sorted(map(tuple, tb.read_keyed(spark, path, schema).collect())) == [("JOB", 3), ("other", 1)]
-    assert len(tb.versions(spark, path)) == 2
-    (tmp_path / "t" / "v-00000009").mkdir()  # a write that died is not seen
-    assert tb.read_keyed(spark, path, schema).count() == 2
+    path = str(tmp_path / "t")
+    assert keyed(spark, path) == []
+    for rows in ([("Job", 1), ("other", 1)], [("jOB", 2)], [("JOB", 3)], []):
+        put(spark, path, rows)
+    assert keyed(spark, path) == [("JOB", 3), ("other", 1)]
+    assert tb.versions(spark, path) == [1, 2, 3, 4]
+    (tmp_path / "t" / "rows" / "w-dead" / "_bucket=0").mkdir(parents=True)  # a write that died is not seen
+    assert keyed(spark, path) == [("JOB", 3), ("other", 1)]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path = str(tmp_path / "t")
+    every = put(spark, path, [(f"job-{i}", 0) for i in range(500)])
+    assert len(every) == tb.BUCKETS
+    before = tb.current(spark, path).parts
+    some = put(spark, path, [("JOB-7", 1)])
+    after = tb.current(spark, path).parts
+    assert len(some) == 1 and {b for b in before if before[b] != after[b]} == some
+    written = list((tmp_path / "t" / "rows" / after[some.pop()]).rglob("*.parquet"))
+    assert sum(spark.read.parquet(f"file://{f}").count() for f in written) < 50
+    assert len(keyed(spark, path)) == 500 and ("JOB-7", 1) in keyed(spark, path)
+
+
+def test_a_second_writer_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    put(spark, path, [("a", 0), ("b", 0)])
+    merges = []
+
+    def while_other_writes(rows):
+        def merge(old, new):
+            merges.append(1)
+            if len(merges) == 1:
+                put(spark, path, rows)
+            return tb.merged_jobs(old, new)
+
+        return merge
+
+    # the other writer changes the same bucket: merged anew on top of it
+    put(spark, path, [("a", 1)], lambda old, new: while_other_writes([("A", 7)])(old.withColumn("n", old.n + 0), new))
+    assert keyed(spark, path) == [("a", 1), ("b", 0)] and len(merges) == 2
+    # it changes another bucket: the work is kept
+    merges.clear()
+    put(spark, path, [("a", 2)], while_other_writes([("b", 5)]))
+    assert keyed(spark, path) == [("a", 2), ("b", 5)] and len(merges) == 1
+
+
+def test_writers_at_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: put(spark, path, [(f"job-{i}", i), ("shared", i)]), range(12)))
+    got = keyed(spark, path)
+    assert [r for r in got if r[0] != "shared"] == sorted((f"job-{i}", i) for i in range(12))
+    assert sum(r[0] == "shared" for r in got) == 1 and tb.versions(spark, path) == list(range(1, 13))
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert put(spark, path, [("a", 1)], batch=("s", 0)) and put(spark, path, [("a", 2)], batch=("s", 1))
+    assert put(spark, path, [("a", 1)], batch=("s", 0)) == set() == put(spark, path, [("a", 9)], batch=("s", 1))
+    assert put(spark, path, [("b", 3)], batch=("other", 0))
+    assert keyed(spark, path) == [("a", 2), ("b", 3)]
+
+
+def test_old_versions_are_forgotten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(3):
+        put(spark, path, [("a", n)])
+    reader = tb.read_keyed(spark, path, KEYED)
+    put(spark, path, [("a", 3)])
+    assert reader.collect()[0].n == 2  # readers of an older version still have it
+    tb.forget(spark, path, -5)
+    assert tb.versions(spark, path) == [4] and keyed(spark, path) == [("a", 3)]
+    assert len(list((tmp_path / "t" / "rows").iterdir())) == 1
+
+
+def test_purge_of_staged_rows(spark, tmp_path):
+    path = str(tmp_path / "staged")
+    assert tb.purge_expired(spark, path, NOW) == []
+    rows = [("a", 1, "2024-01-01 05:00:00"), ("a", 2, "2024-01-02 05:00:00"), ("b", 1, "2024-01-02 08:00:00"), ("c", 1, "2024-01-03 00:00:00")]
+    staged = spark.createDataFrame(rows, "job_id STRING, sequence_number BIGINT, at STRING").selectExpr("job_id", "sequence_number", "CAST(at AS TIMESTAMP) AS expires_at")
+    tb.write_staged(staged, path)
+    left = lambda: sorted((r.job_id, r.sequence_number) for r in tb.read_rows(spark, path, "sequence_number BIGINT, expires_at TIMESTAMP, expiry_day DATE, job_id STRING").collect())
+    assert tb.purge_expired(spark, path, datetime(2024, 1, 2, 5)) == ["2024-01-01", "2024-01-02"]
+    assert left() == [("b", 1), ("c", 1)]
+    assert tb.purge_expired(spark, path, datetime(2024, 1, 2, 5)) == []
+    # a purge that died between its two renames is undone by the next one, which then does it again
+    (tmp_path / "staged" / "expiry_day=2024-01-02").rename(tmp_path / "staged" / "_before-expiry_day=2024-01-02")
+    assert tb.purge_expired(spark, path, datetime(2024, 1, 2, 6)) == [] and left() == [("b", 1), ("c", 1)]
+    assert tb.delete_job_rows(spark, path, ["C", " "]) == 1 and left() == [("b", 1)]
+    assert tb.purge_expired(spark, path, datetime(2025, 1, 1)) == ["2024-01-02", "2024-01-03"] and left() == []
 
 
 def records(box):
