@@ -230,18 +230,19 @@ def read_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 EXPIRY_DAY = "expiry_day"
 
 
-def write_staged(staged: DataFrame, path: str) -> None:
-    """Write staged rows, so that the jobs they belong to are replaced in the day they expire on."""
-    replace_partitions(staged.withColumn(EXPIRY_DAY, F.to_date("expires_at")), path, [EXPIRY_DAY, "job_id"])
+def write_staged(staged: DataFrame, path: str, unit: str = "day") -> None:
+    """Write staged rows, so that the jobs they belong to are replaced in the day (or month) they expire in."""
+    replace_partitions(staged.withColumn(EXPIRY_DAY, F.to_date(F.date_trunc(unit, "expires_at"))), path, [EXPIRY_DAY, "job_id"])
 
 
-def purge_expired(spark: SparkSession, path: str, now: datetime) -> list[str]:
-    """Remove staged rows whose time has run out at ``now``; returns the days that were dropped or rewritten.
+def purge_expired(spark: SparkSession, path: str, now: datetime, unit: str = "day") -> list[str]:
+    """Remove staged rows whose time has run out at ``now``; returns the days (first days of months) that were dropped or rewritten.
 
     Days that are over go as a whole, without being read.  Today's is read for expired rows and, if it has any, written anew
     without them and exchanged for the old one.  A purge that died in between is completed by the next.
     """
-    today = (now.astimezone(timezone.utc) if now.tzinfo else now).date().isoformat()
+    first = (now.astimezone(timezone.utc) if now.tzinfo else now).date()
+    today = (first.replace(day=1) if unit == "month" else first).isoformat()
     names = ws.children(spark, path)
     for name in names:
         if name.startswith(_BEFORE):  # the old folder of an exchange that was cut short

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievework.layout import RAW_COLUMNS, REJECTED_SCHEMA, STAGED_DAYS
 from sievework.operators import numbering as nb
@@ -254,10 +255,9 @@ def purge_expired(spark, sf):
     rows = qr.numbered(spark, sf).select("job_id", "sequence_number", "load_date_utc")
     staged = materialise(tb.staged_rows(rows, F.col("load_date_utc"), STAGED_DAYS), "staged")
     path = fresh_path(spark, "staged")
-    by_day = staged.repartition(F.to_date("expires_at"))
-    tb.write_staged(by_day, path)
-    tb.purge_expired(spark, path, datetime(1998, 1, 1))
-    return tb.read_rows(spark, path, staged.schema.simpleString()[len("struct<") : -1] + f",{tb.EXPIRY_DAY}:date").select("job_id", "sequence_number")
+    tb.write_staged(staged.repartition(F.date_trunc("month", "expires_at")), path, "month")
+    tb.purge_expired(spark, path, datetime(1998, 1, 1), "month")
+    return tb.read_rows(spark, path, StructType(staged.schema.fields).add(tb.EXPIRY_DAY, "date")).select("job_id", "sequence_number")
 
 
 # --- sinks --------------------------------------------------------------------------------
