@@ -1,9 +1,10 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
-A benchmark item of n words is compared with windows of n words.  Every window that shares a five-word shingle with some
-item of its length is fingerprinted (a window that shares none has similarity zero).  Fingerprints are cut into one block
-more than the radius, so two of them within the radius agree on at least one block: an equality join on (length, block,
-value) finds all of them, the bit distance is checked, and the weighted Jaccard similarity of the shingles decides.
+A benchmark item of n words is compared with windows of n words.  Every window that shares a five-word shingle with an item
+of its length is fingerprinted (a window that shares none has similarity zero).  Fingerprints are cut into one block more
+than the radius, so two of them within the radius agree on at least one block: an equality join on (item, block, value)
+finds all of them among the windows and the items they share a shingle with, the bit distance is checked, and the weighted
+Jaccard similarity of the shingles decides.  Rows that are spread over blocks carry fingerprints, no shingles.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _block_values(mark: str, blocks: list[tuple[int, int]]) -> str:
     return f"array({', '.join(parts)})"
 
 
-# Both arrays have the same number of entries.  Without repeats the common part is a set operation.
+# Without repeats the common part is a set operation.
 _COMMON = (
     "case when size(array_distinct(hashes)) = size(hashes) and size(array_distinct(item_hashes)) = size(item_hashes) "
     "then size(array_intersect(hashes, item_hashes)) "
@@ -69,6 +70,17 @@ _COMMON = (
 )
 
 
+# Windows of one length that start before or at a hit and still cover its shingle; ``_ats`` ascends, and each hit adds only
+# the starts behind those of the hit before, so the list is as long as the windows are many.
+_STARTS = f"""
+case when n <= _n then flatten(transform(_ats, (at, i) ->
+    case when i = 0 then sequence(greatest(0, at - n + {SHINGLE}), least(at, _n - n))
+         when greatest(0, at - n + {SHINGLE}, least(_ats[i - 1], _n - n) + 1) <= least(at, _n - n)
+         then sequence(greatest(0, at - n + {SHINGLE}, least(_ats[i - 1], _n - n) + 1), least(at, _n - n))
+         else cast(array() as array<int>) end))
+else array(0) end"""
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -82,65 +94,78 @@ def contaminated(
     """One row per document and item it contains: ``_key``, ``doc_id``, ``item_id``, ``similarity``, ``distance``, ``start``
     and ``n_words`` of the most similar window (the first of equals).
 
-    Words are lower-cased.  Items with fewer than five words have no shingle and match nothing, nor do null, empty or
-    shorter texts.  ``_key`` is a hash of id and text: repeated rows share it and give one row; documents with null ids are
-    searched too.  Equal items are reported each.  Empty tables give no rows.  Only the named columns are used, so others
-    cannot clash.  The join with the shingles of the items is a broadcast only as far as Spark's size limit allows.
+    Words are lower-cased.  Items with fewer than five words have no shingle and match nothing, nor do null and empty texts.
+    A text shorter than an item is one window if it is long enough to be similar at all.  Long texts are searched whole.
+    ``_key`` is a hash of id and text: repeated rows share it and give one row; documents with null ids are searched too.
+    Equal items are reported each.  Empty tables give no rows.  Only the named columns are used, so others cannot clash.
+    Tables about items and the keys of documents that share a shingle with one are joined by broadcast only as far as
+    Spark's size limit allows.
     """
     blocks = _blocks(radius)
     listed = items.select(F.col(item_id).alias("item_id"), words(F.lower(item_text)).alias("_w"))
     listed = written(
-        listed.where(F.size("_w") >= SHINGLE).select("item_id", F.size("_w").alias("n"), _shingles("_w").alias("item_hashes")), "benchmark-items"
+        listed.where(F.size("_w") >= SHINGLE).select(
+            F.monotonically_increasing_id().alias("_item"), "item_id", F.size("_w").alias("n"), _shingles("_w").alias("item_hashes")
+        ),
+        "benchmark-items",
     )
     most = listed.agg(F.max(F.size("item_hashes"))).first()[0] or 0
-    anchors = written(
-        listed.select("n", F.explode("item_hashes").alias("h")).groupBy("h").agg(F.sort_array(F.collect_set("n")).alias("lengths")), "benchmark-shingles"
-    )
+    anchors = written(listed.select("_item", "n", F.explode("item_hashes").alias("h")).distinct(), "benchmark-shingles")
     key = F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text))
     keyed = docs.select(key.alias("_key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
 
-    def shingled(rows: DataFrame, *more: str) -> DataFrame:
-        split = rows.select("_key", "doc_id", words(F.lower("_text")).alias("_w"), *more)
-        return split.select("_key", "doc_id", F.size("_w").alias("_n"), _shingles("_w").alias("_h"), *more)
+    def split(rows: DataFrame) -> DataFrame:
+        return rows.select("_key", "doc_id", words(F.lower("_text")).alias("_w")).select(
+            "_key", "doc_id", F.size("_w").alias("_n"), _shingles("_w").alias("_h")
+        )
 
-    hits = written(
-        shingled(keyed).select("_key", F.posexplode_outer("_h").alias("at", "h"))
+    # 1. Which windows share a shingle with which items; the others have similarity zero.
+    met = (
+        split(keyed).select("_key", "_n", F.posexplode_outer("_h").alias("at", "h"))
         .join(anchors, "h")
-        .groupBy("_key")
-        .agg(F.collect_set(F.struct("at", "lengths")).alias("_hits")),
-        "benchmark-hits",
+        .where((F.col("n") <= F.col("_n")) | (F.col("_n") - (SHINGLE - 1) >= F.lit(similarity) * (F.col("n") - (SHINGLE - 1)) - 1e-9))
+        .groupBy("_key", "_item", "n", "_n")
+        .agg(F.sort_array(F.collect_set("at")).alias("_ats"))
     )
-    starts = F.expr(
-        "array_distinct(flatten(transform(_hits, x -> flatten(transform(filter(x.lengths, n -> n <= _n), "
-        f"n -> transform(filter(sequence(greatest(0, x.at - n + {SHINGLE}), greatest(0, x.at - n + {SHINGLE}, least(x.at, _n - n))), "
-        "s -> s <= least(x.at, _n - n)), s -> struct(n as n, s as start)))))))"
-    )
-    # The texts are exchanged as they are, once, whatever the number of hits, and split again behind the join.
+    met = written(met.select("_key", "_item", "n", F.expr(_STARTS).alias("starts")), "benchmark-hits")
+    # 2. The shingles of those documents only, repeated rows once.
+    wanted = written(met.select("_key").distinct(), "benchmark-keys")
+    hashed = split(keyed.join(wanted, "_key", "left_semi")).groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.first("_h").alias("_h"))
+    hashed = written(hashed, "benchmark-documents")
+    # 3. One fingerprint a window, whatever the number of items it meets.
+    windows = met.groupBy("_key", "n").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     windows = (
-        shingled(keyed.join(hits.hint("merge"), "_key"), "_hits")
-        .select("_key", "doc_id", "_h", starts.alias("_at"))
-        .select("_key", "doc_id", F.expr(f"inline_outer(transform(_at, x -> struct(x.n, x.start, slice(_h, x.start + 1, x.n - {SHINGLE - 1}) as hashes)))"))
-        .withColumn("mark", F.expr(simhash("hashes", most)))
+        windows.join(hashed, "_key")
+        .select("_key", "n", "_h", F.explode_outer("starts").alias("start"))
+        .select("_key", "n", "start", F.expr(f"slice(_h, start + 1, n - {SHINGLE - 1})").alias("hashes"))
+        .select("_key", "n", "start", F.expr(simhash("hashes", most)).alias("mark"))
     )
+    pairs = met.select("_key", "_item", "n", F.explode_outer("starts").alias("start")).join(windows, ["_key", "n", "start"])
+    # 4. Window and item meet in a block; a pair may agree on several and is taken at the first.
     indexed = listed.withColumn("item_mark", F.expr(simhash("item_hashes", most))).select(
-        "item_id", "n", "item_hashes", "item_mark", F.posexplode_outer(F.expr(_block_values("item_mark", blocks))).alias("block", "value")
+        "_item", "item_mark", F.posexplode_outer(F.expr(_block_values("item_mark", blocks))).alias("block", "value")
     )
-    marked = windows.withColumn("_values", F.expr(_block_values("mark", blocks)))
-    spread = marked.select("_key", "doc_id", "n", "start", "hashes", "mark", F.posexplode_outer("_values").alias("block", "value"))
-    met = (
-        spread.join(written(indexed, "benchmark-blocks"), ["n", "block", "value"])
+    marked = pairs.withColumn("_values", F.expr(_block_values("mark", blocks)))
+    spread = marked.select("_key", "_item", "n", "start", "mark", F.posexplode_outer("_values").alias("block", "value"))
+    near = (
+        spread.join(written(indexed, "benchmark-blocks"), ["_item", "block", "value"])
         .withColumn("distance", F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))))
         .where(F.col("distance") <= radius)
-        # a pair may agree on several blocks; it is taken at the first
         .where(F.col("block") == F.expr(f"array_position({_block_values('(mark ^ item_mark)', blocks)}, 0L) - 1"))
-        .withColumn("_common", F.expr(_COMMON))
+        .select("_key", "_item", "start", "distance")
+    )
+    # 5. Only now the shingles themselves.
+    verified = (
+        near.join(listed, "_item")
+        .join(hashed, "_key")
+        .withColumn("hashes", F.expr(f"slice(_h, start + 1, n - {SHINGLE - 1})"))
+        .select("_key", "doc_id", "item_id", "n", "start", "distance", "hashes", "item_hashes", F.expr(_COMMON).alias("_common"))
         .withColumn("similarity", F.col("_common") / (F.size("hashes") + F.size("item_hashes") - F.col("_common")))
         .where(F.col("similarity") >= similarity)
+        .withColumn("n_words", F.size("hashes") + (SHINGLE - 1))
     )
-    best = F.max_by(
-        F.struct("similarity", "distance", "start", F.col("n").alias("n_words")), F.struct("similarity", -F.col("start"))
-    )
-    return met.groupBy("_key", "doc_id", "item_id").agg(best.alias("_best")).select("_key", "doc_id", "item_id", "_best.*")
+    best = F.max_by(F.struct("similarity", "distance", "start", "n_words"), F.struct("similarity", -F.col("start")))
+    return verified.groupBy("_key", "doc_id", "item_id").agg(best.alias("_best")).select("_key", "doc_id", "item_id", "_best.*")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

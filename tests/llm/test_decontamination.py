@@ -36,6 +36,8 @@ def brute(docs, items, least=0.8):
         for i, v, own in known:
             n = len(v)
             starts = {s for g in own for p in places.get(g, []) for s in range(max(0, p - n + 5), min(p, len(w) - n) + 1)}
+            if len(w) < n:
+                starts = {0} & {0 for g in own if g in places}
             best = max(((similarity(w[s : s + n], v), -s) for s in starts), default=(0, 0))
             if best[0] >= least:
                 out[d, i] = (best[0], -best[1])
@@ -74,6 +76,9 @@ def test_edits_repeats_and_lengths(spark, make_docs):
         (6, often + " x y x y"),
         (7, item),
         (7, item),
+        (11, " ".join(item.split()[:59])),
+        (12, " ".join(item.split()[:46])),
+        (13, " ".join(item.split()[3:53] + item.split()[:3])),
         (8, "too few words"),
         (9, None),
         (10, ""),
@@ -84,6 +89,7 @@ def test_edits_repeats_and_lengths(spark, make_docs):
     rows = contaminated(df, given).collect()
     want = brute(docs, items)
     assert as_found(rows) == want and len(rows) == len(want)
+    assert (11, 1) in want and (11, 2) in want and (12, 1) not in want
     left = drop_contaminated(df, given)
     assert left.columns == df.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, _ in docs if d is not None and not any(k[0] == d for k in want))
