@@ -74,6 +74,28 @@ def _hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
 
 
+def _hashed_slices(tokens: list[bytes], starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words inside the slices; the others stay zero."""
+    inside = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + lengths, -1)
+    places = np.flatnonzero(np.cumsum(inside)[:-1])
+    hashes = np.zeros(len(tokens), np.uint64)
+    hashes[places] = _hashes([tokens[p] for p in places.tolist()])
+    return hashes
+
+
+def _members(structs: pa.StructArray, names: list[str]) -> list[np.ndarray]:
+    """Whole numbers in the named fields."""
+    found = dict(zip((f.name for f in structs.type), structs.flatten()))
+    return [found[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def _counted(lengths: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each length n, one after the other."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 PATH = ["_key", "_id", "anchor", "path", "start", "length"]
 
 
@@ -113,13 +135,15 @@ def _emit_windows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, size = [], 0
-            for i, (text, listed) in enumerate(zip(batch.column(2), batch.column(3))):
-                hashes = _hashes(_words(text.as_py()))
-                for p in listed.as_py():
-                    n = p["length"]
-                    window = _rolled(hashes[p["start"] : p["start"] + n + span - 1], span, _SPAN_MIX)
-                    parts.append((np.full(n, i), np.full(n, p["anchor"]), window, np.arange(p["start"], p["start"] + n)))
-                    size += n
+            edges = batch.column(3).offsets.to_numpy()
+            anchors, starts, lengths = _members(batch.column(3).values, ["anchor", "start", "length"])
+            for i, text in enumerate(batch.column(2)):
+                own = slice(edges[i], edges[i + 1])
+                n = lengths[own]
+                at = np.repeat(starts[own], n) + _counted(n)
+                window = _rolled(_hashed_slices(_words(text.as_py()), starts[own], n + span - 1), span, _SPAN_MIX)[at]
+                parts.append((np.full(len(at), i), np.repeat(anchors[own], n), window, at))
+                size += len(at)
                 if size > 500_000:
                     yield _window_batch(batch, parts)
                     parts, size = [], 0
@@ -202,7 +226,6 @@ def _rows(names: list[str], rows: list[tuple], kinds: list[pa.DataType]) -> pa.R
 
 
 SPAN = ["_key", "start", "length", "source_key", "source_start"]
-_SPAN_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
 
 def joined_spans(parts: DataFrame) -> DataFrame:
@@ -213,18 +236,25 @@ def joined_spans(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for key, listed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                start = end = shift = source = None
-                for part in sorted((p["start"], p["length"], p["source_key"], p["source_start"]) for p in listed.as_py()):
-                    if source == part[2] and shift == part[0] - part[3] and part[0] <= end:
-                        end = max(end, part[0] + part[1])
-                        continue
-                    if source is not None:
-                        out.append((key, start, end - start, source, start - shift))
-                    start, end, source, shift = part[0], part[0] + part[1], part[2], part[0] - part[3]
-                out.append((key, start, end - start, source, start - shift))
-            yield _rows(SPAN, out, _SPAN_KINDS)
+            lists = batch.column(1)
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            start, length, source, source_start = (x[edges[0] : edges[-1]] for x in _members(lists.values, SPAN[1:]))
+            if not len(start):
+                continue
+            row = np.repeat(np.arange(len(lists)), np.diff(edges))
+            order = np.lexsort((source_start, source, length, start, row))
+            row, start, length, source, source_start = (x[order] for x in (row, start, length, source, source_start))
+            shift, end = start - source_start, start + length
+            other = np.concatenate(([True], (row[1:] != row[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1])))
+            # The furthest end so far; the number of the run in the upper half keeps runs apart.
+            run_of = np.cumsum(other) << 32
+            reached = np.maximum.accumulate(run_of + end)
+            fresh = other.copy()
+            fresh[1:] |= run_of[1:] + start[1:] > reached[:-1]
+            first = np.flatnonzero(fresh)
+            long = np.maximum.reduceat(end, first) - start[first]
+            made = [pa.array(start[first], pa.int32()), pa.array(long, pa.int32()), pa.array(source[first], pa.int64()), pa.array(source_start[first], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), *made], names=SPAN)
 
     listed = parts.groupBy("_key").agg(F.collect_set(F.struct("start", "length", "source_key", "source_start")).alias("_l"))
     return listed.mapInArrow(run, "_key bigint, start int, length int, source_key bigint, source_start int")
