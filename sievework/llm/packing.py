@@ -376,10 +376,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_size: int = 10_000)
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place in a sequence.
 
-    Null and empty texts are documents of the id 0 alone; null ids are kept; repeated rows are documents of their own; an
+    With ``ids`` each piece carries its token ids (see ``sequences``).  Null and empty texts are documents of the id 0 alone; null ids are kept; repeated rows are documents of their own; an
     empty table gives no rows; of the input only the id and the text are used, so other columns cannot clash.
     """
-    return pack(written(tokenise(docs, tokenizer, doc_id, text, capacity, ids), "pieces"), capacity)
+    pieces = written(tokenise(docs, tokenizer, doc_id, text, capacity, ids), "pieces")
+    if not ids:
+        return pack(pieces, capacity)
+    # Ids stay out of the search; a piece finds its own again by the file and row it was written to.
+    at = pieces.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return pack(at.drop("ids"), capacity).join(at.select("_file", "_row", "ids"), ["_file", "_row"]).drop("_file", "_row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
