@@ -1,6 +1,7 @@
 """Bulk scan of CSV reports: every file of a folder in one plan, whatever its header order.
 
-1. A light text pass finds each file's header and whether a quoted field spans lines.
+1. A light text pass finds the number of each file's header line and whether a quoted field spans lines; a second one
+   fetches those lines only.
 2. One scan splits all files by lines and lets ``from_csv`` read each record by position;
    the file's own header decides which position is which column.
 3. The result is written once and numbered from that table (see ``record_numbers``).
@@ -33,9 +34,9 @@ _TOKEN = r'(?<=^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*)(?=,|$)'
 NO_CSV_HEADER = "The CSV file has no header line."
 
 
-def accepted_paths(manifest: DataFrame) -> list[str]:
-    """Paths of the accepted CSV files, as a reader takes them; the driver holds the listing of a folder for any scan."""
-    rows = manifest.where("accepted AND file_format = 'csv'").select("file_path").collect()
+def accepted_paths(manifest: DataFrame, file_format: str = "csv") -> list[str]:
+    """Paths of the accepted files of a format, as a reader takes them; the driver holds the listing of a folder for any scan."""
+    rows = manifest.where(F.col("accepted") & (F.col("file_format") == file_format)).select("file_path").collect()
     return [re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(r[0])) for r in rows]
 
 
@@ -93,19 +94,31 @@ def _residue(record: Column) -> Column:
     return F.when(record.contains('"'), F.regexp_replace(record, _QUOTED, "")).otherwise(record)
 
 
-def csv_headers(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """Header line of every non-empty file, and whether a quoted field spans lines in it."""
-    first = F.min_by("value", F.struct("block_start", "line_id"))
+def first_lines(lines: DataFrame) -> DataFrame:
+    """Per file the number of its first line, and whether a quoted field spans lines in it.
+
+    Only numbers are aggregated, block by block and then file by file, so no text is sorted or exchanged.
+    """
     left_open = F.col("value").contains('"') & _residue(F.col("value")).rlike(_OPEN)
-    return (
-        _lines(spark, folder)
-        .groupBy("file_path")
-        .agg(first.alias("line"), F.bool_or(left_open).alias("spans_lines"))
-        .select(
-            "file_path",
-            header_tokens(F.regexp_replace("line", "^\\x{FEFF}", "")).alias("headers"),
-            "spans_lines",
-        )
+    blocks = lines.groupBy("file_path", "block_start").agg(F.min("line_id").alias("line_id"), F.max(left_open).alias("spans_lines"))
+    # Block and line as one number: the line is its lower 63 bits.
+    order = F.expr("cast(block_start as decimal(19, 0)) * 9223372036854775808 + line_id")
+    files = blocks.groupBy("file_path").agg(F.min(order).alias("_order"), F.max("spans_lines").alias("spans_lines"))
+    return files.select(F.expr("cast(_order % 9223372036854775808 as bigint)").alias("line_id"), "spans_lines")
+
+
+def csv_headers(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """Header line of every non-empty file, and whether a quoted field spans lines in it.
+
+    Line numbers are unique over all files and the same in every scan of them, so the texts of the headers are fetched by
+    number alone: 9 bytes a file, a broadcast for about a million files.
+    """
+    lines = _lines(spark, folder)
+    found = materialise(first_lines(lines), "first-lines")
+    return lines.join(found, "line_id").select(
+        "file_path",
+        header_tokens(F.regexp_replace("value", "^\\x{FEFF}", "")).alias("headers"),
+        "spans_lines",
     )
 
 

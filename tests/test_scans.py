@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework.layout import REQUIRED_HEADERS
 from sievework.operators.headers import check_headers
 from sievework.plans.rig_files import workbook
-from sievework.sources.csv_reports import checked_headers, scan_csv_reports
+from sievework.sources.csv_reports import _lines, checked_headers, first_lines, scan_csv_reports
 from sievework.sources.intake import intake_manifest, list_files
 from sievework.sources.reports import scan_reports
 from sievework.sources.xlsx_reports import sheet_rows
@@ -180,6 +180,37 @@ def test_file_without_lines_has_no_header(spark, tmp_path):
     assert [f.header_error for f in files] == ["The CSV file has no header line."]
 
 
+def test_header_behind_blank_blocks(spark, tmp_path):
+    """The first line lies in a later block, which the reader may number before the blank ones."""
+    body = "\n".join(f"file{i}.txt,txt,/a,Obsolete,SMB,TLA" for i in range(3000))
+    folder = put(tmp_path, {"late.csv": "\n" * 50_000 + f"{HEAD}\n{body}\n", "z.csv": f"{HEAD}\n{ROW}\n"})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows, files = scan_csv_reports(manifest_of(spark, folder), folder)
+        assert [f.header_error for f in files.collect()] == [None, None]
+        assert rows.count() == 3001 and rows.where("finding_file_name = 'file0.txt'").first().row_number == 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_header_search_sorts_no_text(spark, tmp_path):
+    folder = put(tmp_path, {"a.csv": f"{HEAD}\n{ROW}\n"})
+    plan = first_lines(_lines(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_refused_workbooks_stay_closed(spark, tmp_path, monkeypatch):
+    from sievework.sources import reports
+
+    good = workbook(pd.DataFrame([ROW.split(",")]), HEAD.split(","))
+    folder = put(tmp_path, {"good.xlsx": good, "refused.xlsx": b""})
+    opened = []
+    monkeypatch.setattr(reports, "workbooks", lambda s, paths, read=reports.workbooks: opened.extend(paths) or read(s, paths))
+    rows, _ = scan_reports(manifest_of(spark, folder), folder)
+    assert rows.count() == 1 and len(opened) == 1 and opened[0].endswith("good.xlsx")
+
+
 def test_workbooks_that_count_from_1904():
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     book = zipfile.ZipFile(io.BytesIO(workbook(pd.DataFrame(), ["x"])))
