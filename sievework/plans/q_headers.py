@@ -27,9 +27,14 @@ _KNOWN = "SELECT pos AS known_pos, h AS header, " + _NORM.format(c="h") + f" AS
 
 
 def report_headers(spark, sf):
-    """``c_custkey, headers``: the header cells of every customer's report, one row each."""
+    """``c_custkey, headers``: the header cells of every customer's report, one row each.
+
+    The customers are dealt over all tasks, as a row becomes a whole header and the supplied table is one file that few tasks would read.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = [F.expr(_CELL.format(pos=i, h=f"'{h}'")) for i, h in enumerate(HEADERS, start=1)]
-    return table(spark, sf, "customer").select("c_custkey", F.array(*cells).alias("headers"))
+    customers = table(spark, sf, "customer").select("c_custkey").repartition(tasks)
+    return customers.select("c_custkey", F.array(*cells).alias("headers"))
 
 
 @query(f"SELECT c_custkey, pos - 1 AS pos, key AS header_key FROM ({_KEYED}) k")
