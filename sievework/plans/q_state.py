@@ -551,10 +551,14 @@ def _older(items: DataFrame, entity: str) -> DataFrame:
     return items.withColumn("item", F.when(half, renamed).otherwise(F.col("item")))
 
 
+# Lines of one export file, some 200 MB as text.
+_EXPORT_ROWS = 200_000
+
+
 def _exported(spark: SparkSession, items: DataFrame, label: str) -> DataFrame:
-    """Items written as an export and read back."""
+    """Items written as a compressed export and read back; a file is bounded, as its lines cannot be split."""
     path = fresh_path(spark, label)
-    it.item_lines(items).write.text(path)
+    it.item_lines(items).write.option("maxRecordsPerFile", _EXPORT_ROWS).option("compression", "lz4").text(path)
     return it.items_from_lines(spark.read.text(path))
 
 
