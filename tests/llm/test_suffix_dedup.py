@@ -3,7 +3,7 @@ import random
 
 from sievework.llm import suffix_array as sa
 from sievework.llm.queries import op12_suffix_array_dedup
-from sievework.llm.suffix_dedup import remove_repeats
+from sievework.llm.suffix_dedup import PIECE, _describe, _schema, _source, known_classes, remove_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +83,19 @@ def test_a_large_group_of_copies(spark, make_docs):
     text = " ".join(f"word{i}" for i in range(200))
     got = remove_repeats(make_docs([(i, text) for i in range(2000)] + [(None, text)] * 2000 + [(5000, "alone " * 100 + "x" * 300)]), bodies=False)
     assert got.where("n_removed = n_bytes").count() == 4000
+
+
+def test_only_classes_that_may_share_a_window_go_into_arrays(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = word(16)
+    near, copied = word(60), word(41)
+    texts = [word(40) + shared + word(40) for _ in range(200)]  # one run of 16 bytes in common, which windows of 40 may be anchored at
+    texts += [word(20) + near + word(20) for _ in range(3)] + [copied] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    known = known_classes(_source(docs, "text", "doc_id").mapInArrow(_describe(40), _schema(PIECE)), 40).collect()
+    assert [r.met for r in known if r.copies == 5] and not any(r.met for r in known if r.copies == 5)
+    assert [r.met for r in known if r.classes > 20] and not any(r.met for r in known if r.classes > 20)
+    assert any(r.met for r in known)
+    got = sorted(map(tuple, remove_repeats(docs, ["doc_id"], 40, bodies=False).collect()))
+    assert got == sorted(brute(list(enumerate(texts)), 40))
