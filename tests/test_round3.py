@@ -7,11 +7,15 @@ import re
 
 from pyspark.sql import functions as F
 
+from sievework import workspace as ws
 from sievework.operators import headers as hd
+from sievework.operators import tables as tb
 from sievework.operators.summary import read_documents, write_documents
+from sievework.plans import ingest as ing
 from sievework.plans import q_headers as qh
 from sievework.plans import q_state as qs
 from sievework.sources import csv_reports as cr
+from tests.test_ingest import box, failing, report  # noqa: F401 - box is a fixture
 
 _QUOTED = r'(?<=^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)'
 
@@ -75,3 +79,47 @@ def test_export_is_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
     back = qs._exported(spark, items, "x").select(qs.it.get_text("item", "jobId").alias("j")).collect()
     assert {r.j for r in back} == {f"J-{i}" for i in range(25)}
     assert len(list((tmp_path / "export").glob("part-*.lz4"))) == 3
+
+
+def test_entries_of_a_folder_come_over_in_one_text(spark, tmp_path):
+    names = sorted(["job_id=a,b", "job_id={c}", "job_id=d e%2F", "_SUCCESS", "v-0000000001"] + [f"job_id={i}" for i in range(300)])
+    for name in names:
+        (tmp_path / "t" / name).mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
+    assert ws.children(spark, str(tmp_path / "t")) == names
+    assert ws.children(spark, str(tmp_path / "empty")) == ws.children(spark, str(tmp_path / "none")) == []
+    told = [ws.has_child(spark, str(tmp_path / d), "job_id=", "expiry_day=") for d in ("t", "empty", "none")]
+    assert told == [True, False, False] and not ws.has_child(spark, str(tmp_path / "t"), "expiry_day=")
+
+
+def test_a_group_that_fails_lists_the_working_copy_no_more(box, monkeypatch):  # noqa: F811
+    """A failing group is tried for halves of the jobs again and again; the copy they read from is complete by then."""
+    box.put(**{f"j{i}": report(3) for i in range(8)})
+    listed, read = [], tb.read_rows
+    monkeypatch.setattr(tb, "read_rows", lambda spark, path, schema: (listed.append(path), read(spark, path, schema))[1])
+    write = failing(0)
+    jobs = box.ingest(ing.Options(batch_groups=1, max_retries=0), write_batch_group=write)
+    assert {r.status for r in jobs.values()} == {"Failed"} and len(write.calls) > 8
+    assert listed.count(box.store.working) < 5  # before: once for each attempt
+
+
+def test_csv_files_are_listed_once_a_scan(box, monkeypatch):  # noqa: F811
+    box.put(a=report(2), b=report(1, bad=1))
+    listed, lines = [], cr._lines
+    monkeypatch.setattr(cr, "_lines", lambda spark, folder: (listed.append(folder), lines(spark, folder))[1])
+    box.ingest()
+    assert len(listed) == 1
+
+
+def test_folders_of_many_jobs_are_listed_by_a_few_tasks(spark):
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        ws.tune(spark)
+        assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
+        spark.conf.set(key, "2")
+        ws.tune(spark)
+        assert spark.conf.get(key) == "2"
+    finally:
+        spark.conf.set(key, before)
