@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievework import workspace as ws
@@ -14,7 +15,9 @@ from sievework.operators.summary import read_documents, write_documents
 from sievework.plans import ingest as ing
 from sievework.plans import q_headers as qh
 from sievework.plans import q_state as qs
+from sievework.plans import rig_files
 from sievework.sources import csv_reports as cr
+from sievework.sources import xlsx_reports as xl
 from tests.test_ingest import box, failing, report  # noqa: F401 - box is a fixture
 
 _QUOTED = r'(?<=^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)'
@@ -123,3 +126,16 @@ def test_folders_of_many_jobs_are_listed_by_a_few_tasks(spark):
         assert spark.conf.get(key) == "2"
     finally:
         spark.conf.set(key, before)
+
+
+def test_rows_of_small_workbooks_share_a_batch(spark):
+    books = [rig_files.workbook_of([(f"r{i}", "", None, f"<{n}>")], ["A", "B", "C", "D"]) for n in range(3) for i in range(1)]
+    batch = pa.RecordBatch.from_pydict({"file_path": ["a", "b", "bad", "c"], "content": [books[0], books[1], b"no zip", books[2]]})
+    told, rows = list(xl._decode(iter([batch])))
+    assert [(r["file_path"], r["row_number"], r["cells"]) for r in told.to_pylist()] == [("bad", None, None)]
+    assert told.to_pylist()[0]["error"].startswith("BadZipFile")
+    head = [(1, "A"), (2, "B"), (3, "C"), (4, "D")]
+    want = [(p, n, cells, None) for k, p in enumerate("abc") for n, cells in ((1, head), (2, [(1, "r0"), (4, f"<{k}>")]))]
+    assert [tuple(r.values()) for r in rows.to_pylist()] == want
+    frame = spark.createDataFrame([("a", bytearray(books[0]))], "file_path STRING, content BINARY")
+    assert xl.sheet_cells(frame).schema == spark.createDataFrame([], xl.SHEET_SCHEMA).schema and xl.sheet_cells(frame).count() == 2
