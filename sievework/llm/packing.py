@@ -153,10 +153,11 @@ def _texts(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list
         yield start, run
 
 
-def tokenise(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ids: bool = True, narrow: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32 and, if asked for, ``ids``.
 
     A document is its token ids and an id 0.  Longer ones are cut into full pieces; the first takes what is left over.
+    ``narrow`` ids are bytes for the way to ``widened``: two a token where the ids of a piece allow it, else four.
     ``tokenizer`` is a file that every executor has.
     """
     fields = [pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
@@ -174,19 +175,46 @@ def tokenise(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                         part = raw[4 * a : 4 * b]
                         owner.append(i)
                         rows.append((k, a, b - a, zlib.crc32(part)))
-                        if ids:
+                        if narrow:
+                            blobs.append(_narrowed(part))
+                        elif ids:
                             blobs.append(np.frombuffer(part, "<u4").astype(np.int32))
                 columns = [batch.column(0).take(pa.array(owner, pa.int64()))]
                 columns += [pa.array([r[j] for r in rows], f.type) for j, f in enumerate(fields)]
                 if ids:
-                    columns.append(pa.array(blobs, pa.list_(pa.int32())))
+                    columns.append(pa.array(blobs, pa.binary() if narrow else pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[f.name for f in fields], *(["ids"] if ids else [])])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (f", ids {'binary' if narrow else 'array<int>'}" if ids else "")
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def _narrowed(part: bytes) -> bytes:
+    """Little-endian 32-bit ids as 16-bit ones if none is larger."""
+    found = np.frombuffer(part, "<u4")
+    return found.astype("<u2").tobytes() if found.max() < 1 << 16 else part
+
+
+def widened(pieces: DataFrame, size: int = 1_000) -> DataFrame:
+    """Pieces whose ``ids`` are narrow bytes, with them as an array; a piece has an id at least, so its ``length`` tells how wide they are."""
+    at, length = pieces.columns.index("ids"), pieces.columns.index("length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, size):
+                batch = whole.slice(first, size)
+                sizes = batch.column(length).to_numpy()
+                some = [np.frombuffer(b.as_py(), "<u2" if len(b.as_py()) == 2 * n else "<u4").astype(np.int32) for b, n in zip(batch.column(at), sizes)]
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(some)))
+                columns = [ids if i == at else c for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    schema = pieces.withColumn("ids", F.lit(None).cast("array<int>")).schema
+    return pieces.mapInArrow(run, schema)
+
+
 def best_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     """Best fit in decreasing order; bins as lists of item numbers.  Bins are found by a bit mask of free spaces."""
     spaces: dict[int, list[int]] = {}
@@ -379,12 +407,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     With ``ids`` each piece carries its token ids (see ``sequences``).  Null and empty texts are documents of the id 0 alone; null ids are kept; repeated rows are documents of their own; an
     empty table gives no rows; of the input only the id and the text are used, so other columns cannot clash.
     """
-    pieces = written(tokenise(docs, tokenizer, doc_id, text, capacity, ids), "pieces")
+    pieces = written(tokenise(docs, tokenizer, doc_id, text, capacity, ids, narrow=ids), "pieces")
     if not ids:
         return pack(pieces, capacity)
-    # Ids stay out of the search; a piece finds its own again by the file and row it was written to.
+    # Ids stay out of the search; a piece finds its own again by the file and row it was written to.  They are exchanged as narrow bytes.
     at = pieces.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return pack(at.drop("ids"), capacity).join(at.select("_file", "_row", "ids"), ["_file", "_row"]).drop("_file", "_row")
+    return widened(pack(at.drop("ids"), capacity).join(at.select("_file", "_row", "ids"), ["_file", "_row"]).drop("_file", "_row"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sievework.llm.packing import Encoder, Search, best_fit, encoder, pack_documents, pack_lengths, sequences
+from sievework.llm.packing import Encoder, Search, _narrowed, best_fit, encoder, pack_documents, pack_lengths, sequences, tokenise, widened
 from sievework.llm.queries import op2_best_fit_packing
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +68,20 @@ def test_odd_rows_and_ids(spark, plain, make_docs, odd_docs):
     assert pack_documents(docs.limit(0), PATH).collect() == []
 
 
+def test_ids_travel_as_two_bytes_where_they_fit(spark):
+    parts = [np.array(p, "<u4").tobytes() for p in ([1, 65535], [0], [65536, 7], [5] * 2048)]
+    narrow = [_narrowed(p) for p in parts]
+    assert [len(n) for n in narrow] == [4, 2, 8, 4096]
+    rows = [(i, len(p) // 4, n) for i, (p, n) in enumerate(zip(parts, narrow))]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, length BIGINT, ids BINARY")
+    got = {r.doc_id: r.ids for r in widened(frame, 3).collect()}
+    assert got == {i: np.frombuffer(p, "<u4").tolist() for i, p in enumerate(parts)}
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id BIGINT, text STRING")
+    packed = pack_documents(docs, PATH, ids=True)
+    assert dict(packed.dtypes)["ids"] == "array<int>" and dict(tokenise(docs, PATH).dtypes)["ids"] == "array<int>"
+    assert sorted(len(r.ids) - r.length for r in packed.collect()) == [0, 0]
+
+
 ODD = [" ", "  ", "a", "B", "é", "中", "́", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "᠎", "​", "　", "﻿", "'s", "1", ".", "<|endoftext|>", "\U0001f600"]
 
 
