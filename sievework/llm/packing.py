@@ -9,7 +9,6 @@ against packing everything together is about one sequence in ``group_size`` piec
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import zlib
@@ -24,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from sievework.llm.common import written
 
@@ -31,11 +31,18 @@ CAPACITY = 2048
 # A space or line end is a cut between tokens when no blank follows it; the last marks are ones some tables count as blanks.
 _CUT = re.compile("[ \n](?![\\s\u180e\u200b\ufeff]|\\Z)")
 _ODD = re.compile("[ \n](?:[\\s\u180e\u200b\ufeff]|\\Z)")
-_WORD_AND_MARKS = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)")
 
 
-# A word that the byte-level split leaves whole, a line end apart.
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+def _bytes_in(*ranges: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    for first, last in ranges:
+        table[ord(first) : ord(last) + 1] = True
+    return table
+
+
+# Bytes of a word that the byte-level split leaves whole (with the letters from U+00C0 on, which are two bytes each), and of the marks at its end.
+_ASCII_LETTERS = _bytes_in("AZ", "az")
+_MARKS = _bytes_in("!/", ":@", "[`", "{~")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,90 +55,112 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Token ids of a text as little-endian 32-bit numbers.
 
-    The tokenizer splits before every single space or line end that a visible character follows, and between a word and the
-    marks at its end, so what stands between such places is encoded on its own and remembered; most lookups are hits.
-    Words go straight to the merges of a byte-level model.  Texts that name one of the tokenizer's added tokens are encoded whole,
-    as those tokens are cut out before anything else.
+    The tokenizer splits before every single space or line end that a visible character follows, so what stands between such places
+    is encoded on its own, each different part of a call once; ids are gathered by the parts' numbers.  It also splits between a word
+    and the marks at its end and behind a line end, so words and marks go straight to the merges of a byte-level model, many in one call.
+    Texts that name one of the tokenizer's added tokens are encoded whole, as those tokens are cut out before anything else.
 
-    At most twice ``remembered`` parts are kept: those met since the last change of generation, and the generation before.
+    Of the other parts at most twice ``remembered`` are kept: those met since the last change of generation, and the generation before.
     """
 
     def __init__(self, path: str, remembered: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         told = json.loads(self.tokenizer.to_str())
-        split = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        plain = told["normalizer"] is None and told["model"]["type"] == "BPE" and not told["model"].get("byte_fallback")
-        self.letters = _byte_letters() if plain and split.items() <= (told["pre_tokenizer"] or {}).items() else None
+        model, split = told["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        altered = ("byte_fallback", "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")
+        plain = told["normalizer"] is None and model["type"] == "BPE" and not any(model.get(k) for k in altered)
+        letters = _byte_letters()
+        self.letters = None
+        if plain and split.items() <= (told["pre_tokenizer"] or {}).items() and model["vocab"].keys() >= set(letters.values()):
+            self.letters = letters | {0: "\0"}  # no text in parts has a zero of its own
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.pre_tokenizer = CharDelimiterSplit("\0")
+            self.sizes = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each token
+            self.sizes[list(model["vocab"].values())] = [len(t) for t in model["vocab"]]
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        """The text in parts that are tokenised alone."""
-        if "\0" in text:
-            return [text]
+    def cut(text: str) -> str:
+        """The text with a zero at every place before which it ends for the tokenizer."""
         if not _ODD.search(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return _CUT.sub("\0\\g<0>", text).split("\0")
+            return text.replace(" ", "\0 ").replace("\n", "\0\n")
+        return _CUT.sub("\0\\g<0>", text)
 
     def _whole(self, parts: Sequence[str]) -> list[bytes]:
         return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        words, others = [], []
-        for p in parts:
-            (words if self.letters and _WORD.fullmatch(p) else others).append(p)
-        merge, letters = self.tokenizer.model.tokenize, self.letters
-        for word in words:
-            self.known[word] = array("I", [t.id for t in merge(word.encode().decode("latin-1").translate(letters))]).tobytes()
-        for at in range(0, len(others), 4096):
-            self.known.update(zip(others[at : at + 4096], self._whole(others[at : at + 4096])))
-
-    def _meet(self, new: set[str]) -> list[str]:
-        """Make sure that all these parts are known; returns those too long to stay so."""
-        known = self.known
-        if self.older:
-            again = {c: ids for c in new if (ids := self.older.get(c)) is not None}
-            known.update(again)
-            new = new - again.keys()
-        split = {c: m.groups() for c in new if (m := _WORD_AND_MARKS.fullmatch(c))}
-        lines = {c: ("\n", c[1:]) for c in {*new, *(w for w, _ in split.values())} if c[:1] == "\n" and _WORD.fullmatch(c[1:])}
-        parts = {p for pair in (*split.values(), *lines.values()) for p in pair} | new
-        self._learn(list(parts - split.keys() - lines.keys() - known.keys()))
-        for whole in (lines, split):
-            for chunk, (first, last) in whole.items():
-                known[chunk] = known[first] + known[last]
-        return [c for c in parts | lines.keys() if len(c) > 64]
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        collected = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and each search for cycles would walk over all parts
-        try:
-            return self._encode(texts)
-        finally:
-            if collected:
-                gc.enable()
-
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        named = {i: t for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        cuts = [[] if i in named else self.cut(t) for i, t in enumerate(texts)]
+    def _worded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which parts are a word and marks behind it, if any, and where the word ends; the first mark is no apostrophe."""
+        wide = np.concatenate(([False], data[:-1] == 0xC3)) & (data >= 0x80) & (data != 0x97) & (data != 0xB7)  # not the signs for times and division
+        letter = _ASCII_LETTERS[data] | (data == 0xC3) | wide
+        first = starts + ((data[starts] == 32) | (data[starts] == 10))
+        other, unmarked = np.flatnonzero(~letter), np.flatnonzero(~_MARKS[data])
+        stop = other[np.searchsorted(other, first)]
+        upto = unmarked[np.searchsorted(unmarked, stop)]
+        return (stop > first) & (upto == ends) & (data[stop] != ord("'")), stop
+
+    def _merged(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with their marks, and how many each has; tokens are as long as their bytes, so these tell where a word's end."""
+        sizes = ends - starts
+        base = np.cumsum(sizes) - sizes
+        text = data[np.repeat(starts - base, sizes) + np.arange(int(sizes.sum()))]
+        lines, marked = data[starts] == 10, stops < ends
+        between = np.concatenate((base[1:], (base + 1)[lines], (base + stops - starts)[marked]))
+        spelt = np.insert(text, np.sort(between), 0).tobytes().decode("latin-1").translate(self.letters)
+        (got,) = self.merges.encode_batch_fast([spelt], add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        upto = np.searchsorted(np.cumsum(self.sizes[ids]), base + sizes) + 1
+        return ids, np.diff(upto, prepend=0)
+
+    def _others(self, parts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
         known = self.known
-        found = [list(map(known.get, cut)) for cut in cuts]
-        short = [i for i, ids in enumerate(found) if None in ids]
-        long = self._meet({c for i in short for c, ids in zip(cuts[i], found[i]) if ids is None})
-        for i in short:
-            found[i] = [known[c] if ids is None else ids for c, ids in zip(cuts[i], found[i])]
-        out = [b"".join(ids) for ids in found]
-        for i, ids in zip(named, self._whole(list(named.values()))):
-            out[i] = ids
-        for chunk in long:
-            known.pop(chunk, None)
+        known.update({p: ids for p in parts if p not in known and (ids := self.older.get(p)) is not None})
+        new = [p for p in parts if p not in known]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            known.update(zip(some, self._whole([p.decode() for p in some])))
+        out = [known[p] for p in parts]
+        for part in new:
+            if len(part) > 64:
+                del known[part]
         return out
 
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        named = {i: t for i, t in enumerate(texts) if "\0" in t or any(a in t for a in self.added)}
+        found = self._gathered([self.cut(t) for i, t in enumerate(texts) if i not in named])
+        whole = iter(self._whole(list(named.values())))
+        return [next(whole if i in named else found) for i in range(len(texts))]
+
+    def _gathered(self, cuts: list[str]) -> Iterator[bytes]:
+        if not cuts:
+            return
+        data = "\0".join([*cuts, ""]).encode()
+        edges = np.concatenate(([0], np.flatnonzero(np.frombuffer(data, np.uint8) == 0) + 1))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        codes, (_, offsets, content) = parts.indices.to_numpy(), parts.dictionary.buffers()
+        different = np.frombuffer(content, np.uint8)
+        edges = np.frombuffer(offsets, np.int64)[: len(parts.dictionary) + 1]
+        starts, ends = edges[:-1], edges[1:] - 1  # without the zero
+        words, stops = self._worded(different, starts, ends) if self.letters else (np.zeros(len(starts), bool), starts)
+        sizes = np.zeros(len(starts), np.int64)
+        ids, sizes[words] = self._merged(different, starts[words], stops[words], ends[words]) if words.any() else (np.zeros(0, np.uint32), 0)
+        other = self._others([different[a:b].tobytes() for a, b in zip(starts[~words].tolist(), ends[~words].tolist())])
+        sizes[~words] = [len(p) // 4 for p in other]
+        pool = np.concatenate((ids, np.frombuffer(b"".join(other), np.uint32)))
+        at = np.empty(len(starts), np.int64)
+        order = np.concatenate((np.flatnonzero(words), np.flatnonzero(~words)))
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        counts = sizes[codes]
+        upto = np.cumsum(counts)
+        got = pool[np.repeat(at[codes] - (upto - counts), counts) + np.arange(int(upto[-1]))]
+        last = upto[np.cumsum([cut.count("\0") + 1 for cut in cuts]) - 1].tolist()
+        yield from (got[a:b].tobytes() for a, b in zip([0, *last], last))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -139,7 +168,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _texts(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def _texts(column: pa.Array, chars: int = 8_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about that many characters, with the place of the first; a longer text stands alone."""
     run, size, start = [], 0, 0
     for i, value in enumerate(column):

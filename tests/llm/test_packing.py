@@ -94,6 +94,31 @@ def test_remembered_chunks_give_the_same_ids(text):
     assert got == np.array(encoder(PATH).tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_words_of_a_call_reach_the_merges_once_and_together(plain):
+    own, calls = Encoder(PATH), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return merges.encode_batch_fast(texts, **options)
+
+    merges, own.merges = own.merges, Counted()
+    texts = [" ".join(f"W{chr(97 + i)}{chr(97 + j)}é{'.,' if j % 3 else ''}" for j in range(26)) for i in range(26)] * 3
+    assert own.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(calls) == 1 and calls[0].count("W") == 26 * 26
+
+
+MIXED = [" ", "\n", "a", "Word", "é", "À", "×", "÷", "ÿ", "ª", "Ā", "µ", "'", "'s", ",", ".'s", "$", "_", "7", "\0", "中"]
+
+
+@settings(max_examples=400, deadline=None)
+@example(["a× b÷ ×c\né'. É,' \nword,\n", "", " "])
+@given(st.lists(st.lists(st.sampled_from(MIXED), max_size=14).map("".join), max_size=4))
+def test_letters_signs_and_marks_together(texts):
+    got = encoder(PATH).encode(texts)
+    assert got == [np.array(encoder(PATH).tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_memory_is_emptied(plain):
     small = Encoder(PATH, remembered=2)
     texts = ["one two three four", "five six " + "x" * 500, "one two"]
