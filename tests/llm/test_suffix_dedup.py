@@ -99,3 +99,14 @@ def test_only_classes_that_may_share_a_window_go_into_arrays(spark):
     assert any(r.met for r in known)
     got = sorted(map(tuple, remove_repeats(docs, ["doc_id"], 40, bodies=False).collect()))
     assert got == sorted(brute(list(enumerate(texts)), 40))
+
+
+def test_passages_of_more_than_fifty_words_go_from_400_bytes_on(spark, make_docs):
+    rng = random.Random(11)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+    short, long = f"0{words(57, 6)}", f"1{words(57, 6)}0"  # 399 and 400 bytes of 57 words
+    docs = [(i, f"{words(60, 5)} {i}{p}{i} {words(60, 5)}") for i, p in enumerate([short, short, long, long], 2)]
+    docs.append((9, words(300, 5)))
+    got = sorted(map(tuple, remove_repeats(make_docs(docs), ["doc_id"], bodies=False).collect()))
+    assert (len(short), len(long)) == (399, 400) and got == sorted(brute(docs, 400))
+    assert [r[:4] for r in got] == [(d, len(t), 400 * (d in (4, 5)), d in (4, 5)) for d, t in docs]  # n_bytes is the size before the removal
