@@ -25,6 +25,8 @@ from sievework.llm.common import CARRIED, carried, written
 
 HALF = 32
 SEED = 42
+# Spark sizes an exploded table like the one it was made from, up to 528 times too low, and would broadcast it.
+SORTED = "merge"
 SHARED = 64  # a variant with more members than this is split further instead of paired
 _CHUNK = 1 << 16
 
@@ -89,7 +91,7 @@ def _hub_edges(crowded: DataFrame) -> DataFrame:
         "_fp", F.least("w1", "w2").cast("tinyint").alias("w1"), F.greatest("w1", "w2").cast("tinyint").alias("w2"), struck.alias("sign")
     )
     hubs = signed.groupBy("sign", "w1", "w2").agg(F.min("_fp").alias("hub"), F.max("_fp").alias("_top")).where("hub < _top")
-    return signed.join(hubs, ["sign", "w1", "w2"]).where("_fp > hub").select(F.col("hub").alias("a"), F.col("_fp").alias("b")).distinct()
+    return signed.join(hubs.hint(SORTED), ["sign", "w1", "w2"]).where("_fp > hub").select(F.col("hub").alias("a"), F.col("_fp").alias("b")).distinct()
 
 
 def link_fingerprints(marks: DataFrame, radius: int = 2) -> DataFrame:
@@ -102,10 +104,10 @@ def link_fingerprints(marks: DataFrame, radius: int = 2) -> DataFrame:
     spread = marks.select("_fp", F.inline_outer(_variants("_fp")))
     key = ["half", "wild", "value"]
     met = spread.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
-    candidates = written(spread.join(met, key), "simhash-variants")
+    candidates = written(spread.join(met.hint(SORTED), key), "simhash-variants")
     few = candidates.where(F.col("_n") <= SHARED)
     left, right = few.select(*key, F.col("_fp").alias("a")), few.select(*key, F.col("_fp").alias("b"))
-    direct = left.join(right, key).where((F.col("a") < F.col("b")) & (_distance("a", "b") <= radius)).select("a", "b").distinct()
+    direct = left.join(right.hint(SORTED), key).where((F.col("a") < F.col("b")) & (_distance("a", "b") <= radius)).select("a", "b").distinct()
     if radius < 2:  # two-wildcard signatures may be two bits apart, so crowded variants need their own check
         crowded = _hub_edges(candidates.where(F.col("_n") > SHARED)).where(_distance("a", "b") <= radius)
         return direct.unionByName(crowded).distinct() if radius else direct.limit(0)

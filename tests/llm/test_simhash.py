@@ -103,3 +103,21 @@ def test_keep_one(make_docs):
     rows = [(5, text), (3, text), (3, text), (9, text.upper()), (None, text), (7, "something else entirely here"), (None, "alone"), (None, "alone")]
     kept = [(r["doc_id"], r["text"]) for r in keep_one(make_docs(rows)).collect()]
     assert sorted(kept, key=repr) == sorted([(3, text), (7, "something else entirely here"), (None, "alone")], key=repr)
+
+
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark takes an exploded table for as small as the one it comes from; the driver must not be sent it."""
+    plans = {}
+
+    def kept(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label)
+
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", kept)
+    marks = spark.range(300).selectExpr("id * 7 AS _fp")
+    links = link_fingerprints(written(marks, "marks"))
+    plans["links"] = links._jdf.queryExecution().executedPlan().toString()
+    assert {"simhash-variants", "links"} <= set(plans)
+    assert not [label for label, plan in plans.items() if "Broadcast" in plan]
+    assert links.count()
