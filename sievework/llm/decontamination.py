@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import words, written
+from sievework.llm.common import SORTED, words, written
 
 SHINGLE = 5
 
@@ -135,12 +135,12 @@ def contaminated(
     # 3. One fingerprint a window, whatever the number of items it meets.
     windows = met.groupBy("_key", "n").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     windows = (
-        windows.join(hashed, "_key")
+        windows.join(hashed.hint(SORTED), "_key")
         .select("_key", "n", "_h", F.explode_outer("starts").alias("start"))
         .select("_key", "n", "start", F.expr(f"slice(_h, start + 1, n - {SHINGLE - 1})").alias("hashes"))
         .select("_key", "n", "start", F.expr(simhash("hashes", most)).alias("mark"))
     )
-    pairs = met.select("_key", "_item", "n", F.explode_outer("starts").alias("start")).join(windows, ["_key", "n", "start"])
+    pairs = met.select("_key", "_item", "n", F.explode_outer("starts").alias("start")).join(windows.hint(SORTED), ["_key", "n", "start"])
     # 4. Window and item meet in a block; a pair may agree on several and is taken at the first.
     indexed = listed.withColumn("item_mark", F.expr(simhash("item_hashes", most))).select(
         "_item", "item_mark", F.posexplode_outer(F.expr(_block_values("item_mark", blocks))).alias("block", "value")

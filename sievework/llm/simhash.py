@@ -21,12 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import CARRIED, carried, written
+from sievework.llm.common import CARRIED, SORTED, carried, written
 
 HALF = 32
 SEED = 42
-# Spark sizes an exploded table like the one it was made from, up to 528 times too low, and would broadcast it.
-SORTED = "merge"
 SHARED = 64  # a variant with more members than this is split further instead of paired
 _CHUNK = 1 << 16
 

@@ -115,3 +115,19 @@ def test_blocks_cover_the_mark(radius):
     blocks = decontamination._blocks(radius)
     assert len(blocks) == radius + 1
     assert [b for at, width in blocks for b in range(at, at + width)] == list(range(64))
+
+
+def test_exploded_tables_are_not_broadcast(spark, make_docs):
+    """A broadcast is made of written tables, whose size Spark knows, never of windows or starts that were exploded from them."""
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = make_docs([(i, f"a{i} b{i} {item} c{i}") for i in range(5)])
+    found = contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-|")) for x in lines]
+    sent = []
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((k for k in range(i + 1, len(lines)) if depth[k] <= depth[i]), len(lines))
+            sent.append("\n".join(lines[i + 1 : end]))
+    assert sent and not [x for x in sent if "Generate" in x or "collect_list" in x]
+    assert found.count() == 5
